@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanewright.sources.tables import table
 
@@ -25,12 +26,46 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return bought_together(table(spark, folder, "purchases"))
 
 
+def p4_associations(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.pairs import associations
+
+    return associations(table(spark, folder, "purchases"), ["match_id", "player_slot"], "item_id").select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.topn import top_per_context
+
+    return top_per_context(table(spark, folder, "level_items"), table(spark, folder, "level_offsets"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     from lanewright.llm.quantiles import slow_groups
 
     return slow_groups(table(spark, folder, "purchases"))
 
 
+def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Approximate percentiles of buy times per hero and item, within one percent."""
+    from lanewright.llm.purchases import distinct_purchases
+    from lanewright.llm.quantiles import percentiles, sketch
+
+    sound = table(spark, folder, "purchases").where("item_id is not null and buy_time_s is not null and not isnan(buy_time_s)")
+    keys = ["hero_id", "item_id"]
+    return percentiles(sketch(distinct_purchases(sound, [*keys, "buy_time_s"]), keys, "buy_time_s"), keys, [0.05, 0.5, 0.95])
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.splits import match_groups
+
+    return match_groups(table(spark, folder, "purchases"))
+
+
+def p7_splits(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.splits import match_splits
+
+    return match_splits(table(spark, folder, "purchases"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from lanewright.llm.tokens import encode_corpus
 
@@ -38,7 +73,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p6_found, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids)}
 
 
 #: One row per purchase with item and time, as the operators see it.
@@ -55,6 +90,16 @@ alone AS (SELECT item_id, count(*) AS n FROM seat GROUP BY item_id),
 pair AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS n_ab FROM seat a JOIN seat b ON a.match_id = b.match_id AND a.player_slot = b.player_slot AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id)
 SELECT item_a, item_b FROM pair JOIN alone a ON a.item_id = item_a JOIN alone b ON b.item_id = item_b, n
 WHERE n_ab >= 10 AND n_ab * n.n >= 3 * a.n * b.n""",
+        "p4_associations": """WITH seat AS (SELECT DISTINCT match_id, player_slot, item_id FROM purchases WHERE match_id IS NOT NULL AND player_slot IS NOT NULL AND item_id IS NOT NULL),
+n AS (SELECT count(*) AS n FROM (SELECT DISTINCT match_id, player_slot FROM seat)),
+alone AS (SELECT item_id, count(*) AS n FROM seat GROUP BY item_id),
+pair AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS n_ab FROM seat a JOIN seat b ON a.match_id = b.match_id AND a.player_slot = b.player_slot AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id)
+SELECT item_a, item_b, n_ab, a.n AS n_a, b.n AS n_b, n.n AS n, round(n_ab::double * n.n / (a.n::double * b.n), 6) AS lift
+FROM pair JOIN alone a ON a.item_id = item_a JOIN alone b ON b.item_id = item_b, n""",
+        "p5_found": """WITH place AS (SELECT DISTINCT * FROM level_items WHERE level_id IS NOT NULL AND item_pos IS NOT NULL AND item_id IS NOT NULL AND weight IS NOT NULL AND NOT isnan(weight))
+SELECT level_id, context_id, place::int AS place, item_id FROM (
+  SELECT o.level_id, o.context_id, i.item_id, row_number() OVER (PARTITION BY o.level_id, o.context_id ORDER BY i.weight DESC, i.item_id) AS place
+  FROM place i JOIN level_offsets o ON i.level_id = o.level_id AND i.item_pos >= o.start_pos AND i.item_pos < o.stop_pos) WHERE place <= 5""",
         "p6_found": f"""WITH {ONCE},
 of_group AS (SELECT hero_id, item_id, count(*) AS n, quantile_disc(buy_time_s, 0.5) AS m FROM once WHERE hero_id IS NOT NULL GROUP BY hero_id, item_id),
 of_item AS (SELECT item_id, quantile_disc(buy_time_s, 0.5) AS m FROM once GROUP BY item_id)
