@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from lanewright.plans import nested_queries
+
+PARTS = (nested_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in PARTS for name, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for part in PARTS for name, s in part.SQL.items()}
