@@ -72,8 +72,21 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.leaks import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "bench_items")).select("doc_id", "bench_id")
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Per test item: documents that hold a passage of it, and the longest in words."""
+    from lanewright.llm.leaks import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "bench_items")).groupBy("bench_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids, p9_found, p9_items)}
 
 
 #: One row per purchase with item and time, as the operators see it.
