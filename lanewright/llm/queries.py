@@ -85,8 +85,20 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "bench_items")).groupBy("bench_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("longest"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.truncation import cut_documents
+
+    return cut_documents(table(spark, folder, "documents"))
+
+
+def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.truncation import source_report
+
+    return source_report(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids, p9_found, p9_items)}
+    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
 
 
 #: One row per purchase with item and time, as the operators see it.
