@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from lanewright.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.markup import section_elements
+
+    return section_elements(table(spark, folder, "sections"))
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    from lanewright.llm.markup import clean_sections
+
+    return clean_sections(table(spark, folder, "sections"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     from lanewright.llm.sequences import frequent_orders
 
@@ -98,7 +110,7 @@ def p10_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_orders, p4_found, p4_associations, p5_found, p6_found, p6_percentiles, p7_found, p7_splits, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
 
 
 #: One row per purchase with item and time, as the operators see it.
