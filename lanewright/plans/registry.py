@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanewright.plans import nested_queries
+from lanewright.plans import cleaning_queries, model_queries, nested_queries
 
-PARTS = (nested_queries,)
+PARTS = (nested_queries, cleaning_queries, model_queries)
 
 
 def queries() -> dict:
