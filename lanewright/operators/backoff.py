@@ -73,14 +73,19 @@ def archetype_shares(bought: DataFrame, labels: DataFrame, keys: list[str]) -> D
     return counts.select("hero_id", "archetype_id", (F.col("_n") / F.sum("_n").over(Window.partitionBy("hero_id"))).alias("share"))
 
 
-def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA) -> DataFrame:
+def context_totals(level_table: DataFrame) -> DataFrame:
+    """(level, ctx, total): the weight of each context."""
+    return level_table.groupBy("level", "ctx").agg(F.sum("w").alias("total"))
+
+
+def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA, totals: DataFrame | None = None) -> DataFrame:
     """(state_id, archetype_id, item_id, level, part): what each level adds to an item's chance.
 
     ``states``: state_id and the key columns; one row per state and archetype.
+    ``totals``: ``context_totals``, for callers that ask often.
     """
     asked = states.select("state_id", "archetype_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), context(k).alias("ctx")) for k in range(len(LEVELS))))).alias("c")).select("state_id", "archetype_id", "c.level", "c.ctx")
-    totals = level_table.groupBy("level", "ctx").agg(F.sum("w").alias("total"))
-    seen = asked.join(totals, ["level", "ctx"])
+    seen = asked.join(context_totals(level_table) if totals is None else totals, ["level", "ctx"])
     lam = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("total") / (F.col("total") + kappa))), F.lit(0.0)).alias(f"l{k}") for k in range(len(LEVELS))]
     wide = seen.groupBy("state_id", "archetype_id").agg(*lam)
     left: Column = F.lit(1.0)

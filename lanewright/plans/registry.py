@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanewright.plans import cleaning_queries, model_queries, nested_queries
+from lanewright.plans import build_queries, cleaning_queries, model_queries, nested_queries
 
-PARTS = (nested_queries, cleaning_queries, model_queries)
+PARTS = (nested_queries, cleaning_queries, model_queries, build_queries)
 
 
 def queries() -> dict:
