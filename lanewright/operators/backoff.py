@@ -78,14 +78,16 @@ def context_totals(level_table: DataFrame) -> DataFrame:
     return level_table.groupBy("level", "ctx").agg(F.sum("w").alias("total"))
 
 
-def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA, totals: DataFrame | None = None) -> DataFrame:
+def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA, totals: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(state_id, archetype_id, item_id, level, part): what each level adds to an item's chance.
 
     ``states``: state_id and the key columns; one row per state and archetype.
-    ``totals``: ``context_totals``, for callers that ask often.
+    ``totals``: ``context_totals``, for callers that ask often; ``few``: the
+    caller has counted the states and found them few enough to broadcast.
     """
+    small = F.broadcast if few else (lambda df: df)
     asked = states.select("state_id", "archetype_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), context(k).alias("ctx")) for k in range(len(LEVELS))))).alias("c")).select("state_id", "archetype_id", "c.level", "c.ctx")
-    seen = asked.join(context_totals(level_table) if totals is None else totals, ["level", "ctx"])
+    seen = small(asked).join(context_totals(level_table) if totals is None else totals, ["level", "ctx"])
     lam = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("total") / (F.col("total") + kappa))), F.lit(0.0)).alias(f"l{k}") for k in range(len(LEVELS))]
     wide = seen.groupBy("state_id", "archetype_id").agg(*lam)
     left: Column = F.lit(1.0)
@@ -93,8 +95,8 @@ def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPP
     for k in range(len(LEVELS)):
         parts.append(F.when(F.col("level") == k, left * F.col(f"l{k}")))
         left = left * (1 - F.col(f"l{k}"))
-    share = seen.join(wide, ["state_id", "archetype_id"]).select("state_id", "archetype_id", "level", "ctx", (F.coalesce(*parts) / F.col("total")).alias("scale"))
-    return share.join(level_table, ["level", "ctx"]).select("state_id", "archetype_id", "item_id", "level", (F.col("scale") * F.col("w")).alias("part"), "n")
+    share = seen.join(small(wide), ["state_id", "archetype_id"]).select("state_id", "archetype_id", "level", "ctx", (F.coalesce(*parts) / F.col("total")).alias("scale"))
+    return small(share).join(level_table, ["level", "ctx"]).select("state_id", "archetype_id", "item_id", "level", (F.col("scale") * F.col("w")).alias("part"), "n")
 
 
 def distribution(states: DataFrame, level_table: DataFrame, owned: DataFrame, kappa: float = KAPPA, mixture: bool = False) -> DataFrame:

@@ -16,6 +16,8 @@ from lanewright.runtime import stored
 
 #: Steps, score factor for items whose parts are missing, least chance, slots, and steps kept free for staples.
 STEPS, PENALTY, LEAST, SLOTS, RESERVE = 17, 0.25, 0.02, 12, 2
+#: States (cells times samples) up to which a step broadcasts them.
+FEW = 20_000
 #: Purchases a game usually has by number, in seconds; later ones follow at equal gaps.
 GAP_S = 110
 
@@ -65,14 +67,17 @@ def generate(
     owed = stored(owed, "staples")
     states = cells.select("hero_id", "archetype_id").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     states = states.withColumn("state_id", F.concat_ws("/", "hero_id", "archetype_id", "sample")).withColumn("held", empty).withColumn("bought", empty)
-    states = stored(states, "states")
+    # position and clock are data, not literals, so that all steps run the same compiled code
+    clocks = F.array(*(F.lit(float(t)) for t in times))
+    states = stored(states.withColumn("position", F.lit(0)), "states")
+    few = states.count() <= FEW
     steps = []
-    for k, t in enumerate(times):
-        last = lambda i: F.coalesce(F.try_element_at("bought", F.lit(-i)), F.lit(NO_ITEM).cast("long"))  # noqa: B023, E731
-        now = states.withColumn("prev_one", last(1)).withColumn("prev_two", last(2)).withColumn("n_owned", F.lit(k)).withColumn("time_bucket", time_bucket(F.lit(float(t))))
-        mixed = contributions(now, level_table, kappa, totals).groupBy("state_id", "item_id").agg(F.sum("part").alias("p"))
+    for _ in times:
+        last = lambda i: F.coalesce(F.try_element_at("bought", F.lit(-i)), F.lit(NO_ITEM).cast("long"))
+        now = states.withColumn("prev_one", last(1)).withColumn("prev_two", last(2)).withColumn("n_owned", F.col("position")).withColumn("clock", F.element_at(clocks, F.col("position") + 1)).withColumn("time_bucket", time_bucket(F.col("clock")))
+        mixed = contributions(now, level_table, kappa, totals, few).groupBy("state_id", "item_id").agg(F.sum("part").alias("p"))
         open_ = ~F.array_contains("bought", F.col("item_id"))
-        who = now.select("state_id", "hero_id", "archetype_id", "held", "bought")
+        who = now.select("state_id", "hero_id", "archetype_id", "held", "bought", "position")
         due = who.join(owed, ["hero_id", "archetype_id"]).where(open_).select("state_id", "item_id", "share")
         mixed = mixed.join(who.select("state_id", "bought"), "state_id").where(open_).select("state_id", "item_id", F.try_divide("p", F.sum("p").over(Window.partitionBy("state_id"))).alias("p"))
         n_due = due.groupBy("state_id").agg(F.count(F.lit(1)).alias("n_due"), F.collect_set("item_id").alias("due"))
@@ -81,24 +86,24 @@ def generate(
         missing = F.exists("parts", lambda c: ~F.array_contains("held", c))
         score = F.col("p") * F.when(missing, PENALTY).otherwise(1.0)
         among = F.exists("parts", lambda c: ~F.array_contains("held", c) & F.coalesce(F.array_contains("due", c), F.lit(False)))
-        forced = F.col("share").isNotNull() & ((F.lit(len(times) - k) <= n_due_now + RESERVE) | (SLOTS - F.size("held") <= n_due_now))
+        forced = F.col("share").isNotNull() & ((F.lit(len(times)) - F.col("position") <= n_due_now + RESERVE) | (SLOTS - F.size("held") <= n_due_now))
         score = F.when(forced, F.greatest(score, F.col("share") * F.when(among, PENALTY).otherwise(1.0))).otherwise(score)
         fits = F.size("held") - F.size(F.array_intersect("held", "parts")) + 1 <= SLOTS
         options = options.withColumn("score", score).where(fits & (F.col("score") > 0))
         key = F.round("score", 12)
         if temperature > 0:
-            key = F.ln("score") / temperature - F.ln(-F.ln(_uniform(seed + k, "state_id", "item_id")))
+            key = F.ln("score") / temperature - F.ln(-F.ln(_uniform(seed, "position", "state_id", "item_id")))
         best = options.groupBy("state_id").agg(F.max(F.struct(key.alias("key"), (-F.col("item_id")).alias("down"), "p", F.col("share").isNotNull().alias("staple"), "parts")).alias("b"))
         chosen = now.join(best, "state_id").where((F.col("b.p") >= LEAST) | F.col("b.staple"))
         item = -F.col("b.down")
         chosen = chosen.select(
-            "hero_id", "archetype_id", "sample", "state_id", F.lit(k).alias("position"), item.alias("item_id"), F.col("b.p").alias("p"), F.lit(float(t)).alias("buy_time_s"),
+            "hero_id", "archetype_id", "sample", "state_id", "position", item.alias("item_id"), F.col("b.p").alias("p"), F.col("clock").alias("buy_time_s"),
             F.array_intersect("held", "b.parts").alias("absorbed"), F.array_append(F.array_except("held", "b.parts"), item).alias("held"), F.array_append("bought", item).alias("bought"),
         )
         chosen = stored(chosen, "step")
         steps.append(chosen)
-        states = chosen.select("hero_id", "archetype_id", "sample", "state_id", "held", "bought")
-        if states.isEmpty():
+        states = chosen.select("hero_id", "archetype_id", "sample", "state_id", "held", "bought", (F.col("position") + 1).alias("position"))
+        if not chosen.take(1):
             break
     out = steps[0]
     for s in steps[1:]:
@@ -117,23 +122,22 @@ def point_orders(level_table: DataFrame, cells: DataFrame, times: DataFrame, n_p
     ability points; a slot takes ``top`` points.  ``times``: (hero_id, step, median)."""
     level_table = stored(level_table, "levels")
     totals = stored(context_totals(level_table), "totals")
-    states = cells.select("hero_id", "archetype_id").distinct().withColumn("state_id", F.concat_ws("/", "hero_id", "archetype_id")).withColumn("bought", F.array().cast("array<bigint>")).withColumn("clock", F.lit(0.0))
+    states = cells.select("hero_id", "archetype_id").distinct().withColumn("state_id", F.concat_ws("/", "hero_id", "archetype_id")).withColumn("bought", F.array().cast("array<bigint>")).withColumn("clock", F.lit(0.0)).withColumn("position", F.lit(0))
     states = stored(states, "states")
+    few = states.count() <= FEW
     steps = []
-    for k in range(n_points):
-        at = times.where(F.col("step") == k).select("hero_id", "median")
-        now = states.join(at, "hero_id", "left").withColumn("clock", F.greatest("clock", F.coalesce("median", F.col("clock")))).drop("median")
+    for _ in range(n_points):
+        at = times.select("hero_id", F.col("step").alias("position"), "median")
+        now = states.join(at, ["hero_id", "position"], "left").withColumn("clock", F.greatest("clock", F.coalesce("median", F.col("clock")))).drop("median")
         last = lambda i: F.coalesce(F.try_element_at("bought", F.lit(-i)), F.lit(NO_ITEM).cast("long"))
-        now = now.withColumn("prev_one", last(1)).withColumn("prev_two", last(2)).withColumn("n_owned", F.lit(k)).withColumn("time_bucket", time_bucket(F.col("clock")))
-        mixed = contributions(now, level_table, kappa, totals).groupBy("state_id", "item_id").agg(F.sum("part").alias("p"))
+        now = now.withColumn("prev_one", last(1)).withColumn("prev_two", last(2)).withColumn("n_owned", F.col("position")).withColumn("time_bucket", time_bucket(F.col("clock")))
+        mixed = contributions(now, level_table, kappa, totals, few).groupBy("state_id", "item_id").agg(F.sum("part").alias("p"))
         had = F.size(F.filter("bought", lambda x: x == F.col("item_id")))
         open_ = mixed.join(now, "state_id").withColumn("had", had).where(F.col("had") < top)
         best = open_.groupBy("state_id").agg(F.max(F.struct(F.round("p", 12).alias("p"), (-F.col("item_id")).alias("down"), "had")).alias("b"))
-        chosen = stored(now.join(best, "state_id").select("hero_id", "archetype_id", "state_id", F.lit(k).alias("position"), (-F.col("b.down")).alias("slot"), (F.col("b.had") + 1).alias("level"), F.col("b.p").alias("p"), F.col("clock").alias("game_time_s"), F.array_append("bought", -F.col("b.down")).alias("bought"), "clock"), "step")
+        chosen = stored(now.join(best, "state_id").select("hero_id", "archetype_id", "state_id", "position", (-F.col("b.down")).alias("slot"), (F.col("b.had") + 1).alias("level"), F.col("b.p").alias("p"), F.col("clock").alias("game_time_s"), F.array_append("bought", -F.col("b.down")).alias("bought"), "clock"), "step")
         steps.append(chosen)
-        states = chosen.select("hero_id", "archetype_id", "state_id", "bought", "clock")
-        if states.isEmpty():
-            break
+        states = chosen.select("hero_id", "archetype_id", "state_id", "bought", "clock", (F.col("position") + 1).alias("position"))
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)
