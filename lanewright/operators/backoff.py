@@ -78,21 +78,29 @@ def context_totals(level_table: DataFrame) -> DataFrame:
     return level_table.groupBy("level", "ctx").agg(F.sum("w").alias("total"))
 
 
-def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA, totals: DataFrame | None = None, few: bool = False) -> DataFrame:
-    """(state_id, archetype_id, item_id, level, part): what each level adds to an item's chance.
+def _mixing(states: DataFrame, level_table: DataFrame, kappa: float, totals: DataFrame | None, few: bool, which: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The contexts of each state that were seen, and (state_id, archetype_id, l<k>...): the mixture share of each level."""
+    small = F.broadcast if few else (lambda df: df)
+    asked = states.select("state_id", "archetype_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), context(k).alias("ctx")) for k in which))).alias("c")).select("state_id", "archetype_id", "c.level", "c.ctx")
+    seen = small(asked).join(context_totals(level_table) if totals is None else totals, ["level", "ctx"])
+    lam = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("total") / (F.col("total") + kappa))), F.lit(0.0)).alias(f"l{k}") for k in which]
+    return seen, seen.groupBy("state_id", "archetype_id").agg(*lam)
+
+
+def contributions(
+    states: DataFrame, level_table: DataFrame, kappa: float = KAPPA, totals: DataFrame | None = None, few: bool = False, which: tuple[int, ...] = tuple(range(len(LEVELS)))
+) -> DataFrame:
+    """(state_id, archetype_id, item_id, level, part, n): what each level adds to an item's chance.
 
     ``states``: state_id and the key columns; one row per state and archetype.
     ``totals``: ``context_totals``, for callers that ask often; ``few``: the
     caller has counted the states and found them few enough to broadcast.
     """
     small = F.broadcast if few else (lambda df: df)
-    asked = states.select("state_id", "archetype_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), context(k).alias("ctx")) for k in range(len(LEVELS))))).alias("c")).select("state_id", "archetype_id", "c.level", "c.ctx")
-    seen = small(asked).join(context_totals(level_table) if totals is None else totals, ["level", "ctx"])
-    lam = [F.coalesce(F.max(F.when(F.col("level") == k, F.col("total") / (F.col("total") + kappa))), F.lit(0.0)).alias(f"l{k}") for k in range(len(LEVELS))]
-    wide = seen.groupBy("state_id", "archetype_id").agg(*lam)
+    seen, wide = _mixing(states, level_table, kappa, totals, few, which)
     left: Column = F.lit(1.0)
     parts = []
-    for k in range(len(LEVELS)):
+    for k in which:
         parts.append(F.when(F.col("level") == k, left * F.col(f"l{k}")))
         left = left * (1 - F.col(f"l{k}"))
     share = seen.join(small(wide), ["state_id", "archetype_id"]).select("state_id", "archetype_id", "level", "ctx", (F.coalesce(*parts) / F.col("total")).alias("scale"))
@@ -101,11 +109,26 @@ def contributions(states: DataFrame, level_table: DataFrame, kappa: float = KAPP
 
 def distribution(states: DataFrame, level_table: DataFrame, owned: DataFrame, kappa: float = KAPPA, mixture: bool = False) -> DataFrame:
     """(state_id, item_id, p): chances mixed over archetypes (by ``states.share`` if
-    ``mixture``), then without owned items (state_id, item_id), then made to sum to 1."""
-    parts = contributions(states, level_table, kappa)
+    ``mixture``), then without owned items (state_id, item_id), then made to sum to 1.
+
+    The levels that do not look at the last items are mixed once per distinct
+    coarse context, not once per state; a state adds its two fine levels and
+    what they leave over times the coarse mixture.  All rows of a state then
+    meet in one exchange, which the sum, the mask and the ranking share.
+    """
+    fine, coarse = (0, 1), tuple(range(2, len(LEVELS)))
+    keys = ["hero_id", "archetype_id", "n_owned", "time_bucket"]
+    coarse_id = F.concat_ws("|", *(F.col(c).cast("string") for c in keys))
+    base = contributions(states.select(*keys).distinct().withColumn("state_id", coarse_id), level_table, kappa, which=coarse)
+    base = base.groupBy(F.col("state_id").alias("coarse_id"), "item_id").agg(F.sum("part").alias("base"))
+    _, wide = _mixing(states, level_table, kappa, None, False, fine)
+    rest = states.join(wide, ["state_id", "archetype_id"], "left").select("state_id", "archetype_id", coarse_id.alias("coarse_id"), (F.coalesce(1 - F.col("l0"), F.lit(1.0)) * F.coalesce(1 - F.col("l1"), F.lit(1.0))).alias("rest"))
+    parts = contributions(states, level_table, kappa, which=fine).select("state_id", "archetype_id", "item_id", "part")
+    parts = parts.unionByName(rest.join(base, "coarse_id").select("state_id", "archetype_id", "item_id", (F.col("rest") * F.col("base")).alias("part")))
     if mixture:
         parts = parts.join(states.select("state_id", "archetype_id", "share"), ["state_id", "archetype_id"]).withColumn("part", F.col("part") * F.col("share"))
-    mixed = parts.groupBy("state_id", "item_id").agg(F.sum("part").alias("_p")).join(owned.select("state_id", "item_id"), ["state_id", "item_id"], "left_anti")
+    marked = parts.select("state_id", "item_id", "part", F.lit(0).alias("own")).unionByName(owned.select("state_id", "item_id", F.lit(0.0).alias("part"), F.lit(1).alias("own")))
+    mixed = marked.repartition("state_id").groupBy("state_id", "item_id").agg(F.sum("part").alias("_p"), F.max("own").alias("own")).where("own = 0")
     return mixed.select("state_id", "item_id", F.try_divide("_p", F.sum("_p").over(Window.partitionBy("state_id"))).alias("p"))
 
 

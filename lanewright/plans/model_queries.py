@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanewright.operators import backoff, clusters, counters, evaluation, families, imbues
 from lanewright.plans import adapters
 from lanewright.plans.adapters import SEAT, with_
+from lanewright.runtime import stored
 from lanewright.sources.tables import table
 
 QUERIES: dict = {}
@@ -189,7 +190,7 @@ def prepared_lags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    bought = adapters.buys(spark, folder)
+    bought = stored(adapters.buys(spark, folder), "buys")
     labels = adapters.labels(bought)
     return backoff.levels(backoff.prepared(bought, labels, SEAT)), bought, labels
 
@@ -220,7 +221,8 @@ MODEL = with_("labels") + ",\n" + PREPARED + ",\n" + LEVELS + ",\n" + STATES
 
 def _chances(spark: SparkSession, folder: str) -> DataFrame:
     level_table, bought, labels = _levels(spark, folder)
-    states = backoff.states_after(bought, labels, SEAT, 3)
+    level_table = stored(level_table, "levels")  # several branches read it
+    states = stored(backoff.states_after(bought, labels, SEAT, 3), "states")
     owned = bought.where("step < 3").select(F.concat_ws("/", *SEAT).alias("state_id"), "item_id").distinct()
     return backoff.distribution(states, level_table, owned)
 
