@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewright.functions.stats import correlation
 from lanewright.operators.evaluation import prevalence
 from lanewright.runtime import stored
 
@@ -29,7 +30,7 @@ def _nearest(players: DataFrame, centroids: DataFrame, columns: list[str]) -> Da
     near = players.join(F.broadcast(centroids), "hero_id")
     distance = sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in columns[1:]), F.pow(F.col(columns[0]) - F.col(f"_{columns[0]}"), 2))
     keys = [c for c in players.columns if c not in columns]
-    return near.groupBy(*keys, "start").agg(F.min(F.struct(distance.alias("d"), "cluster")).alias("b"), *(F.first(c).alias(c) for c in columns)).select(*keys, *columns, "start", F.col("b.cluster").alias("cluster"), F.col("b.d").alias("d"))
+    return near.groupBy(*keys, "start").agg(F.min(F.struct(distance.alias("_d"), "cluster")).alias("_best"), *(F.first(c).alias(c) for c in columns)).select(*keys, *columns, "start", F.col("_best.cluster").alias("cluster"), F.col("_best._d").alias("d"))
 
 
 def fit(players: DataFrame, columns: list[str], k: int, starts: int = 4, steps: int = 8) -> DataFrame:
@@ -145,7 +146,7 @@ def replication(bought: DataFrame, labelled: DataFrame) -> DataFrame:
     half = F.pmod(F.xxhash64("match_id"), F.lit(2))
     rows = bought.join(labelled.select("match_id", "player_slot", "archetype_id"), ["match_id", "player_slot"]).withColumn("half", half)
     p = prevalence(rows, ["hero_id", "archetype_id", "half"]).groupBy("hero_id", "archetype_id", "item_id").agg(*(F.coalesce(F.max(F.when(F.col("half") == h, F.col("share"))), F.lit(0.0)).alias(f"h{h}") for h in (0, 1)))
-    return p.groupBy("hero_id", "archetype_id").agg(F.corr("h0", "h1").alias("r")).groupBy("hero_id").agg(F.avg(F.when(~F.isnan("r"), F.col("r"))).alias("replication"))
+    return p.groupBy("hero_id", "archetype_id").agg(correlation("h0", "h1").alias("r")).groupBy("hero_id").agg(F.avg(F.when(~F.isnan("r"), F.col("r"))).alias("replication"))
 
 
 def checks(labelled: DataFrame, bought: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewright.functions.stats import correlation
+
 
 def adjusted_rand(labels: DataFrame, first: str, second: str, group: list[str] | None = None) -> DataFrame:
     """(group, n, ari) of two labelings of the same rows, from their contingency table."""
@@ -70,7 +72,7 @@ def spearman(rows: DataFrame, first: str, second: str) -> DataFrame:
         w = Window.orderBy(c)  # one row per distinct value
         return counts.select(c, (F.sum("_n").over(w) - (F.col("_n") - 1) / 2).alias(f"_r_{c}"))
 
-    return known.join(ranks(first), first).join(ranks(second), second).agg(F.count(F.lit(1)).alias("n"), F.corr(f"_r_{first}", f"_r_{second}").alias("rho"))
+    return known.join(ranks(first), first).join(ranks(second), second).agg(F.count(F.lit(1)).alias("n"), correlation(f"_r_{first}", f"_r_{second}").alias("rho"))
 
 
 def standard_error(share: Column, n: Column) -> Column:
