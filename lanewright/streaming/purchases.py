@@ -31,10 +31,10 @@ def counts(stream: DataFrame, at: str, keys: list[str], window: str = "1 hour",
     return stream.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("since"), *keys, "n")
 
 
-def contexts(stream: DataFrame) -> DataFrame:
+def contexts(stream: DataFrame, at: str = "pulled_at", late: str = "1 hour", keep_s: int = 7200) -> DataFrame:
     """Each purchase with the two before it in its seat, in order of arrival; state is two ids a seat.
 
-    State of a seat that stays silent for two hours of processing time is dropped."""
+    State of a seat that stays silent for ``keep_s`` of event time is dropped."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -48,7 +48,7 @@ def contexts(stream: DataFrame) -> DataFrame:
                 one, two = int(item), one
             yield pd.DataFrame(rows, columns=["match_id", "player_slot", "item_id", "prev_one", "prev_two"])
         state.update((one, two))
-        state.setTimeoutDuration(2 * 3600 * 1000)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_s * 1000)
 
-    known = stream.where("match_id is not null and player_slot is not null and item_id is not null").select("match_id", "player_slot", "item_id", "buy_time_s", "buy_index")
-    return known.groupBy("match_id", "player_slot").applyInPandasWithState(follow, "match_id long, player_slot int, item_id long, prev_one long, prev_two long", "prev_one long, prev_two long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    known = stream.withWatermark(at, late).where("match_id is not null and player_slot is not null and item_id is not null").select("match_id", "player_slot", "item_id", "buy_time_s", "buy_index", at)
+    return known.groupBy("match_id", "player_slot").applyInPandasWithState(follow, "match_id long, player_slot int, item_id long, prev_one long, prev_two long", "prev_one long, prev_two long", "append", GroupStateTimeout.EventTimeTimeout)
