@@ -22,13 +22,17 @@ change no component but count towards its size; an empty table gives no rows.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.runtime import stored
 
-#: Bits that all kept bitsets of one target may take together; sizes are counted in coarser units beyond.
+#: Bits that all kept bitsets of one target may take together (one bitset at least); steps are repeated beyond.
 BITS = 1 << 30
+#: Rows short of the target up to which large cases take the largest components before the search.
+NEAR = 1 << 20
 
 
 def account_edges(purchases: DataFrame) -> DataFrame:
@@ -85,30 +89,81 @@ def match_groups(purchases: DataFrame) -> DataFrame:
 
 def closest_subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many components of each size to take so that their total comes closest
-    to ``target`` (the smaller total on a tie)."""
-    lots = [(size, take) for size, count in sorted(sizes.items(), reverse=True) for take in _powers(count)]
-    span = target + max(sizes, default=0)
-    unit = max(1, -(-span * max(len(lots), 1) // BITS))
-    goal, limit = round(target / unit), span // unit + 1
-    mask = (1 << (limit + 1)) - 1
-    reach, kept = 1, []
-    for size, take in lots:
-        kept.append(reach)
-        reach |= (reach << (round(size / unit) * take)) & mask
-        if reach >> goal & 1:
-            break
-    low = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = reach >> goal
-    high = goal + (above & -above).bit_length() - 1 if above else None
-    total = low if high is None or goal - low <= high - goal else high
+    to ``target`` (the smaller total on a tie).
+
+    Large cases first take the largest components up to ``NEAR`` of the target and
+    search only the rest; what hits the target that way is closest.  If nothing
+    does, all is searched: the result is exact at every size."""
+    if target * sum(count.bit_length() for count in sizes.values()) > BITS:
+        bulk, rest, left = {}, dict(sizes), target
+        for size in sorted(sizes, reverse=True):
+            if n := min(sizes[size], max(0, left - NEAR) // size):
+                bulk[size] = n
+                rest[size] -= n
+                left -= n * size
+        near = _closest(rest, left)
+        if sum(size * n for size, n in near.items()) == left:
+            return {size: bulk.get(size, 0) + near.get(size, 0) for size in bulk.keys() | near.keys()}
+    return _closest(sizes, target)
+
+
+def _closest(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """``closest_subset`` by one bitset of reachable totals, in units of the sizes' common divisor."""
+    # a component of twice the target lies no closer than nothing
+    sizes = {size: count for size, count in sizes.items() if count and size < 2 * target}
+    if not sizes:
+        return {}
+    unit = gcd(*sizes)
+    below, over = divmod(target, unit)
+    goal = below + (2 * over > unit)
+    lots = [(size // unit, take) for size, count in sorted(sizes.items(), reverse=True) for take in _powers(count)]
+    mask = (1 << (min(2 * target, target + max(sizes)) // unit + 1)) - 1
+    reach, n = 1, 0
+    while n < len(lots) and not reach >> goal & 1:
+        reach = _with(reach, lots[n], mask)
+        n += 1
+    total = goal
+    if not reach >> goal & 1:
+        total = (reach & ((1 << (below + 1)) - 1)).bit_length() - 1
+        if above := reach >> (below + 1):
+            high = below + (above & -above).bit_length()
+            total = total if target - total * unit <= high * unit - target else high
+    del reach
     taken: dict[int, int] = {}
-    for (size, take), before in zip(reversed(lots[: len(kept)]), reversed(kept)):
-        if not before >> total & 1:
-            taken[size] = taken.get(size, 0) + take
-            total -= round(size / unit) * take
+    for size, take in _traced(1, lots[:n], total):
+        taken[size * unit] = taken.get(size * unit, 0) + take
     return taken
 
 
+def _with(reach: int, lot: tuple[int, int], mask: int) -> int:
+    return reach | (reach << (lot[0] * lot[1])) & mask
+
+
+def _traced(reach: int, lots: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """The lots that lead from ``reach`` to ``total``.  Bitsets of as many lots as fit into ``BITS``
+    are kept; longer lists are halved, which repeats steps instead."""
+    mask = (1 << (total + 1)) - 1
+    reach &= mask
+    if len(lots) > max(1, BITS // (total + 1)):
+        half = len(lots) // 2
+        middle = reach
+        for lot in lots[:half]:
+            middle = _with(middle, lot, mask)
+        late = _traced(middle, lots[half:], total)
+        del middle
+        return late + _traced(reach, lots[:half], total - sum(size * take for size, take in late))
+    kept = []
+    for lot in lots:
+        kept.append(reach)
+        reach = _with(reach, lot, mask)
+    out = []
+    for lot, before in zip(reversed(lots), reversed(kept)):
+        if not before >> total & 1:
+            out.append(lot)
+            total -= lot[0] * lot[1]
+    return out
+
+
 def _powers(count: int) -> list[int]:
     """1, 2, 4, ... and a rest, that sum to ``count``."""
     out, k = [], 1

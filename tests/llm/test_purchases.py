@@ -169,3 +169,29 @@ def test_subset_sums_are_closest(seed):
         taken = splits.closest_subset(sizes, target)
         total = sum(s * n for s, n in taken.items())
         assert all(n <= sizes[s] for s, n in taken.items()) and abs(total - target) == min(abs(r - target) for r in reach)
+
+
+@pytest.mark.parametrize("lo,hi,count", [(100, 500, 10_000), (160, 360, 19_000), (160, 560, 2_000)])
+def test_large_splits_meet_their_target(lo, hi, count):
+    sizes = {s: count for s in range(lo, hi)}
+    rows = sum(s * n for s, n in sizes.items())
+    for giant in ({}, {9 * rows: 1}):
+        taken = splits.closest_subset(sizes | giant, rows // 10)
+        assert all(n <= count for n in taken.values()) and sum(s * n for s, n in taken.items()) == rows // 10
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_subset_sums_stay_closest_beyond_the_kept_bits(seed, monkeypatch):
+    monkeypatch.setattr(splits, "BITS", 300)
+    monkeypatch.setattr(splits, "NEAR", 16, raising=False)
+    rng = random.Random(seed)
+    for step in (1, 1, 4, 6):
+        sizes = {rng.randrange(1, 60) * step: rng.randrange(1, 5) for _ in range(6)} | {9000: 1}
+        reach = {0}
+        for s, n in sizes.items():
+            reach = {r + s * k for r in reach for k in range(n + 1)}
+        for target in (0, 1, 7, 33, 101, 150, 5000, sum(s * n for s, n in sizes.items()) // 10):
+            taken = splits.closest_subset(sizes, target)
+            total = sum(s * n for s, n in taken.items())
+            assert all(n <= sizes[s] for s, n in taken.items())
+            assert total == min(reach, key=lambda r: (abs(r - target), r))
