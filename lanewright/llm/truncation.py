@@ -6,8 +6,8 @@ Evidence, gathered over the whole corpus and over distinct texts:
   text elsewhere that goes on within the sentence.  All texts and all texts
   without their marks are sorted together; what a text is a prefix of follows
   it directly, so one sweep over range partitions finds every case without
-  comparing pairs, and what a partition leaves open is settled against the
-  first text of the next.
+  comparing pairs, and what a partition leaves open (a chain of prefixes of
+  its last value) is looked up in a second pass over all texts.
 * ending: how often the text's last words occur elsewhere at an end and in the
   middle of a sentence, by contexts of one to four words, and whether the last
   word is only the beginning of a word that follows there elsewhere.
@@ -29,11 +29,11 @@ are their own; an empty table gives no rows; texts are read whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +53,8 @@ SLACK = 14
 PILE = 5
 #: Shortest text whose copies are looked for.
 SHORTEST = 16
+#: Characters of open cores that are looked up in one pass.
+BLOCK = 20_000_000
 #: Salts over which a frequent context is spread.
 SALTS = 8
 
@@ -189,23 +191,17 @@ def _goes_on(core: str, text: str) -> bool:
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over sorted values: cores that a later text goes on from (``hit``), the
-    partition's first text (``first``) and the cores it leaves open (``open``)."""
-    part = TaskContext.get().partitionId()
+    """Over sorted values: cores that a later text goes on from (``hit``) and the
+    cores that the partition leaves open (``open``)."""
     waiting: list[tuple[str, str]] = []
-    seen_text = False
 
     def rows(kind: str, found: list[tuple[str | None, str | None]]) -> pa.RecordBatch:
         ids, values = zip(*found)
-        n = len(found)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([part] * n, pa.int32()), pa.array(ids, pa.string()), pa.array(values, pa.string())], ["kind", "part", "text_id", "value"])
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(found)), pa.array(ids, pa.string()), pa.array(values, pa.string())], ["kind", "text_id", "value"])
 
     for batch in batches:
         hits: list[tuple[str | None, str | None]] = []
         for value, is_text, text_id in zip(*(c.to_pylist() for c in batch.columns)):
-            if is_text and not seen_text:
-                seen_text = True
-                yield rows("first", [(None, value)])
             while waiting and not value.startswith(waiting[-1][0]):
                 waiting.pop()
             if is_text:
@@ -221,17 +217,56 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows("open", [(i, v) for v, i in waiting])
 
 
-def continued(texts: DataFrame, cores: DataFrame) -> DataFrame:
+def _looked_up(cores: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over texts in any order: which of ``cores`` (sorted, distinct) a text goes on from."""
+    # the longest other core that each core starts with
+    up: list[int] = []
+    chain: list[int] = []
+    for i, core in enumerate(cores):
+        while chain and not core.startswith(cores[chain[-1]]):
+            chain.pop()
+        up.append(chain[-1] if chain else -1)
+        chain.append(i)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: set[int] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                i = bisect_right(cores, text) - 1
+                while i >= 0:
+                    if i not in hits and text.startswith(cores[i]) and _goes_on(cores[i], text):
+                        hits.add(i)
+                    i = up[i]
+        yield pa.RecordBatch.from_arrays([pa.array([cores[i] for i in hits], pa.string())], ["value"])
+
+    return look
+
+
+def _blocks(values: DataFrame, chars: int) -> Iterator[list[str]]:
+    """The one column of ``values``, sorted in blocks of about ``chars`` characters."""
+    block, n = [], 0
+    for (value,) in values.toLocalIterator():
+        block.append(value)
+        n += len(value)
+        if n >= chars:
+            yield sorted(block)
+            block, n = [], 0
+    if block:
+        yield sorted(block)
+
+
+def continued(texts: DataFrame, cores: DataFrame, block_chars: int = BLOCK) -> DataFrame:
     """(text_id): cores (text_id, core) that are strict prefixes of a longer text
     (text_id, text) which goes on within the sentence."""
     values = texts.select(F.col("text").alias("value"), F.lit(True).alias("is_text"), "text_id").unionByName(cores.select(F.col("core").alias("value"), F.lit(False).alias("is_text"), "text_id"))
-    swept = stored(values.repartitionByRange("value", "is_text").sortWithinPartitions("value", "is_text").mapInArrow(_sweep, "kind string, part int, text_id string, value string"), "swept")
-    # at most one first text and one chain of prefixes per partition
-    later = Window.orderBy("part", F.desc("kind")).rowsBetween(1, Window.unboundedFollowing)
-    edge = swept.where(F.col("kind").isin("first", "open")).withColumn("next", F.min(F.when(F.col("kind") == "first", F.struct("part", "value"))).over(later))
-    rest = F.substring(F.expr("substring(next.value, length(value) + 1)"), 1, 2)
-    open_hits = edge.where((F.col("kind") == "open") & F.col("next.value").startswith(F.col("value")) & rest.rlike(r"^[  ]?[\p{L}\p{N}]")).select("text_id")
-    return swept.where(F.col("kind") == "hit").select("text_id").unionByName(open_hits).distinct()
+    swept = stored(values.repartitionByRange("value", "is_text").sortWithinPartitions("value", "is_text").mapInArrow(_sweep, "kind string, text_id string, value string"), "swept")
+    hits = swept.where(F.col("kind") == "hit").select("text_id")
+    left = swept.where(F.col("kind") == "open").select("text_id", "value")
+    # one chain of prefixes per partition; its longer texts may lie in any number of later ones
+    for block in _blocks(left.select("value").distinct(), block_chars):
+        found = stored(texts.select("text").mapInArrow(_looked_up(block), "value string"), "found").distinct()
+        hits = hits.unionByName(left.join(found, "value", "left_semi").select("text_id"))
+    return hits.distinct()
 
 
 def judged_endings(texts: DataFrame) -> DataFrame:

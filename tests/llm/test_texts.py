@@ -128,3 +128,23 @@ def test_prefix_sweep_matches_brute_force(spark):
     c = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(cores)], "text_id string, core string")
     want = {f"c{i}" for i, x in enumerate(cores) if any(y.startswith(x) and truncation._goes_on(x, y) for y in texts)}
     assert {r["text_id"] for r in truncation.continued(t, c).collect()} == want
+
+
+@pytest.mark.parametrize("block_chars", [20, 20_000_000])
+def test_prefixes_are_found_across_partitions(spark, block_chars):
+    # a core, texts that start with it and stop there, and far behind them the one that goes on
+    texts = sorted({f"the lane {i:03d} was lost" + tail for i in range(12) for tail in (*(f" - {j:03d}." for j in range(40)), "z again.")} | {"the lane 003 was lost, the lane 003 was"})
+    cores = [f"the lane {i:03d} was lost" for i in range(12)] + ["the lane", "the lane 003 was lost, the lane", "the lane 004 was lost - 039", "the lane 0"]
+    t = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "text_id string, text string")
+    c = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(cores)], "text_id string, core string")
+    want = {f"c{i}" for i, x in enumerate(cores) if any(y.startswith(x) and truncation._goes_on(x, y) for y in texts)}
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "48"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["text_id"] for r in truncation.continued(t, c, block_chars).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
