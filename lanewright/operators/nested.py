@@ -7,9 +7,9 @@ post, pos, key, fields); parents are found again by containment, with one
 sweep over a document's nodes in ``pre`` order, which is linear however many
 parents a document holds.
 
-Defined results: a payload that is null, empty, not valid JSON or nested beyond
-the parser's depth gives no rows; JSON inside a JSON string is read too; an
-absent, null or empty array gives no child rows; ``pos`` counts null entries; a
+Defined results: a payload that is null, empty or not valid JSON gives no rows;
+nesting may have any depth; JSON inside a JSON string is read too, at the top,
+anywhere above a marked object and under declared keys; an absent, null or empty array gives no child rows; ``pos`` counts null entries; a
 lone object where an array is usual has position 0; a field that is absent,
 null or not of its type is null, numbers in strings are numbers.
 """
@@ -17,6 +17,7 @@ null or not of its type is null, numbers in strings are numbers.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
@@ -60,16 +61,78 @@ def _text(x: Any) -> str | None:
 ARROW = {"long": (pa.int64(), _long), "string": (pa.string(), _text)}
 
 
+SPACE = re.compile(r"[ \t\n\r]*")
+ATOM = json.JSONDecoder().scan_once
+
+
+def _deep(text: str) -> Any:
+    """``json.loads`` with a stack of its own, for nesting beyond the parser's depth."""
+    skip = lambda i: SPACE.match(text, i).end()
+    open_: list[Any] = []
+    keys: list[str] = []
+
+    def key(i: int) -> int:
+        if text[i : i + 1] != '"':
+            raise ValueError("no key")
+        k, i = ATOM(text, i)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError("no colon")
+        keys.append(k)
+        return skip(i + 1)
+
+    i = skip(0)
+    while True:
+        c = text[i : i + 1]
+        if c == "[" or c == "{":
+            value: Any = [] if c == "[" else {}
+            i = skip(i + 1)
+            if text[i : i + 1] != ("]" if c == "[" else "}"):
+                open_.append(value)
+                i = i if c == "[" else key(i)
+                continue
+            i += 1
+        else:
+            try:
+                value, i = ATOM(text, i)
+            except StopIteration:
+                raise ValueError("no value") from None
+        while open_:
+            top = open_[-1]
+            listed = top.__class__ is list
+            if listed:
+                top.append(value)
+            else:
+                top[keys.pop()] = value
+            i = skip(i)
+            c = text[i : i + 1]
+            if c == ",":
+                i = skip(i + 1)
+                i = i if listed else key(i)
+                break
+            if c != ("]" if listed else "}"):
+                raise ValueError("no end")
+            value = open_.pop()
+            i += 1
+        else:
+            if skip(i) != len(text):
+                raise ValueError("more than a value")
+            return value
+
+
 def parsed(text: str | None) -> Any:
-    """The JSON value of ``text``, also of JSON encoded as a string; None if it isn't valid."""
-    for _ in range(3):
-        if text.__class__ is not str:
-            return text
+    """The JSON value of ``text``, also of JSON encoded as a string, however often; None if it isn't valid."""
+    while text.__class__ is str:  # each string is shorter than its encoding
         try:
             text = json.loads(text)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            try:
+                text = _deep(text)
+            except ValueError:
+                return None
+        except ValueError:
             return None
-    return None
+    return text
 
 
 class Walker:
@@ -86,30 +149,38 @@ class Walker:
         value = parsed(text)
         self.doc, self.n = doc, 0
         if value.__class__ in (dict, list):
-            try:
-                self.walk(value, None, 0)
-            except RecursionError:
-                for rows in self.rows:
-                    while rows and rows[-1][0] == doc:
-                        rows.pop()
-
-    def walk(self, x: Any, parent: str | None, pos: int) -> None:
-        """A container of no declared type."""
-        if x.__class__ is dict and parent is None:
-            for marker, i in self.markers:
-                if marker in x:
-                    self.node(x, i, pos, None)
-                    return
-        self.n += 1
-        if x.__class__ is dict:
-            for key, v in x.items():
-                if v.__class__ is dict or v.__class__ is list:
-                    self.walk(v, parent, 0)
-        else:
-            for i, v in enumerate(x):
-                if v.__class__ is dict or v.__class__ is list:
-                    self.walk(v, parent, i)
-        self.n += 1
+            self.walk(value)
+
+    def walk(self, x: Any) -> None:
+        """What holds no declared type yet: containers, and strings that may be JSON, down to the marked objects."""
+        left: list[Iterator[tuple[int, Any]]] = [iter([(0, x)])]
+        while left:
+            for pos, v in left[-1]:
+                if v.__class__ is str and v.lstrip()[:1] in ("{", "[", '"'):
+                    v = parsed(v)
+                if v.__class__ is dict:
+                    marked = next((i for marker, i in self.markers if marker in v), None)
+                    if marked is not None:
+                        self.node(v, marked, pos, None)
+                        continue
+                    self.n += 1
+                    left.append(iter([(0, y) for y in v.values()]))
+                    break
+                if v.__class__ is list:
+                    self.n += 1
+                    left.append(enumerate(v))
+                    break
+            else:
+                left.pop()
+                self.n += 1
+
+    def passed(self, x: Any) -> None:
+        """A container of no declared type inside a node: only its intervals count."""
+        left = [x]
+        while left:
+            v = left.pop()
+            self.n += 2
+            left += [y for y in (v.values() if v.__class__ is dict else v) if y.__class__ is dict or y.__class__ is list]
 
     def node(self, x: dict, i: int, pos: int, key: str | None) -> None:
         """An object of type ``i``."""
@@ -121,7 +192,7 @@ class Walker:
                 child = self.under.get((t.name, k))
                 if child is None:
                     if kind is not str:
-                        self.walk(v, t.name, 0)
+                        self.passed(v)
                 else:
                     self.children(parsed(v), child)
         self.n += 1

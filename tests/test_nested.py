@@ -84,3 +84,41 @@ def test_flat_tables_keep_links(spark):
 @pytest.mark.parametrize("value,want", [(3, 3), ("4", 4), ("x", None), (2.0, 2), (2.5, None), (True, None), (1 << 70, None), (float("nan"), None)])
 def test_numbers(value, want):
     assert nested._long(value) == want
+
+
+@pytest.mark.parametrize("times", [3, 5])
+def test_payloads_encoded_several_times(spark, times):
+    payload = match(1, [player(1, [{"item_id": 10}])])
+    for _ in range(times):
+        payload = json.dumps(payload)
+    assert rows(nested.item_entries(pull(spark, payload))) == [(1, 1, 0, 10)]
+
+
+def test_json_strings_in_wrappers(spark):
+    one = lambda i: match(i, [player(1, [{"item_id": i}])])
+    payloads = [json.dumps({"note": "[no JSON", "data": json.dumps([one(1), one(2)])}), json.dumps([json.dumps(one(3)), {"body": json.dumps(json.dumps({"match": one(4)}))}])]
+    assert rows(nested.item_entries(pull(spark, *payloads))) == [(i, 1, 0, i) for i in (1, 2, 3, 4)]
+
+
+def test_deep_nesting_keeps_the_rest_of_the_document(spark):
+    n = 100_000
+    deep = "[" * n + "1" + "]" * n
+    objects = '{"a": ' * n + "null" + " }" * n
+    payloads = [
+        '{"match_id": 1, "extra": %s, "players": [{"player_slot": 1, "debug": %s, "items": [{"item_id": 10}]}]}' % (deep, objects),
+        '{"log": %s, "data": {"match_id": 2, "players": [{"player_slot": 2, "items": [{"item_id": 20}]}]}}' % deep,
+        "[" * n + '{"match_id": 3, "players": [{"player_slot": 3, "items": [{"item_id": 30}]}]}' + "]" * n,
+        '{"match_id": 4, "extra": %s, "players": [{"player_slot": 4, "items": [{"item_id": 40}]}]' % deep,
+    ]
+    assert rows(nested.item_entries(pull(spark, *payloads))) == [(1, 1, 0, 10), (2, 2, 0, 20), (3, 3, 0, 30)]
+
+
+@pytest.mark.parametrize("text", ['[1, {"a": [], "b": {}, "c": "x\\n\\u00e9", "a": -1.5e3}, true, null] ', "[]", " 3", '"a"', "[1,]", '{"a"}', '{"a": 1,}', "[1 2]", "[1] 2", "{1: 2}", "", "[", '{"a": ', "nul", "[1}"])
+def test_the_stack_parser_equals_json(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            nested._deep(text)
+    else:
+        assert nested._deep(text) == want
