@@ -1,8 +1,9 @@
 """Groups of players per hero: fit, checks, names.
 
-Lloyd's steps run for all heroes and all starts at once: centroids are a table
-of (hero, start, cluster), a bounded number of rows, and each step is one join
-and one aggregate over the players, whatever a hero's share of them.
+Lloyd's steps run for all heroes and all starts at once, until no assignment
+changes: centroids are rows of (hero, start, cluster), a bounded number, and each
+step is one broadcast join and one aggregate over the players, whatever a hero's
+share of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions.stats import correlation
@@ -25,36 +26,64 @@ SEPARATION, SILHOUETTE, REPLICATION, SMALLEST, PLAYERS = 0.45, 0.15, 0.90, 0.12,
 SAMPLE = 4000
 
 
-def _nearest(players: DataFrame, centroids: DataFrame, columns: list[str]) -> DataFrame:
-    """Each player with the nearest centroid of every start of its hero (ties to the smaller cluster)."""
-    near = players.join(F.broadcast(centroids), "hero_id")
-    distance = sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in columns[1:]), F.pow(F.col(columns[0]) - F.col(f"_{columns[0]}"), 2))
-    keys = [c for c in players.columns if c not in columns]
-    return near.groupBy(*keys, "start").agg(F.min(F.struct(distance.alias("_d"), "cluster")).alias("_best"), *(F.first(c).alias(c) for c in columns)).select(*keys, *columns, "start", F.col("_best.cluster").alias("cluster"), F.col("_best._d").alias("d"))
+def _nearest(players: DataFrame, centroids: list[tuple], columns: list[str], k: int) -> DataFrame:
+    """Each player with the nearest centroid (hero, start, cluster, columns) of every start of its hero
+    (ties to the smaller cluster) and its squared distance ``d``.  No shuffle."""
+    wide: dict[tuple, list] = {}
+    for hero, start, cluster, *at in centroids:
+        wide.setdefault((hero, start), [None] * (k * len(columns)))[cluster * len(columns) : (cluster + 1) * len(columns)] = at
+    kind = players.schema["hero_id"].dataType.simpleString()
+    schema = f"hero_id {kind}, start int" + "".join(f", _{j}_{i} double" for j in range(k) for i in range(len(columns)))
+    table = players.sparkSession.createDataFrame([(*key, *row) for key, row in wide.items()], schema)
+
+    def place(j: int) -> Column:
+        parts = [F.pow(F.col(c) - F.col(f"_{j}_{i}"), 2) for i, c in enumerate(columns)]
+        return F.struct(F.coalesce(sum(parts[1:], parts[0]), F.lit(math.inf)).alias("d"), F.lit(j).alias("cluster"))
+
+    best = F.least(*(place(j) for j in range(k))) if k > 1 else place(0)
+    return players.join(F.broadcast(table), "hero_id").select(*players.columns, "start", best.alias("_best")).select(*players.columns, "start", "_best.cluster", "_best.d")
 
 
-def fit(players: DataFrame, columns: list[str], k: int, starts: int = 4, steps: int = 8) -> DataFrame:
+def fit(players: DataFrame, columns: list[str], k: int, starts: int = 10, steps: int = 300) -> DataFrame:
     """``players`` (hero_id, keys, columns) with ``archetype_id`` 0..k-1 of the best start of each hero,
     numbered by the first column's mean, highest first.
 
-    Starts pick k players of a hero by hash, so a fit can be repeated.
+    Starts pick k players of a hero by hash, so a fit can be repeated.  A start ends when a step
+    changes no player's cluster, or after ``steps`` steps; only starts that still move are computed.
     """
     keys = [c for c in players.columns if c not in (*columns, "hero_id")]
-    seeds = None
-    for start in range(starts):
-        h = F.xxhash64(F.lit(start), *keys)
-        # k smallest hashes of each hero, combined on the map side
-        picked = players.groupBy("hero_id", F.pmod(h, F.lit(k)).cast("int").alias("cluster")).agg(F.min_by(F.struct(*columns), F.struct(h, *keys)).alias("at"))
-        rows = picked.select("hero_id", F.lit(start).alias("start"), "cluster", *(F.col(f"at.{c}").alias(f"_{c}") for c in columns))
-        seeds = rows if seeds is None else seeds.unionByName(rows)
-    centroids = stored(seeds, "centroids")
-    for _ in range(steps):
-        near = _nearest(players, centroids, columns)
-        centroids = stored(near.groupBy("hero_id", "start", "cluster").agg(*(F.avg(c).alias(f"_{c}") for c in columns)), "centroids")
-    near = stored(_nearest(players, centroids, columns), "assigned")
-    cost = near.groupBy("hero_id", "start").agg(F.sum("d").alias("cost"))
-    best = cost.groupBy("hero_id").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "start")).alias("b")).select("hero_id", F.col("b.start").alias("start"))
-    chosen = near.join(F.broadcast(best), ["hero_id", "start"])
+    players = stored(players.where(F.col("hero_id").isNotNull()), "players")
+    # k smallest hashes of each hero and start, combined on the map side
+    h = F.xxhash64("start", *keys)
+    drawn = players.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(starts - 1))))
+    picked = drawn.groupBy("hero_id", "start", F.pmod(h, F.lit(k)).cast("int").alias("cluster")).agg(F.min_by(F.struct(*columns), F.struct(h, *keys)).alias("at"))
+    # heroes x starts x clusters rows, as in the broadcasts
+    centroids = [tuple(r) for r in picked.select("hero_id", "start", "cluster", *(F.col(f"at.{c}").cast("double").alias(f"_{c}") for c in columns)).collect()]
+    marks: dict[tuple, dict] = {}
+    best: dict = {}
+    for step in range(steps):
+        if not centroids:
+            break
+        near = _nearest(players, centroids, columns, k)
+        # the mark stands for who is in the cluster, in any order
+        found = near.groupBy("hero_id", "start", "cluster").agg(F.bit_xor(F.xxhash64(*keys)).alias("mark"), F.count(F.lit(1)).alias("n"), F.sum("d").alias("d"), *(F.avg(c).alias(f"_{c}") for c in columns)).collect()
+        told: dict[tuple, list] = {}
+        for r in found:
+            told.setdefault((r[0], r[1]), []).append(r)
+        before: dict[tuple, list] = {}
+        for c in centroids:
+            before.setdefault(c[:2], []).append(c)
+        centroids = []
+        for key, own in told.items():
+            mark = {r["cluster"]: (r["mark"], r["n"]) for r in own}
+            if marks.get(key) == mark or step == steps - 1:
+                end = (round(sum(r["d"] for r in own), 9), key[1])
+                if key[0] not in best or end < best[key[0]][0]:
+                    best[key[0]] = (end, before[key])
+            else:
+                marks[key] = mark
+                centroids += [(r[0], r[1], r["cluster"], *r[6:]) for r in own]
+    chosen = stored(_nearest(players, [c for _, own in best.values() for c in own], columns, k), "assigned")
     order = chosen.groupBy("hero_id", "cluster").agg(F.avg(columns[0]).alias("m")).withColumn("archetype_id", F.row_number().over(Window.partitionBy("hero_id").orderBy(F.desc("m"), "cluster")) - 1)
     return chosen.join(F.broadcast(order.drop("m")), ["hero_id", "cluster"]).select("hero_id", *keys, *columns, "archetype_id")
 

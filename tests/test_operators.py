@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +281,17 @@ def test_texts(spark):
         text.resolve(names, "id", "name", "iron")
     with pytest.raises(KeyError, match="unknown"):
         text.resolve(names, "id", "name", "zzz")
+
+
+def test_fits_run_until_no_assignment_changes(spark):
+    rng = np.random.default_rng(1)
+    # no clear groups, so that Lloyd's steps take long
+    data = [(hero, m, 1, float(a), float(b)) for hero in (1, 2) for m, (a, b) in enumerate(rng.random((3000, 2)))]
+    players = spark.createDataFrame(data, "hero_id int, match_id long, player_slot int, a double, b double")
+    got = clusters.fit(players, ["a", "b"], 3).toPandas()
+    for _, own in got.groupby("hero_id"):
+        x, y = own[["a", "b"]].to_numpy(), own["archetype_id"].to_numpy()
+        at = np.array([x[y == j].mean(0) for j in range(3)])
+        assert len(own) == 3000 and (((x[:, None] - at[None]) ** 2).sum(-1).argmin(1) == y).all()
+    assert clusters.fit(players.limit(0), ["a", "b"], 3).count() == 0
+    assert inspect.signature(clusters.fit).parameters["starts"].default == 10
