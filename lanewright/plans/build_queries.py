@@ -123,7 +123,7 @@ def tab_family_distance(spark: SparkSession, folder: str) -> DataFrame:
 def hero_permutation(spark: SparkSession, folder: str) -> DataFrame:
     """Do heroes with an even number win more often?  A permutation test over heroes."""
     rows = adapters.buys(spark, folder).groupBy("hero_id").agg(F.avg(F.col("won").cast("double")).alias("rate"))
-    return experiments.permutation_test(rows.withColumn("even", F.col("hero_id") % 2 == 0), "rate", "even", "hero_id", 2000)
+    return experiments.permutation_test(rows.withColumn("even", F.col("hero_id") % 2 == 0), "rate", "even", "hero_id")
 
 
 #: Fixed values of the example: which tier of which slot unlocks which effect.

@@ -295,3 +295,11 @@ def test_fits_run_until_no_assignment_changes(spark):
         assert len(own) == 3000 and (((x[:, None] - at[None]) ** 2).sum(-1).argmin(1) == y).all()
     assert clusters.fit(players.limit(0), ["a", "b"], 3).count() == 0
     assert inspect.signature(clusters.fit).parameters["starts"].default == 10
+
+
+def test_hero_permutation_takes_the_full_number_of_draws(spark, monkeypatch):
+    from lanewright.plans import build_queries
+
+    monkeypatch.setattr(build_queries.adapters, "buys", lambda *_: spark.createDataFrame([(h, h % 2 == 0) for h in range(9) for _ in range(2)], "hero_id int, won boolean"))
+    p = build_queries.hero_permutation(spark, "").first()["p"]
+    assert abs(p * 10_001 - round(p * 10_001)) < 1e-6 and p < 1
