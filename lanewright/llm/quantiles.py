@@ -14,7 +14,6 @@ row; null is a group key like any other; an empty table gives an empty sketch.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -84,43 +83,61 @@ def percentiles(buckets: DataFrame, keys: list[str], shares: list[float], accura
     )
 
 
-def exact_medians(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, accuracy: float = 0.01, once: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_bounds(bucket: Column, accuracy: float) -> tuple[Column, Column]:
+    """Values between which all members of a bucket lie (a hair wider, for rounding)."""
+    log_base = math.log((1 + accuracy) / (1 - accuracy))
+    power = F.abs(bucket) - OFFSET
+    inner = lambda step, hair: F.when(power == OFFSET, float("inf")).otherwise(F.exp((power + step) * log_base) * (1 + hair))
+    small, large = inner(-1, -1e-9), inner(0, 1e-9)
+    low = F.when(bucket == 0, 0.0).when(bucket > 0, small).otherwise(-large)
+    return low, F.when(bucket == 0, 0.0).when(bucket > 0, large).otherwise(-small)
+
+
+def exact_medians(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, accuracy: float = 0.01) -> DataFrame:
     """(keys, median): exact medians of the groups in ``wanted`` (rows of ``ranks``).
 
     Only values inside a group's median bucket are looked at, counted by value
-    first, so equal values of a hot group travel as one row.  ``once`` drops
-    repeated rows; it runs after the buckets are picked, on that share only.
+    first, so equal values of a hot group travel as one row.  ``rows`` must be
+    those that the buckets were counted from, without repeats.
     """
     mark = bucket_of(F.col(value).cast("double"), accuracy)
     side = wanted.select(*(F.col(k).alias(f"w_{k}") for k in keys), F.col("bucket").alias("w_bucket"), "n_group", "before")
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys)) & (F.col("bucket") == F.col("w_bucket"))
     inside = rows.withColumn("bucket", mark).join(side.drop("n_group", "before"), same, "left_semi")
-    if once:
-        inside = once(inside).withColumn("bucket", mark)
     counted = inside.groupBy(*keys, "bucket", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.join(side, same)
     upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("v")) + F.col("before")
     return ranked.select(*keys, "v", "n_group", upto.alias("upto")).where(F.col("upto") * 2 >= F.col("n_group")).groupBy(*keys).agg(F.min("v").alias("median"))
 
 
+def bounded_medians(by_group: DataFrame, factor: float, at_least: int, accuracy: float) -> DataFrame:
+    """(hero_id, item_id, settled, ranks of the group and of the item): groups of ``at_least`` purchases whose
+    median may be ``factor`` times the item's; ``settled`` if the sketches' bounds alone prove that it is."""
+    of_item = ranks(by_group.groupBy("item_id", "bucket").agg(F.sum("n").alias("n")), ["item_id"], 0.5)
+    of_item = of_item.select("item_id", *(F.col(c).alias(f"item_{c}") for c in ("bucket", "n_group", "before")))
+    of_group = ranks(by_group.where(F.col("hero_id").isNotNull()), ["hero_id", "item_id"], 0.5).where(F.col("n_group") >= at_least)
+    low, high = bucket_bounds(F.col("bucket"), accuracy)
+    item_low, item_high = (F.lit(factor) * x for x in bucket_bounds(F.col("item_bucket"), accuracy))
+    return of_group.join(of_item, "item_id").where(high >= item_low).withColumn("settled", low >= item_high)
+
+
 def slow_groups(purchases: DataFrame, factor: float = 2.0, at_least: int = 10, accuracy: float = 0.01) -> DataFrame:
     """(hero_id, item_id) whose median buy time is at least ``factor`` times the
     item's median, over groups of ``at_least`` purchases.
 
-    The sketches bound both medians; groups that the bounds rule out go no
-    further, the rest are settled by exact medians.  Purchases without hero
-    count towards the item and form no group of their own.
+    The sketches bound both medians, which settles most groups either way; only
+    the groups whose bounds overlap (and their items) get exact medians.
+    Purchases without hero count towards the item and form no group of their own.
     """
     sound = purchases.where(F.col("item_id").isNotNull() & F.col("buy_time_s").isNotNull() & ~F.isnan("buy_time_s"))
-    once = lambda rows: distinct_purchases(rows, ["hero_id", "item_id", "buy_time_s"])
-    by_group = stored(sketch(once(sound), ["hero_id", "item_id"], "buy_time_s", accuracy), "sketch")
-    by_item = by_group.groupBy("item_id", "bucket").agg(F.sum("n").alias("n"))
-    of_item = ranks(by_item, ["item_id"], 0.5).select("item_id", bucket_value(F.col("bucket"), accuracy).alias("item_middle"), F.col("bucket").alias("item_bucket"), F.col("n_group").alias("item_n"), F.col("before").alias("item_before"))
-    of_group = ranks(by_group.where(F.col("hero_id").isNotNull()), ["hero_id", "item_id"], 0.5).where(F.col("n_group") >= at_least)
-    middle, other = bucket_value(F.col("bucket"), accuracy), F.col("item_middle")
-    slack = 2 * accuracy * (F.abs(middle) + factor * F.abs(other))
-    maybe = stored(of_group.join(of_item, "item_id").where(middle + slack >= factor * other), "medians")
-    groups = exact_medians(sound, ["hero_id", "item_id"], "buy_time_s", maybe.select("hero_id", "item_id", "bucket", "n_group", "before"), accuracy, once)
-    items = maybe.select("item_id", F.col("item_bucket").alias("bucket"), F.col("item_n").alias("n_group"), F.col("item_before").alias("before")).distinct()
-    of_items = exact_medians(sound, ["item_id"], "buy_time_s", items, accuracy, once).withColumnRenamed("median", "item_median")
-    return groups.join(of_items, "item_id").where(F.col("median") >= factor * F.col("item_median")).select("hero_id", "item_id")
+    # repeats go before the buckets are picked: a repeat may differ in time
+    once = stored(distinct_purchases(sound, ["hero_id", "item_id", "buy_time_s"]).drop("match_id", "player_slot", "buy_index"), "once")
+    by_group = stored(sketch(once, ["hero_id", "item_id"], "buy_time_s", accuracy), "sketch")
+    maybe = stored(bounded_medians(by_group, factor, at_least, accuracy), "medians")
+    sure, open_ = maybe.where("settled").select("hero_id", "item_id"), maybe.where("not settled")
+    if open_.isEmpty():
+        return sure
+    groups = exact_medians(once, ["hero_id", "item_id"], "buy_time_s", open_.select("hero_id", "item_id", "bucket", "n_group", "before"), accuracy)
+    items = open_.select("item_id", F.col("item_bucket").alias("bucket"), F.col("item_n_group").alias("n_group"), F.col("item_before").alias("before")).distinct()
+    of_items = exact_medians(once, ["item_id"], "buy_time_s", items, accuracy).withColumnRenamed("median", "item_median")
+    return sure.unionByName(groups.join(of_items, "item_id").where(F.col("median") >= factor * F.col("item_median")).select("hero_id", "item_id"))

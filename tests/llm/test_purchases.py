@@ -195,3 +195,20 @@ def test_subset_sums_stay_closest_beyond_the_kept_bits(seed, monkeypatch):
             total = sum(s * n for s, n in taken.items())
             assert all(n <= sizes[s] for s, n in taken.items())
             assert total == min(reach, key=lambda r: (abs(r - target), r))
+
+
+def test_a_repeat_with_another_time_is_no_value(spark):
+    # purchase 0 counts with its smallest time, 1.0; its repeat lies in the median bucket of the rest
+    data = [(m, 1, 1, 7, 5, 100.0 + m / 100, 0) for m in range(20)] + [(m, 1, 1, 8, 5, 50.0, 0) for m in range(100, 140)]
+    data += [(200, 1, 1, 7, 5, 1.0, 0), *[(200, 1, 1, 7, 5, 100.0 + k / 1000, 0) for k in range(12)]]
+    own, every = sorted([*(100.0 + m / 100 for m in range(20)), 1.0]), sorted([*(100.0 + m / 100 for m in range(20)), 1.0, *[50.0] * 40])
+    assert own[10] >= 2 * every[30]
+    assert rows(quantiles.slow_groups(table(spark, data))) == [(7, 5)]
+
+
+def test_bounds_settle_all_but_close_groups(spark):
+    data = [(m, 1, 1, 1, 5, 10.0, 0) for m in range(100)] + [(m, 2, 1, 2, 5, 90.0, 0) for m in range(20)] + [(m, 3, 1, 3, 5, 20.0, 0) for m in range(20)] + [(m, 4, 1, 4, 5, 19.99, 0) for m in range(20)]
+    by_group = quantiles.sketch(table(spark, data), ["hero_id", "item_id"], "buy_time_s")
+    told = {r["hero_id"]: r["settled"] for r in quantiles.bounded_medians(by_group, 2.0, 10, 0.01).collect()}
+    assert told == {2: True, 3: False, 4: False}
+    assert rows(quantiles.slow_groups(table(spark, data))) == [(2, 5), (3, 5)]
