@@ -77,7 +77,7 @@ def test_packing_streams_long_runs(spark):
         assert [p for p, _, _ in parts] == list(range(len(parts))) and all(o == (len(parts) == 1) for _, _, o in parts)
 
 
-@pytest.mark.parametrize("chunk", [512, 2])
+@pytest.mark.parametrize("chunk", [512, 2, 1])
 def test_pairs_match_brute_force(spark, chunk):
     data = made(1)
     got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"]) for r in pairs.associations(table(spark, data), ["match_id", "player_slot"], "item_id", 1, chunk).collect()}
@@ -212,3 +212,24 @@ def test_bounds_settle_all_but_close_groups(spark):
     told = {r["hero_id"]: r["settled"] for r in quantiles.bounded_medians(by_group, 2.0, 10, 0.01).collect()}
     assert told == {2: True, 3: False, 4: False}
     assert rows(quantiles.slow_groups(table(spark, data))) == [(2, 5), (3, 5)]
+
+
+def test_a_huge_basket_is_spread_over_tasks(spark):
+    n = 20_000
+    data = spark.range(2 * n).select(F.lit(1).cast("long").alias("match_id"), F.lit(0).alias("player_slot"), (F.col("id") % n).alias("item_id"))
+    data = data.unionByName(spark.createDataFrame([(2, 0, 3), (2, 0, 5), (3, 0, 5), (3, 0, 3)], "match_id long, player_slot int, item_id long"))
+    keys = ["match_id", "player_slot"]
+    packed, split = pairs.baskets(data, keys, "item_id", 512)
+    parts = {r["part"]: r["count"] for r in split.groupBy("part").count().collect()}
+    assert len(parts) == 40 and sum(parts.values()) == n and max(parts.values()) < 700
+    sent = pairs.chunk_products(split, keys).repartition(64, *keys, "low", "high").groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(sent) > 50 and max(r["n"] for r in sent) < 5 * 40 * n / 64
+    assert packed.count() == 2
+
+
+def test_a_huge_basket_has_all_pairs(spark):
+    n = 1500
+    data = spark.range(2 * n).select(F.lit(1).cast("long").alias("match_id"), F.lit(0).alias("player_slot"), (F.col("id") % n).alias("item_id"))
+    got = pairs.associations(data.unionByName(spark.createDataFrame([(2, 0, 3), (2, 0, 5)], "match_id long, player_slot int, item_id long")), ["match_id", "player_slot"], "item_id", 1, 200)
+    told = got.agg(F.count(F.lit(1)), F.sum("n_ab"), F.max("n_ab"), F.max("n"), F.sum((F.col("item_a") >= F.col("item_b")).cast("int"))).first()
+    assert tuple(told) == (n * (n - 1) // 2, n * (n - 1) // 2 + 1, 2, 2, 0)
