@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions import text
-from lanewright.operators import backoff, builds, evaluation, experiments, families, points
+from lanewright.operators import backoff, builds, evaluation, experiments, families, points, tooltips
 from lanewright.plans import adapters, model_queries
 from lanewright.plans.adapters import SEAT, with_
 from lanewright.plans.cleaning_queries import POINT_ORDER
@@ -160,7 +160,24 @@ def tooltip_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def sanitised_prose(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "sections").select("section_id", text.sanitise("prose").alias("safe"), text.first_sentence(F.col("prose")).alias("headline"))
+    """Prose with only allowed tags and attributes; a parser's work, so without SQL (tested on golden texts)."""
+    return table(spark, folder, "sections").select("section_id", text.sanitise("prose").alias("safe"))
+
+
+SENTENCE = r"""coalesce(nullif(regexp_extract(bare, '^(.+?[.!?])(\s|$)', 1), ''), nullif(bare, '')) AS sentence FROM (SELECT *, trim(regexp_replace(regexp_replace(prose, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS bare FROM sections)"""
+
+
+@query(f"SELECT section_id, {SENTENCE}")
+def first_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "sections").select("section_id", text.first_sentence(F.col("prose")).alias("sentence"))
+
+
+@query(
+    f"""WITH s AS (SELECT section_id, item_id, coalesce(kind = 'innate', false) AS late, list_filter(conditions, x -> length(x) > 0)[1] AS named, {SENTENCE} WHERE item_id IS NOT NULL)
+SELECT item_id, coalesce(arg_min(named, (late, section_id)) FILTER (named IS NOT NULL), arg_min(sentence, section_id) FILTER (sentence IS NOT NULL)) AS headline FROM s GROUP BY item_id"""
+)
+def item_headlines(spark: SparkSession, folder: str) -> DataFrame:
+    return tooltips.section_headlines(table(spark, folder, "sections"))
 
 
 @query("""SELECT item_id, kind, count(*) AS n_sections, sum(len(conditions))::bigint AS n_conditions FROM sections WHERE item_id IS NOT NULL AND kind IS NOT NULL GROUP BY item_id, kind""")

@@ -274,7 +274,18 @@ def test_texts(spark):
     assert text.sanitised('<b onclick="x">a</b><script>bad()</script><i>c &amp; d</i><x>e</x>') == "<b>a</b><i>c &amp; d</i>e"
     assert text.sanitised(None) is None and text.clock("8:30") == 510 and text.clock("510") == 510
     df = spark.createDataFrame([("One <b>two</b>. Three.",), ("none",), (None,)], "t string")
-    assert [r[0] for r in df.select(text.first_sentence(F.col("t"))).collect()] == ["One two.", None, None]
+    assert [r[0] for r in df.select(text.first_sentence(F.col("t"))).collect()] == ["One two .", "none", None]
+    rules = text.Rules(hosts=("https://art.example/",))
+    for raw, safe in [
+        ('A <span class="highlight">B</span>.<br>Next', 'A <span class="highlight">B</span>.<br>Next'),
+        ('<span onclick="x()">hi</span><SCRIPT>alert(1)</SCRIPT><img src="https://evil.example/a.png">', "<span>hi</span>"),
+        ('<svg viewBox="0 0 1 1"><path d="M1 2Z"/><clipPath id=a></clipPath></svg>', '<svg viewBox="0 0 1 1"><path d="M1 2Z"/><clipPath id="a"></clipPath></svg>'),
+        ('<img src="https://art.example/a.svg" alt="">', '<img src="https://art.example/a.svg" alt="">'),
+        ('<span style="background:url(x)">a</span><b style="color:red">c</b>', '<span>a</span><b style="color:red">c</b>'),
+        ("a < b & c &lt;i&gt; &nbsp;", "a &lt; b &amp; c &lt;i&gt; \xa0"),
+        ("x<script>y", "x"), ("x<!-- <b>n</b> -->y<?p?>z", "xyz"), ("<script/>s<a href='b'>t</a>", "st"), ("", ""),
+    ]:
+        assert text.sanitised(raw, rules) == safe
     names = spark.createDataFrame([(1, "Iron Prism"), (2, "Iron Anvil"), (3, "Quill")], "id int, name string")
     assert text.resolve(names, "id", "name", "quill") == 3 and text.resolve(names, "id", "name", "anvil") == 2
     with pytest.raises(KeyError, match="ambiguous"):
@@ -303,3 +314,33 @@ def test_hero_permutation_takes_the_full_number_of_draws(spark, monkeypatch):
     monkeypatch.setattr(build_queries.adapters, "buys", lambda *_: spark.createDataFrame([(h, h % 2 == 0) for h in range(9) for _ in range(2)], "hero_id int, won boolean"))
     p = build_queries.hero_permutation(spark, "").first()["p"]
     assert abs(p * 10_001 - round(p * 10_001)) < 1e-6 and p < 1
+
+
+TOOLTIP = """id long, name string, description struct<desc:string>, tooltip_sections array<struct<section_type:string,section_attributes:array<struct<loc_string:string,properties:array<string>,elevated_properties:array<string>,
+important_properties:array<string>,important_properties_with_icon:array<struct<name:string,icon:string,localized_name:string>>>>>>, properties map<string,struct<value:string,label:string,prefix:string,postfix:string>>"""
+
+
+def test_tooltips(spark):
+    from lanewright.operators import tooltips
+
+    part = lambda kind, **a: {"section_type": kind, "section_attributes": [a]}
+    prop = lambda value, label, prefix=None, postfix=None: {"value": value, "label": label, "prefix": prefix, "postfix": postfix}
+    props = {
+        "Ammo": prop("30", "Max Ammo", "{s:sign}", "%"), "Bleed": prop("1.9", "Bleed Damage", None, "%/sec"), "Heal": prop("-35", "Healing Reduction", "{s:sign}", "%"),
+        "Cool": prop("0", "Cooldown", None, "s"), "Range": prop("20m", "Cast Range", None, "m"), "Spirit": prop("7", "Spirit Power", "{s:sign}"), "Same": prop("1", "Max Ammo"),
+    }
+    data = [
+        {"id": 1, "tooltip_sections": [part("innate", elevated_properties=["Ammo"], properties=["Cool", "Ammo", "Same", "Gone"])]},
+        {"id": 2, "tooltip_sections": [part("innate", elevated_properties=["Spirit"]), part("passive", important_properties=["Bleed", "Heal"], properties=["Range"])]},
+        {"id": 3, "tooltip_sections": [part("active", loc_string="Hi<script>x()</script>", important_properties=["Heal"], important_properties_with_icon=[{"localized_name": "Silenced"}, {"localized_name": "Disarm"}, {"name": "n"}])]},
+        {"id": 4, "tooltip_sections": [part("active", loc_string="Resets <b>all</b>. Not items.")]},
+        {"id": 5, "description": {"desc": "Only words"}, "tooltip_sections": [part(None, properties=["Range"])]},
+        {"id": 6},
+    ]
+    got = {r["id"]: r for r in tooltips.item_tooltips(spark.createDataFrame([{"properties": props, **d} for d in data], TOOLTIP)).collect()}
+    assert {i: r["headline"] for i, r in got.items()} == {1: "+30% Max Ammo", 2: "1.9%/sec Bleed Damage", 3: "Silenced", 4: "Resets all .", 5: "Only words", 6: None}
+    told = lambda i: [(s["kind"], s["prose"], [(x["label"], x["value"]) for x in s["stats"]], s["conditions"]) for s in got[i]["sections"]]
+    assert told(1) == [("innate", "", [("Max Ammo", "+30%")], [])]
+    assert told(2)[1] == ("passive", "", [("Bleed Damage", "1.9%/sec"), ("Healing Reduction", "-35%"), ("Cast Range", "20m")], [])
+    assert told(3) == [("active", "Hi", [("Healing Reduction", "-35%")], ["Silenced", "Disarm"])]
+    assert told(5) == [(None, "Only words", [], []), (None, "", [("Cast Range", "20m")], [])] and told(6) == []
