@@ -1,39 +1,119 @@
-"""Complete orders of purchases and of ability points, grown step by step.
+"""Complete orders of purchases and of ability points, grown cell by cell.
 
-All cells (hero and archetype), and all samples of a cell, take a step
-together: a step is one join of the current states with the level tables and
-one aggregate, so the number of Spark jobs is that of steps, not of cells.
+The level tables are packed to one row per context and brought together once
+for each cell (hero and archetype), together with its staples and clocks; a
+cell then grows its whole orders in one task, all cells in parallel.  A cell's
+table is bounded by the shop, not by the data: pairs of last items times
+buckets times items at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.operators.backoff import KAPPA, NO_ITEM, context_totals, contributions
-from lanewright.operators.cleaning import time_bucket
-from lanewright.runtime import stored
+from lanewright.operators.backoff import KAPPA, LEVELS, NO_ITEM
+from lanewright.operators.cleaning import TIME_BOUNDS
+from lanewright.operators.ranking import global_rank
 
 #: Steps, score factor for items whose parts are missing, least chance, slots, and steps kept free for staples.
 STEPS, PENALTY, LEAST, SLOTS, RESERVE = 17, 0.25, 0.02, 12, 2
-#: States (cells times samples) up to which a step broadcasts them.
-FEW = 20_000
 #: Purchases a game usually has by number, in seconds; later ones follow at equal gaps.
 GAP_S = 110
+#: Kinds of rows that travel to a cell beside its contexts: staples with shares, and points with usual times.
+STAPLES, CLOCKS = -1, -2
 
 
 def usual_times(bought: DataFrame, steps: int = STEPS) -> list[float]:
-    """Median time of the first ``steps`` purchases; a missing one follows the last after ``GAP_S``."""
-    told = {r["step"]: r["t"] for r in bought.where(F.col("step") < steps).groupBy("step").agg(F.median("buy_time_s").alias("t")).collect()}
+    """Median time of the first ``steps`` purchases; a missing one follows the last after ``GAP_S``.
+
+    Middles are picked by rank over range partitions: no task holds all times of a step."""
+    early = bought.where((F.col("step") < steps) & F.col("buy_time_s").isNotNull()).select("step", "buy_time_s")
+    middle = global_rank(early, ["step"], ["buy_time_s"]).where((F.col("rank") * 2 >= F.col("rank_n")) & (F.col("rank") * 2 <= F.col("rank_n") + 2))
+    told = {r["step"]: r["t"] for r in middle.groupBy("step").agg(F.avg("buy_time_s").alias("t")).collect()}
     out: list[float] = []
     for k in range(steps):
         out.append(max(told.get(k, (out[-1] if out else 0.0) + GAP_S), out[-1] if out else 0.0))
     return out
 
 
-def _uniform(seed: int, *columns: str) -> Column:
-    """A number in (0, 1) that depends on the seed and the columns alone."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def _packed(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """``rows`` as (keys, items, weights): two arrays of equal length, ascending by value."""
+    both = F.array_sort(F.collect_list(F.struct(F.col(value).cast("long").alias("x"), F.col(weight).cast("double").alias("w"))))
+    packed = rows.groupBy(*keys).agg(both.alias("b"))
+    return packed.select(*keys, F.transform("b", lambda e: e["x"]).alias("items"), F.transform("b", lambda e: e["w"]).alias("weights"))
+
+
+def cell_tables(level_table: DataFrame, cells: DataFrame, staples: DataFrame | None = None, clocks: DataFrame | None = None) -> DataFrame:
+    """(hero_id, archetype_id, level, ctx, items, weights): all that a cell needs to grow its orders."""
+    cells = cells.select(F.col("hero_id").cast("int"), F.col("archetype_id").cast("int")).distinct()
+    part = F.split("ctx", r"\|")
+    own = F.when(F.col("level").isin(*(k for k, keys in enumerate(LEVELS) if "archetype_id" in keys)), part[1].cast("int"))
+    contexts = _packed(level_table.select(part[0].cast("int").alias("hero_id"), own.alias("own"), "level", "ctx", "item_id", "w"), ["hero_id", "own", "level", "ctx"], "item_id", "w")
+    columns = ["hero_id", "archetype_id", "level", "ctx", "items", "weights"]
+    out = contexts.join(cells, "hero_id").where(F.col("own").isNull() | (F.col("own") == F.col("archetype_id"))).select(*columns)
+    if staples is not None:
+        due = _packed(staples, ["hero_id", "archetype_id"], "item_id", "share").withColumn("level", F.lit(STAPLES)).withColumn("ctx", F.lit(""))
+        out = out.unionByName(due.join(cells, ["hero_id", "archetype_id"], "left_semi").select(*columns))
+    if clocks is not None:
+        at = _packed(clocks, ["hero_id"], "step", "median").withColumn("level", F.lit(CLOCKS)).withColumn("ctx", F.lit(""))
+        out = out.unionByName(at.join(cells, "hero_id").select(*columns))
+    return out
+
+
+class Cell:
+    """The contexts of one cell, and the mixture of levels for a state."""
+
+    def __init__(self, table: pa.Table, kappa: float) -> None:
+        self.hero, self.archetype, self.kappa = table.column("hero_id")[0].as_py(), table.column("archetype_id")[0].as_py(), kappa
+        lists = table.column("items").combine_chunks()
+        self.items, self.offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        self.weights = table.column("weights").combine_chunks().values.to_numpy()
+        self.place = {key: i for i, key in enumerate(zip(table.column("level").to_pylist(), table.column("ctx").to_pylist()))}
+
+    def at(self, level: int, ctx: str = "") -> tuple[list[int], np.ndarray]:
+        i = self.place.get((level, ctx))
+        lo, hi = (self.offsets[i], self.offsets[i + 1]) if i is not None else (0, 0)
+        return self.items[lo:hi].tolist(), self.weights[lo:hi]
+
+    def chances(self, bought: list[int], clock: float) -> dict[int, float]:
+        """Each item's chance after ``bought``, at ``clock``."""
+        state = {
+            "hero_id": self.hero, "archetype_id": self.archetype, "n_owned": len(bought), "time_bucket": bisect_right(TIME_BOUNDS, clock),
+            "prev_one": bought[-1] if bought else NO_ITEM, "prev_two": bought[-2] if len(bought) > 1 else NO_ITEM,
+        }
+        out: dict[int, float] = {}
+        left = 1.0
+        for level, keys in enumerate(LEVELS):
+            items, weights = self.at(level, "|".join(str(state[k]) for k in keys))
+            total = float(weights.sum())
+            if total > 0:
+                part = left * total / (total + self.kappa)
+                for x, p in zip(items, (weights * (part / total)).tolist()):
+                    out[x] = out.get(x, 0.0) + p
+                left *= self.kappa / (total + self.kappa)
+        return out
+
+
+def _grown(tables: DataFrame, grow: Callable[[Cell], Iterator[tuple]], kappa: float, schema: str) -> DataFrame:
+    """The rows that ``grow`` makes of each cell, behind its hero and archetype."""
+    columns = tables.sparkSession.createDataFrame([], "hero_id int, archetype_id int, " + schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(columns)
+
+    def one(table: pa.Table) -> pa.Table:
+        cell = Cell(table, kappa)
+        rows = [(cell.hero, cell.archetype, *r) for r in grow(cell)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
+
+    return tables.groupBy("hero_id", "archetype_id").applyInArrow(one, columns)
 
 
 def generate(
@@ -57,58 +137,48 @@ def generate(
     (ties to the smaller id).  A build ends when the best chance is below
     ``LEAST`` and no staple is due.
     """
-    spark = level_table.sparkSession
-    level_table = stored(level_table, "levels")
-    totals = stored(context_totals(level_table), "totals")
-    empty = F.array().cast("array<bigint>")
-    parts = (components or spark.createDataFrame([], "item_id long, parts array<bigint>")).select("item_id", "parts")
-    stock = stored(shop.select(F.col("id").alias("item_id")).join(parts, "item_id", "left").select("item_id", F.coalesce("parts", empty).alias("parts")), "stock")
-    owed = (staples or spark.createDataFrame([], "hero_id int, archetype_id int, item_id long, share double")).select("hero_id", "archetype_id", "item_id", "share")
-    owed = stored(owed, "staples")
-    states = cells.select("hero_id", "archetype_id").distinct().withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    states = states.withColumn("state_id", F.concat_ws("/", "hero_id", "archetype_id", "sample")).withColumn("held", empty).withColumn("bought", empty)
-    # position and clock are data, not literals, so that all steps run the same compiled code
-    clocks = F.array(*(F.lit(float(t)) for t in times))
-    states = stored(states.withColumn("position", F.lit(0)), "states")
-    few = states.count() <= FEW
-    steps = []
-    for _ in times:
-        last = lambda i: F.coalesce(F.try_element_at("bought", F.lit(-i)), F.lit(NO_ITEM).cast("long"))
-        now = states.withColumn("prev_one", last(1)).withColumn("prev_two", last(2)).withColumn("n_owned", F.col("position")).withColumn("clock", F.element_at(clocks, F.col("position") + 1)).withColumn("time_bucket", time_bucket(F.col("clock")))
-        mixed = contributions(now, level_table, kappa, totals, few).groupBy("state_id", "item_id").agg(F.sum("part").alias("p"))
-        open_ = ~F.array_contains("bought", F.col("item_id"))
-        who = now.select("state_id", "hero_id", "archetype_id", "held", "bought", "position")
-        due = who.join(owed, ["hero_id", "archetype_id"]).where(open_).select("state_id", "item_id", "share")
-        mixed = mixed.join(who.select("state_id", "bought"), "state_id").where(open_).select("state_id", "item_id", F.try_divide("p", F.sum("p").over(Window.partitionBy("state_id"))).alias("p"))
-        n_due = due.groupBy("state_id").agg(F.count(F.lit(1)).alias("n_due"), F.collect_set("item_id").alias("due"))
-        options = mixed.join(due, ["state_id", "item_id"], "full").join(who, "state_id").withColumn("p", F.coalesce("p", F.lit(0.0))).join(n_due, "state_id", "left").join(F.broadcast(stock), "item_id")
-        n_due_now = F.coalesce("n_due", F.lit(0))
-        missing = F.exists("parts", lambda c: ~F.array_contains("held", c))
-        score = F.col("p") * F.when(missing, PENALTY).otherwise(1.0)
-        among = F.exists("parts", lambda c: ~F.array_contains("held", c) & F.coalesce(F.array_contains("due", c), F.lit(False)))
-        forced = F.col("share").isNotNull() & ((F.lit(len(times)) - F.col("position") <= n_due_now + RESERVE) | (SLOTS - F.size("held") <= n_due_now))
-        score = F.when(forced, F.greatest(score, F.col("share") * F.when(among, PENALTY).otherwise(1.0))).otherwise(score)
-        fits = F.size("held") - F.size(F.array_intersect("held", "parts")) + 1 <= SLOTS
-        options = options.withColumn("score", score).where(fits & (F.col("score") > 0))
-        key = F.round("score", 12)
-        if temperature > 0:
-            key = F.ln("score") / temperature - F.ln(-F.ln(_uniform(seed, "position", "state_id", "item_id")))
-        best = options.groupBy("state_id").agg(F.max(F.struct(key.alias("key"), (-F.col("item_id")).alias("down"), "p", F.col("share").isNotNull().alias("staple"), "parts")).alias("b"))
-        chosen = now.join(best, "state_id").where((F.col("b.p") >= LEAST) | F.col("b.staple"))
-        item = -F.col("b.down")
-        chosen = chosen.select(
-            "hero_id", "archetype_id", "sample", "state_id", "position", item.alias("item_id"), F.col("b.p").alias("p"), F.col("clock").alias("buy_time_s"),
-            F.array_intersect("held", "b.parts").alias("absorbed"), F.array_append(F.array_except("held", "b.parts"), item).alias("held"), F.array_append("bought", item).alias("bought"),
-        )
-        chosen = stored(chosen, "step")
-        steps.append(chosen)
-        states = chosen.select("hero_id", "archetype_id", "sample", "state_id", "held", "bought", (F.col("position") + 1).alias("position"))
-        if not chosen.take(1):
-            break
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out.select("hero_id", "archetype_id", "sample", "position", "item_id", "p", "buy_time_s", "absorbed")
+    # the shop has a few hundred rows, whatever the data
+    parts: dict[int, list[int]] = {r["id"]: [] for r in shop.select("id").collect()}
+    for r in components.collect() if components is not None else ():
+        parts[r["item_id"]] = list(r["parts"])
+
+    def grow(cell: Cell) -> Iterator[tuple]:
+        shares = dict(zip(*(list(x) for x in cell.at(STAPLES))))
+        for sample in range(samples):
+            draw = np.random.default_rng([seed, cell.hero, cell.archetype, sample])
+            held: list[int] = []
+            bought: list[int] = []
+            for position, clock in enumerate(times):
+                seen = set(bought)
+                chances = {x: p for x, p in cell.chances(bought, clock).items() if x not in seen}
+                whole = sum(chances.values())
+                due = {x: s for x, s in shares.items() if x not in seen}
+                pressed = len(times) - position <= len(due) + RESERVE or SLOTS - len(held) <= len(due)
+                best = None
+                for x in sorted(chances.keys() | due.keys()):
+                    if x not in parts:
+                        continue
+                    missing = [c for c in parts[x] if c not in held]
+                    p = chances.get(x, 0.0) / whole if whole > 0 else 0.0
+                    score = p * (PENALTY if missing else 1.0)
+                    if x in due and pressed:
+                        score = max(score, due[x] * (PENALTY if any(c in due for c in missing) else 1.0))
+                    noise = draw.random() if temperature > 0 else 0.0
+                    if score <= 0 or len(held) - (len(parts[x]) - len(missing)) + 1 > SLOTS:
+                        continue
+                    key = math.log(score) / temperature - math.log(-math.log(max(noise, 1e-300))) if temperature > 0 else round(score, 12)
+                    if best is None or key > best[0]:
+                        best = (key, x, p)
+                if best is None or (best[2] < LEAST and best[1] not in due):
+                    break
+                _, x, p = best
+                absorbed = [c for c in held if c in parts[x]]
+                held = [c for c in held if c not in parts[x]] + [x]
+                bought.append(x)
+                yield sample, position, x, p, float(clock), absorbed
+
+    tables = cell_tables(level_table, cells, staples)
+    return _grown(tables, grow, kappa, "sample int, position int, item_id long, p double, buy_time_s double, absorbed array<bigint>")
 
 
 def sell_times(build: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,28 +190,21 @@ def sell_times(build: DataFrame, keys: list[str]) -> DataFrame:
 def point_orders(level_table: DataFrame, cells: DataFrame, times: DataFrame, n_points: int = 16, top: int = 4, kappa: float = KAPPA) -> DataFrame:
     """(hero_id, archetype_id, position, slot, level, p, game_time_s): each cell's greedy order of
     ability points; a slot takes ``top`` points.  ``times``: (hero_id, step, median)."""
-    level_table = stored(level_table, "levels")
-    totals = stored(context_totals(level_table), "totals")
-    states = cells.select("hero_id", "archetype_id").distinct().withColumn("state_id", F.concat_ws("/", "hero_id", "archetype_id")).withColumn("bought", F.array().cast("array<bigint>")).withColumn("clock", F.lit(0.0)).withColumn("position", F.lit(0))
-    states = stored(states, "states")
-    few = states.count() <= FEW
-    steps = []
-    for _ in range(n_points):
-        at = times.select("hero_id", F.col("step").alias("position"), "median")
-        now = states.join(at, ["hero_id", "position"], "left").withColumn("clock", F.greatest("clock", F.coalesce("median", F.col("clock")))).drop("median")
-        last = lambda i: F.coalesce(F.try_element_at("bought", F.lit(-i)), F.lit(NO_ITEM).cast("long"))
-        now = now.withColumn("prev_one", last(1)).withColumn("prev_two", last(2)).withColumn("n_owned", F.col("position")).withColumn("time_bucket", time_bucket(F.col("clock")))
-        mixed = contributions(now, level_table, kappa, totals, few).groupBy("state_id", "item_id").agg(F.sum("part").alias("p"))
-        had = F.size(F.filter("bought", lambda x: x == F.col("item_id")))
-        open_ = mixed.join(now, "state_id").withColumn("had", had).where(F.col("had") < top)
-        best = open_.groupBy("state_id").agg(F.max(F.struct(F.round("p", 12).alias("p"), (-F.col("item_id")).alias("down"), "had")).alias("b"))
-        chosen = stored(now.join(best, "state_id").select("hero_id", "archetype_id", "state_id", "position", (-F.col("b.down")).alias("slot"), (F.col("b.had") + 1).alias("level"), F.col("b.p").alias("p"), F.col("clock").alias("game_time_s"), F.array_append("bought", -F.col("b.down")).alias("bought"), "clock"), "step")
-        steps.append(chosen)
-        states = chosen.select("hero_id", "archetype_id", "state_id", "bought", "clock", (F.col("position") + 1).alias("position"))
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out.select("hero_id", "archetype_id", "position", "slot", "level", "p", "game_time_s")
+
+    def grow(cell: Cell) -> Iterator[tuple]:
+        usual = dict(zip(*(list(x) for x in cell.at(CLOCKS))))
+        bought: list[int] = []
+        clock = 0.0
+        for position in range(n_points):
+            clock = max(clock, float(usual.get(position, clock)))
+            open_ = [(round(p, 12), -x) for x, p in cell.chances(bought, clock).items() if bought.count(x) < top]
+            if not open_:
+                return
+            p, x = max(open_)
+            bought.append(-x)
+            yield position, -x, bought.count(-x), p, clock
+
+    return _grown(cell_tables(level_table, cells, clocks=times), grow, kappa, "position int, slot long, level int, p double, game_time_s double")
 
 
 def build_json(build: DataFrame, shop: DataFrame, keys: list[str]) -> DataFrame:

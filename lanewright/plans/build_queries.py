@@ -173,7 +173,7 @@ def first_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT section_id, item_id, coalesce(kind = 'innate', false) AS late, list_filter(conditions, x -> length(x) > 0)[1] AS named, {SENTENCE} WHERE item_id IS NOT NULL)
+    f"""WITH s AS (SELECT section_id, item_id, coalesce(kind = 'innate', false) AS late, list_filter(conditions, lambda x: length(x) > 0)[1] AS named, {SENTENCE} WHERE item_id IS NOT NULL)
 SELECT item_id, coalesce(arg_min(named, (late, section_id)) FILTER (named IS NOT NULL), arg_min(sentence, section_id) FILTER (sentence IS NOT NULL)) AS headline FROM s GROUP BY item_id"""
 )
 def item_headlines(spark: SparkSession, folder: str) -> DataFrame:
