@@ -58,7 +58,8 @@ def _text(x: Any) -> str | None:
     return x if x.__class__ is str else None if x is None or x.__class__ in (dict, list) else json.dumps(x)
 
 
-ARROW = {"long": (pa.int64(), _long), "string": (pa.string(), _text)}
+#: Kinds of fields: the Arrow type and how a JSON value becomes one; "present" is 1 for any value.
+ARROW = {"long": (pa.int64(), _long), "string": (pa.string(), _text), "present": (pa.int64(), lambda x: 1)}
 
 
 SPACE = re.compile(r"[ \t\n\r]*")
@@ -251,7 +252,7 @@ def node_table(records: DataFrame, doc: str, payload: str, types: list[NodeType]
                     yield from full()
         yield from full()
 
-    schema = "doc long, type string, pre long, post long, pos int, key string" + "".join(f", {c} {k}" for c, k in columns.items())
+    schema = "doc long, type string, pre long, post long, pos int, key string" + "".join(f", {c} {'long' if k == 'present' else k}" for c, k in columns.items())
     return records.select(F.col(doc).cast("long").alias("doc"), F.col(payload)).where(F.length(payload) > 0).mapInArrow(label, schema)
 
 
@@ -278,8 +279,16 @@ def _at(*names: str, kind: str = "long") -> dict[str, tuple[tuple[str, ...], str
     return {n: ((n,), kind) for n in names}
 
 
-MATCH = NodeType("match", _at("match_id", "duration_s", "average_badge") | _at("winning_team", kind="string"), marker="match_id")
-PLAYER = NodeType("player", _at("player_slot", "hero_id", "account_id", "hero_build_id") | _at("team", kind="string"), "match", "players", mapped=True)
+MATCH = NodeType(
+    "match", _at("match_id", "duration_s", "average_badge") | _at("winning_team", "match_outcome", kind="string") | {"has_objectives": (("objectives",), "present")}, marker="match_id"
+)
+PLAYER = NodeType(
+    "player",
+    _at("player_slot", "hero_id", "account_id", "hero_build_id", "pregame_hero_id", "assigned_lane") | _at("team", "player_match_outcome", kind="string") | {"final_net_worth": (("net_worth",), "long")},
+    "match",
+    "players",
+    mapped=True,
+)
 ITEM = NodeType(
     "item",
     _at("item_id", "game_time_s", "sold_time_s", "upgrade_info", "imbued_ability_id") | {"imbue_target": (("imbue", "target", "ability_id"), "long")},
@@ -322,15 +331,20 @@ def item_entries(pulls: DataFrame) -> DataFrame:
     )
 
 
-def flat_tables(pulls: DataFrame) -> dict[str, DataFrame]:
-    """All node tables of the latest valid pulls by name; each row carries match_id and, below players, player_pre."""
-    nodes = stored(node_table(pulls, "raw_id", "payload", EVERY), "nodes")
+def flat_tables(pulls: DataFrame, *names: str) -> dict[str, DataFrame]:
+    """The node tables of the latest valid pulls by name (all, or those named with the types above them);
+    each row carries match_id and, below players, player_pre."""
+    wanted = {t.name for t in EVERY} if not names else {"match", *names} | ({"player"} if {"item", "stat"} & set(names) else set())
+    types = [t for t in EVERY if t.name in wanted]
+    nodes = stored(node_table(pulls, "raw_id", "payload", types), "nodes")
     chosen = latest_matches(nodes, pulls).select("doc", F.col("pre").alias("match_pre"))
     out = {"match": nodes.where(F.col("type") == "match").withColumnRenamed("pre", "match_pre").join(chosen, ["doc", "match_pre"], "left_semi").select("doc", "match_pre", *MATCH.fields)}
-    for t in EVERY[1:]:
+    for t in types[1:]:
         ups = {"match": "match_id"} | ({"player": slot_of()} if t.parent == "player" else {})
         links = linked(nodes, t.name, ups, F.lit(None).cast("long")).join(chosen, ["doc", "match_pre"], "left_semi")
         extra = [F.col("player_pre"), F.col("player_value").cast("int").alias("player_slot")] if "player" in ups else []
         own = nodes.where(F.col("type") == t.name).select("doc", "pre", "key", *t.fields)
+        if t.name == "player":
+            own = own.withColumn("player_slot", F.expr(slot_of()).cast("int"))
         out[t.name] = links.select("doc", "pre", "pos", F.col("match_value").alias("match_id"), *extra).join(own, ["doc", "pre"])
     return out

@@ -1,9 +1,10 @@
 """Domain tables derived from the stored tables, and the same derivations as SQL.
 
 ``buys`` is one row per purchase that has hero, item and time; ``step`` is its
-place in the seat's order of time.  Archetype labels, ability points and
-imbues, which the stored tables do not hold, follow fixed arithmetic rules, so
-that every operator on them can be checked against SQL over whole tables.
+place in the seat's order of time.  Ability points and imbues come from the
+stored match pulls.  Archetype labels, which the stored tables do not hold,
+follow a fixed arithmetic rule, so that every operator on them can be checked
+against SQL over whole tables.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lanewright.operators import facts, nested
 from lanewright.sources.tables import table
 
 SEAT = ["match_id", "player_slot"]
@@ -34,19 +36,34 @@ def labels(bought: DataFrame) -> DataFrame:
     return bought.select(*SEAT).distinct().withColumn("archetype_id", F.pmod(F.col("match_id") + F.col("player_slot"), F.lit(3)).cast("int"))
 
 
-def points(bought: DataFrame) -> DataFrame:
-    """Ability points: slot -1 stands for an ability without slot; levels count up to 4."""
-    rest = F.pmod("item_id", F.lit(5)).cast("int")
-    slotted = bought.withColumn("signature_slot", F.when(rest == 0, -1).otherwise(rest))
-    nth = F.row_number().over(Window.partitionBy(*SEAT, "signature_slot").orderBy("step"))
-    return slotted.select(*SEAT, "hero_id", "average_badge", "signature_slot", F.least(nth, F.lit(4)).alias("level"), F.col("buy_time_s").alias("game_time_s"), "step")
+def pulls(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Node tables of the stored match pulls."""
+    return nested.flat_tables(table(spark, folder, "raw_matches"), *names)
 
 
-def imbues(bought: DataFrame, shop: DataFrame) -> DataFrame:
-    """Imbued items with their target slot and ability."""
-    imbued = bought.join(F.broadcast(shop.where("imbue is not null").select(F.col("id").alias("item_id"))), "item_id", "left_semi")
-    slot = (F.pmod(F.col("match_id") * 7 + F.col("item_id") % 11 + F.col("player_slot"), F.lit(4)) + 1).cast("int")
-    return imbued.select(*SEAT, "hero_id", "item_id", slot.alias("signature_slot"), (slot + 9000).cast("long").alias("imbued_ability_id"), F.when(F.col("item_id") % 2 == 0, "active").otherwise("modifier").alias("imbue_group"), F.col("buy_time_s").alias("game_time_s"))
+def slots(flat: dict[str, DataFrame], shop: DataFrame) -> DataFrame:
+    """(hero_id, ability_id, signature_slot): the stored tables name no slots, so the abilities that a hero's
+    players put points into are numbered by id; only the first four have a slot."""
+    rest = flat["item"].where("item_id is not null").join(F.broadcast(shop.select(F.col("id").alias("item_id"))), "item_id", "left_anti")
+    who = flat["player"].select("doc", F.col("pre").alias("player_pre"), "hero_id").where("hero_id is not null")
+    known = rest.join(who, ["doc", "player_pre"]).select("hero_id", F.col("item_id").alias("ability_id")).distinct()
+    nth = F.row_number().over(Window.partitionBy("hero_id").orderBy("ability_id"))
+    return known.withColumn("signature_slot", nth).where("signature_slot <= 4")
+
+
+def points(spark: SparkSession, folder: str) -> DataFrame:
+    """Ability points of the latest pulls."""
+    flat, shop = pulls(spark, folder, "item"), items(spark, folder)
+    return facts.point_facts(flat, shop, slots(flat, shop))
+
+
+def imbues(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Imbued purchases of the latest pulls, and the players (hero_id, seat) who bought anything."""
+    flat, shop = pulls(spark, folder, "item"), items(spark, folder)
+    imbueable = shop.where("imbue is not null").select(F.col("id").alias("item_id"), F.col("imbue").alias("imbue_group"))
+    seat = facts.seats(flat).select("doc", "player_pre", "hero_id", *SEAT)
+    players = seat.join(facts.purchases(flat, shop).select("doc", "player_pre"), ["doc", "player_pre"], "left_semi").select("hero_id", *SEAT).distinct()
+    return facts.imbue_facts(flat, imbueable, slots(flat, shop)), players
 
 
 #: The derivations as common table expressions; ``with_()`` picks what a query needs.
@@ -60,16 +77,49 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   GROUP BY match_id, player_slot, buy_index)""",
     ),
     "labels": (("buys",), "SELECT DISTINCT match_id, player_slot, ((match_id + player_slot) % 3)::int AS archetype_id FROM buys"),
+    "pull_node": (
+        (),
+        """SELECT raw_id, pulled_at, unnest(ms) AS m, generate_subscripts(ms, 1) AS pos FROM (
+  SELECT raw_id, pulled_at, CASE WHEN json_type(j) = 'ARRAY' THEN from_json(j, '["JSON"]') WHEN (j->'match_id') IS NOT NULL THEN [j]
+    WHEN (j->'match_info') IS NOT NULL THEN [j->'match_info'] WHEN json_type(j->'data') = 'ARRAY' THEN from_json(j->'data', '["JSON"]') END AS ms FROM (
+    SELECT raw_id, pulled_at, CASE WHEN json_type(payload) = 'VARCHAR' THEN (payload::json->>'$')::json ELSE payload::json END AS j FROM raw_matches WHERE json_valid(payload)))""",
+    ),
+    "pull_match": (
+        ("pull_node",),
+        """SELECT match_id, m FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY pulled_at DESC NULLS LAST, raw_id DESC, pos DESC) AS nth FROM (
+  SELECT *, try_cast(m->>'match_id' AS bigint) AS match_id FROM pull_node)) WHERE match_id IS NOT NULL AND nth = 1""",
+    ),
+    "pull_player": (
+        ("pull_match",),
+        """SELECT match_id, m, u.p AS p, coalesce(try_cast(u.p->>'player_slot' AS bigint), try_cast(u.k AS bigint))::int AS player_slot, try_cast(u.p->>'hero_id' AS bigint) AS hero_id, (u.p->>'team') AS team,
+    try_cast(m->>'average_badge' AS bigint) AS average_badge FROM (
+  SELECT match_id, m, unnest(CASE json_type(m->'players') WHEN 'ARRAY' THEN list_transform(from_json(m->'players', '["JSON"]'), lambda x: {'k': NULL::varchar, 'p': x})
+    WHEN 'OBJECT' THEN list_transform(json_keys(m->'players'), lambda k: {'k': k, 'p': json_extract(m->'players', concat('$."', k, '"'))}) END) AS u FROM pull_match) WHERE json_type(u.p) = 'OBJECT'""",
+    ),
+    "pull_entry": (
+        ("pull_player",),
+        """SELECT match_id, player_slot, hero_id, average_badge, pos - 1 AS pos, try_cast(e->>'item_id' AS bigint) AS item_id, try_cast(e->>'game_time_s' AS bigint) AS game_time_s, try_cast(e->>'sold_time_s' AS bigint) AS sold_time_s,
+    try_cast(e->>'upgrade_info' AS bigint) AS upgrade_info, coalesce(nullif(try_cast(e->>'imbued_ability_id' AS bigint), 0), nullif(try_cast(e->'imbue'->'target'->>'ability_id' AS bigint), 0)) AS target FROM (
+  SELECT * EXCLUDE es, unnest(es) AS e, generate_subscripts(es, 1) AS pos FROM (SELECT * EXCLUDE i, CASE json_type(i) WHEN 'ARRAY' THEN from_json(i, '["JSON"]') WHEN 'OBJECT' THEN [i] END AS es FROM (
+    SELECT *, CASE WHEN json_type(p->'items') = 'VARCHAR' AND json_valid(p->>'items') THEN (p->>'items')::json ELSE p->'items' END AS i FROM pull_player))) WHERE json_type(e) = 'OBJECT'""",
+    ),
+    "slots": (
+        ("pull_entry",),
+        """SELECT * FROM (SELECT hero_id, ability_id, row_number() OVER (PARTITION BY hero_id ORDER BY ability_id)::int AS signature_slot FROM (
+  SELECT DISTINCT hero_id, item_id AS ability_id FROM pull_entry WHERE hero_id IS NOT NULL AND item_id IS NOT NULL AND item_id NOT IN (SELECT id FROM items))) WHERE signature_slot <= 4""",
+    ),
     "points": (
-        ("buys",),
-        """SELECT match_id, player_slot, hero_id, average_badge, signature_slot, least(row_number() OVER (PARTITION BY match_id, player_slot, signature_slot ORDER BY step), 4) AS level, buy_time_s AS game_time_s, step
-  FROM (SELECT *, CASE WHEN item_id % 5 = 0 THEN -1 ELSE (item_id % 5)::int END AS signature_slot FROM buys)""",
+        ("slots",),
+        """SELECT match_id, player_slot, e.hero_id, average_badge, ability_id, coalesce(signature_slot, -1) AS signature_slot, level, game_time_s, row_number() OVER (PARTITION BY match_id, player_slot ORDER BY game_time_s, pos) - 1 AS step FROM (
+  SELECT match_id, player_slot, hero_id, average_badge, pos, item_id AS ability_id, CASE upgrade_info >> 16 WHEN 1 THEN 1 WHEN 3 THEN 2 WHEN 7 THEN 3 WHEN 15 THEN 4 ELSE 0 END AS level, coalesce(game_time_s, 0) AS game_time_s
+  FROM pull_entry WHERE item_id IS NOT NULL AND item_id NOT IN (SELECT id FROM items)) e LEFT JOIN slots USING (hero_id, ability_id)""",
     ),
     "imbues": (
-        ("buys",),
-        """SELECT match_id, player_slot, hero_id, item_id, signature_slot, (signature_slot + 9000)::bigint AS imbued_ability_id, CASE WHEN item_id % 2 = 0 THEN 'active' ELSE 'modifier' END AS imbue_group, buy_time_s AS game_time_s
-  FROM (SELECT *, ((match_id * 7 + item_id % 11 + player_slot) % 4 + 1)::int AS signature_slot FROM buys WHERE item_id IN (SELECT id FROM items WHERE imbue IS NOT NULL))""",
+        ("slots",),
+        """SELECT match_id, player_slot, e.hero_id, item_id, target AS imbued_ability_id, coalesce(signature_slot, -1) AS signature_slot, imbue AS imbue_group, coalesce(game_time_s, 0) AS game_time_s
+  FROM pull_entry e JOIN items i ON e.item_id = i.id AND i.imbue IS NOT NULL LEFT JOIN slots s ON e.hero_id = s.hero_id AND e.target = s.ability_id WHERE target IS NOT NULL""",
     ),
+    "players": (("pull_entry",), "SELECT DISTINCT hero_id, match_id, player_slot FROM pull_entry WHERE game_time_s IS NOT NULL AND item_id IN (SELECT id FROM items)"),
 }
 
 

@@ -70,9 +70,8 @@ def sampled_staples(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def ability_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The greedy order of ability points of every hero and archetype."""
-    bought = adapters.buys(spark, folder)
-    labels = adapters.labels(bought)
-    spent = points.as_sequence(adapters.points(bought), SEAT)
+    spent = stored(points.as_sequence(adapters.points(spark, folder), SEAT), "spent")
+    labels = adapters.labels(spent)
     level_table = backoff.levels(backoff.prepared(spent, labels, SEAT))
     times = points.weighted_median(spent.withColumn("w", F.lit(1)), ["hero_id", "step"], "buy_time_s", "w")
     cells = spent.select("hero_id", *SEAT).distinct().join(labels, SEAT).select("hero_id", "archetype_id").distinct()
@@ -131,7 +130,7 @@ EFFECTS = [(1, 2, "control"), (1, 3, "damage"), (2, 2, "damage"), (2, 4, "area")
 
 
 def _exposed(spark: SparkSession, folder: str) -> DataFrame:
-    ordered = points.point_order(adapters.points(adapters.buys(spark, folder)), [*SEAT, "hero_id"])
+    ordered = points.point_order(adapters.points(spark, folder), [*SEAT, "hero_id"])
     return points.exposure(ordered, [*SEAT, "hero_id"])
 
 

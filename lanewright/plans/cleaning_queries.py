@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.operators import cleaning, economy, nested, points, ranking, splitting
+from lanewright.operators import cleaning, economy, facts, points, ranking, splitting
 from lanewright.operators.evaluation import prevalence
 from lanewright.plans import adapters
 from lanewright.plans.adapters import SEAT, with_
@@ -106,37 +106,79 @@ def match_position(spark: SparkSession, folder: str) -> DataFrame:
     return told.select(*SEAT, "at_s", *(F.round(c, 6).alias(c) for c in ("vs_median", "vs_team", "vs_enemies", "rank_share")))
 
 
-@query()
+#: Times at which each team destroyed its first three enemy guards, and first claimed the boss.
+TEAM_STATE = """kills AS (SELECT match_id, CASE (o->>'team') WHEN 'Team0' THEN 'Team1' WHEN 'Team1' THEN 'Team0' END AS team, try_cast(o->>'destroyed_time_s' AS bigint) AS secs FROM (
+    SELECT match_id, unnest(from_json(m->'objectives', '["JSON"]')) AS o FROM pull_match WHERE json_type(m->'objectives') = 'ARRAY') WHERE starts_with(o->>'team_objective', 'Tier2Lane')),
+three AS (SELECT match_id, team, max(secs) FILTER (nth = 1) AS kill_1, max(secs) FILTER (nth = 2) AS kill_2, max(secs) FILTER (nth = 3) AS kill_3 FROM (
+    SELECT *, row_number() OVER (PARTITION BY match_id, team ORDER BY secs) AS nth FROM kills WHERE secs > 1 AND team IS NOT NULL) GROUP BY match_id, team),
+boss AS (SELECT match_id, team, min(CASE WHEN secs > 1 THEN secs END) AS boss_s FROM (SELECT match_id, coalesce(b->>'team_claimed', b->>'team_killed') AS team, try_cast(b->>'destroyed_time_s' AS bigint) AS secs FROM (
+    SELECT match_id, unnest(from_json(m->'mid_boss', '["JSON"]')) AS b FROM pull_match WHERE json_type(m->'mid_boss') = 'ARRAY')) WHERE team IS NOT NULL GROUP BY match_id, team),
+team_state AS (SELECT coalesce(t.match_id, b.match_id) AS match_id, coalesce(t.team, b.team) AS team, kill_1, kill_2, kill_3, boss_s FROM three t FULL JOIN boss b ON t.match_id = b.match_id AND t.team = b.team)"""
+
+
+@query(with_("pull_match") + ",\n" + TEAM_STATE + "\nSELECT * FROM team_state")
 def team_match_state(spark: SparkSession, folder: str) -> DataFrame:
     """First three guard kills and first boss of each team in the latest pull of each match."""
-    flat = nested.flat_tables(table(spark, folder, "raw_matches"))
+    flat = adapters.pulls(spark, folder, "objective", "boss")
     return cleaning.team_state(flat["objective"], flat["boss"])
 
 
-@query()
+@query(with_("pull_entry") + "\nSELECT match_id, player_slot, item_id, game_time_s, row_number() OVER (PARTITION BY match_id, player_slot ORDER BY game_time_s NULLS FIRST, pos) - 1 AS buy_index FROM pull_entry WHERE item_id IN (SELECT id FROM items)")
 def clean_purchases(spark: SparkSession, folder: str) -> DataFrame:
     """Shop items bought in the latest pulls, in order of time; the complement are ability points."""
-    flat = nested.flat_tables(table(spark, folder, "raw_matches"))
-    bought = flat["item"].join(F.broadcast(table(spark, folder, "items").select(F.col("id").alias("item_id"))), "item_id", "left_semi")
+    flat = adapters.pulls(spark, folder, "item")
+    bought = flat["item"].join(F.broadcast(adapters.items(spark, folder).select(F.col("id").alias("item_id"))), "item_id", "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc", "player_pre").orderBy("game_time_s", "pos")) - 1
     return bought.select("match_id", "player_slot", "item_id", "game_time_s", nth.alias("buy_index"))
 
 
-@query()
-def ability_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of the latest pulls that are no shop items, with the level their bit mask stands for."""
-    flat = nested.flat_tables(table(spark, folder, "raw_matches"))
-    rest = flat["item"].where("item_id is not null").join(F.broadcast(table(spark, folder, "items").select(F.col("id").alias("item_id"))), "item_id", "left_anti")
-    return rest.select("match_id", "player_slot", F.col("item_id").alias("ability_id"), points.level_of(F.col("upgrade_info")).alias("level"), F.coalesce("game_time_s", F.lit(0)).alias("game_time_s"))
+@query(with_("points") + "\nSELECT match_id, player_slot, hero_id, average_badge, ability_id, signature_slot, level, game_time_s, step FROM points")
+def point_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of the latest pulls that are no shop items, with slot and the level their bit mask stands for."""
+    return adapters.points(spark, folder)
+
+
+@query(with_("imbues") + "\nSELECT * FROM imbues")
+def imbue_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Imbued purchases of the latest pulls, with the slot they aim at."""
+    return adapters.imbues(spark, folder)[0]
 
 
-@query()
+@query(with_("pull_entry") + "\nSELECT count(i.id) AS n_purchases, sum((i.id IS NULL)::int)::bigint AS n_points, count(*) AS n_entries, true AS ok FROM pull_entry e LEFT JOIN items i ON e.item_id = i.id WHERE item_id IS NOT NULL")
 def entry_reconciliation(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases and ability points must add up to all entries."""
-    flat = nested.flat_tables(table(spark, folder, "raw_matches"))
-    known = flat["item"].where("item_id is not null").join(F.broadcast(table(spark, folder, "items").select(F.col("id").alias("item_id"), F.lit(1).alias("shop"))), "item_id", "left")
-    told = known.agg(F.count("shop").alias("n_purchases"), F.sum(F.when(F.col("shop").isNull(), 1).otherwise(0)).alias("n_points"), F.count(F.lit(1)).alias("n_entries"))
-    return told.withColumn("ok", F.col("n_purchases") + F.col("n_points") == F.col("n_entries"))
+    return facts.reconciled(adapters.pulls(spark, folder, "item"), adapters.items(spark, folder))
+
+
+#: The fact rows: every curve as lists of times and values, read off by the same straight lines.
+FACTS = TEAM_STATE + """,
+dots AS (SELECT match_id, player_slot, t, w FROM (SELECT match_id, player_slot, try_cast(s->>'time_stamp_s' AS double) AS t, try_cast(s->>'net_worth' AS double) AS w FROM (
+    SELECT match_id, player_slot, unnest(from_json(p->'stats', '["JSON"]')) AS s FROM pull_player WHERE json_type(p->'stats') = 'ARRAY')) WHERE t IS NOT NULL AND w IS NOT NULL),
+shape AS (SELECT p.match_id, p.player_slot, p.team, list(t ORDER BY t, w) FILTER (t IS NOT NULL) AS ts, list(w ORDER BY t, w) FILTER (t IS NOT NULL) AS ws FROM pull_player p LEFT JOIN dots d ON p.match_id = d.match_id AND p.player_slot = d.player_slot GROUP BY ALL),
+shape0 AS (SELECT match_id, player_slot, team, CASE WHEN ts IS NULL THEN [0.0::double] WHEN ts[1] > 0 THEN list_prepend(0.0::double, ts) ELSE ts END AS ts, CASE WHEN ts IS NULL THEN [0.0::double] WHEN ts[1] > 0 THEN list_prepend(0.0::double, ws) ELSE ws END AS ws FROM shape),
+got AS (SELECT e.match_id, e.player_slot, item_id, game_time_s AS t, pos, coalesce(sold_time_s, 0) AS sold_time_s, row_number() OVER (PARTITION BY e.match_id, e.player_slot ORDER BY game_time_s, pos) - 1 AS buy_index
+    FROM pull_entry e WHERE item_id IN (SELECT id FROM items) AND game_time_s IS NOT NULL),
+near AS (SELECT g.*, s.player_slot AS other, s.team AS other_team, ts, ws, len(list_filter(ts, lambda x: x <= g.t)) AS k FROM got g JOIN shape0 s ON g.match_id = s.match_id),
+then_ AS (SELECT *, CASE WHEN k = 0 THEN ws[1] WHEN k = len(ts) THEN ws[k] ELSE ws[k] + coalesce((ws[k + 1] - ws[k]) * (t - ts[k]) / nullif(ts[k + 1] - ts[k], 0), 0) END AS w FROM near),
+own AS (SELECT match_id, player_slot, buy_index, w AS nw, other_team AS team FROM then_ WHERE other = player_slot),
+told AS (SELECT n.match_id, n.player_slot, n.buy_index, any_value(o.nw) AS nw, any_value(o.team) AS team, median(w) AS med, avg(w) FILTER (coalesce(other_team = o.team, false)) AS own, avg(w) FILTER (NOT coalesce(other_team = o.team, false)) AS enemy,
+    sum((w < o.nw)::int) / greatest(count(*) - 1, 1) AS below FROM then_ n JOIN own o ON n.match_id = o.match_id AND n.player_slot = o.player_slot AND n.buy_index = o.buy_index GROUP BY n.match_id, n.player_slot, n.buy_index),
+seat AS (SELECT match_id, player_slot, hero_id, team, average_badge, try_cast(p->>'account_id' AS bigint) AS account_id, try_cast(p->>'assigned_lane' AS bigint) AS assigned_lane, try_cast(p->>'net_worth' AS bigint) AS final_net_worth,
+    nullif(try_cast(p->>'hero_build_id' AS bigint), 0) AS hero_build_id, nullif(try_cast(p->>'pregame_hero_id' AS bigint), 0) AS pregame_hero_id, try_cast(m->>'duration_s' AS bigint) AS duration_s, coalesce(json_type(m->'objectives') <> 'NULL', false) AS has_objectives,
+    CASE WHEN (p->>'player_match_outcome') = 'Win' THEN true WHEN (p->>'player_match_outcome') IN ('Loss', 'Penalized', 'PenalizedParty') THEN false WHEN (p->>'player_match_outcome') IN ('Invalid', 'NotScored') THEN NULL
+      WHEN (m->>'winning_team') IS NULL OR (m->>'winning_team') = 'Spectator' OR team = 'Spectator' OR (m->>'match_outcome') <> 'TeamWin' THEN NULL ELSE team = (m->>'winning_team') END AS won FROM pull_player),
+facts AS (SELECT s.*, kill_1, kill_2, kill_3, boss_s, item_id, g.t AS buy_time_s, least(greatest(floor(g.t / 600), 0), 3)::int AS phase, g.buy_index, g.sold_time_s <> 0 AS sold, g.sold_time_s, round(nw, 6) AS nw_at_buy,
+    round(nw / CASE WHEN coalesce(med, 1) = 0 THEN 1 ELSE coalesce(med, 1) END, 6) AS nw_vs_match_median, round(nw / CASE WHEN coalesce(own, 1) = 0 THEN 1 ELSE coalesce(own, 1) END, 6) AS nw_vs_team_avg,
+    round(nw / CASE WHEN coalesce(enemy, 1) = 0 THEN 1 ELSE coalesce(enemy, 1) END, 6) AS nw_vs_enemy_avg, round(below, 6) AS nw_rank_in_match
+  FROM got g JOIN told USING (match_id, player_slot, buy_index) JOIN seat s ON s.match_id = g.match_id AND s.player_slot = g.player_slot LEFT JOIN team_state ts ON ts.match_id = s.match_id AND ts.team = s.team WHERE won IS NOT NULL)"""
+ROUNDED = ("nw_at_buy", "nw_vs_match_median", "nw_vs_team_avg", "nw_vs_enemy_avg", "nw_rank_in_match")
+
+
+@query(with_("pull_entry") + ",\n" + FACTS + "\nSELECT *, greatest(ceil(5 * (rn - 1) / greatest(n - 1, 1)) - 1, 0)::int AS nw_quintile FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY nw_at_buy, match_id, player_slot, buy_index) AS rn, count(*) OVER (PARTITION BY phase) AS n FROM facts)".replace("SELECT *, greatest", "SELECT * EXCLUDE (rn, n), greatest"))
+def purchase_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The purchase table from the latest pulls: one row per purchase, with the state of player, team and match."""
+    told = facts.purchase_facts(adapters.pulls(spark, folder), adapters.items(spark, folder))
+    return facts.with_quintiles(told.select(*(F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in told.columns)))
 
 
 def _split_sql(key: str, order: str) -> str:
@@ -179,7 +221,7 @@ SELECT match_id, player_slot, """
     + """, coalesce(arg_min(signature_slot, (game_time_s, step)) FILTER (game_time_s <= 480 AND signature_slot > 0), 0)::int AS first_slot FROM points GROUP BY match_id, player_slot"""
 )
 def ability_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return points.levels_at(adapters.points(adapters.buys(spark, folder)), SEAT, 480)
+    return points.levels_at(adapters.points(spark, folder), SEAT, 480)
 
 
 @query(
@@ -192,7 +234,7 @@ SELECT p.match_id, p.player_slot, """
     + """ FROM (SELECT DISTINCT match_id, player_slot FROM points) p LEFT JOIN r ON p.match_id = r.match_id AND p.player_slot = r.player_slot GROUP BY p.match_id, p.player_slot"""
 )
 def slot_order(spark: SparkSession, folder: str) -> DataFrame:
-    return points.slot_order(adapters.points(adapters.buys(spark, folder)), SEAT)
+    return points.slot_order(adapters.points(spark, folder), SEAT)
 
 
 POINT_COLUMNS = [f"pt_{s}_l{L}" for s in (1, 2, 3, 4) for L in (2, 3, 4)]
@@ -201,7 +243,7 @@ ordered AS (SELECT match_id, player_slot, hero_id, """ + ", ".join(f"coalesce(mi
 
 
 def _ordered(spark: SparkSession, folder: str) -> DataFrame:
-    return points.point_order(adapters.points(adapters.buys(spark, folder)), [*SEAT, "hero_id"])
+    return points.point_order(adapters.points(spark, folder), [*SEAT, "hero_id"])
 
 
 @query(with_("points") + ",\n" + POINT_ORDER + "\nSELECT match_id, player_slot, hero_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in POINT_COLUMNS) + " FROM ordered")
@@ -209,9 +251,9 @@ def point_order(spark: SparkSession, folder: str) -> DataFrame:
     return _ordered(spark, folder).select(*SEAT, "hero_id", *(F.round(c, 6).alias(c) for c in POINT_COLUMNS))
 
 
-@query(with_("points") + ",\n" + POINT_ORDER + "\nSELECT match_id, player_slot, hero_id, " + ", ".join(f"round({c} - avg({c}) OVER (PARTITION BY hero_id), 6) AS {c}" for c in POINT_COLUMNS) + " FROM ordered")
+@query(with_("points") + ",\n" + POINT_ORDER + "\nSELECT match_id, player_slot, hero_id, " + ", ".join(f"round({c} - avg({c}) OVER (PARTITION BY hero_id), 9) AS {c}" for c in POINT_COLUMNS) + " FROM ordered")
 def residual_mean(spark: SparkSession, folder: str) -> DataFrame:
-    return points.less_mean(_ordered(spark, folder), ["hero_id"], POINT_COLUMNS).select(*SEAT, "hero_id", *(F.round(c, 6).alias(c) for c in POINT_COLUMNS))
+    return points.less_mean(_ordered(spark, folder), ["hero_id"], POINT_COLUMNS).select(*SEAT, "hero_id", *(F.round(c, 9).alias(c) for c in POINT_COLUMNS))
 
 
 @query(
@@ -227,7 +269,7 @@ def residual_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_("points") + "\nSELECT match_id, player_slot, coalesce(arg_min(signature_slot, (game_time_s, step)) FILTER (level >= 4 AND signature_slot > 0), 0)::int AS first_maxed FROM points GROUP BY match_id, player_slot")
 def first_maxed(spark: SparkSession, folder: str) -> DataFrame:
-    return points.first_maxed(adapters.points(adapters.buys(spark, folder)), SEAT)
+    return points.first_maxed(adapters.points(spark, folder), SEAT)
 
 
 @query(
@@ -239,9 +281,8 @@ SELECT i.signature_slot, i.imbue_group, level_then, count(*) AS n FROM (
   GROUP BY ALL) i GROUP BY 1, 2, 3"""
 )
 def level_at_imbue(spark: SparkSession, folder: str) -> DataFrame:
-    bought = adapters.buys(spark, folder)
-    rows = adapters.imbues(bought, adapters.items(spark, folder)).distinct()
-    return points.level_at(rows, adapters.points(bought), SEAT).groupBy("signature_slot", "imbue_group", "level_then").agg(F.count(F.lit(1)).alias("n"))
+    rows = adapters.imbues(spark, folder)[0].distinct()
+    return points.level_at(rows, adapters.points(spark, folder), SEAT).groupBy("signature_slot", "imbue_group", "level_then").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -254,7 +295,7 @@ SELECT hero_id, step::int AS step, min(v) AS median FROM c WHERE total > 0 AND u
 )
 def point_timings(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted median time of each point of a hero, in whole millionths of weight so that sums are exact."""
-    rows = points.as_sequence(adapters.points(adapters.buys(spark, folder)), SEAT)
+    rows = points.as_sequence(adapters.points(spark, folder), SEAT)
     w = F.round(F.coalesce(F.exp(-F.pow((F.col("average_badge") - 80.0) / 25.0, 2)), F.lit(1.0)) * 1_000_000).cast("long")
     return points.weighted_median(rows.withColumn("w", w), ["hero_id", "step"], "buy_time_s", "w")
 

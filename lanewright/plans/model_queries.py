@@ -308,54 +308,53 @@ def best_counters(spark: SparkSession, folder: str) -> DataFrame:
     return counters.best_counters(counters.counter_lifts(adapters.buys(spark, folder), 100, -1)).select("item_id", "enemy_hero_id", F.round("lift", 9).alias("lift"))
 
 
-DIRECTION = """slots AS (SELECT hero_id, item_id, signature_slot, count(*) AS n FROM imbues GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY hero_id, item_id) AS p FROM slots),
-who AS (SELECT hero_id, item_id, count(*) AS buyers FROM (SELECT DISTINCT hero_id, item_id, match_id, player_slot FROM imbues) GROUP BY ALL), np AS (SELECT hero_id, count(*) AS np FROM (SELECT DISTINCT hero_id, match_id, player_slot FROM buys) GROUP BY hero_id),
+DIRECTION = """aims AS (SELECT hero_id, item_id, signature_slot, count(*) AS n FROM imbues GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY hero_id, item_id) AS p FROM aims),
+who AS (SELECT hero_id, item_id, count(*) AS buyers FROM (SELECT DISTINCT hero_id, item_id, match_id, player_slot FROM imbues) GROUP BY ALL), np AS (SELECT hero_id, count(*) AS np FROM players GROUP BY hero_id),
 direction AS (SELECT p.hero_id, p.item_id, sum(n)::bigint AS purchases, max(buyers) AS buyers, max(buyers) / max(np) AS buy_rate, arg_max(signature_slot, (n, -signature_slot)) AS top_slot, max(p) AS top_share, -sum(p * log2(p)) AS entropy
   FROM p JOIN who ON p.hero_id = who.hero_id AND p.item_id = who.item_id JOIN np ON np.hero_id = p.hero_id GROUP BY p.hero_id, p.item_id),
 rates AS (SELECT np.hero_id, coalesce(c, 0) / np AS rate FROM np LEFT JOIN (SELECT hero_id, count(*) AS c FROM (SELECT DISTINCT hero_id, match_id, player_slot FROM imbues) GROUP BY hero_id) d ON d.hero_id = np.hero_id)"""
 
 
 def _imbued(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    bought = adapters.buys(spark, folder)
-    return adapters.imbues(bought, adapters.items(spark, folder)), bought.select("hero_id", *SEAT).distinct()
+    return adapters.imbues(spark, folder)
 
 
-@query(with_("imbues") + ",\n" + DIRECTION + "\nSELECT hero_id, item_id, purchases, buyers, round(buy_rate, 9) AS buy_rate, top_slot, round(top_share, 9) AS top_share, round(entropy, 6) AS entropy FROM direction")
+@query(with_("imbues", "players") + ",\n" + DIRECTION + "\nSELECT hero_id, item_id, purchases, buyers, round(buy_rate, 9) AS buy_rate, top_slot, round(top_share, 9) AS top_share, round(entropy, 6) AS entropy FROM direction")
 def item_direction(spark: SparkSession, folder: str) -> DataFrame:
     told = imbues.item_direction(*_imbued(spark, folder), SEAT)
     return told.select("hero_id", "item_id", "purchases", "buyers", F.round("buy_rate", 9).alias("buy_rate"), "top_slot", F.round("top_share", 9).alias("top_share"), F.round("entropy", 6).alias("entropy"))
 
 
-@query(with_("imbues") + ",\n" + DIRECTION + "\nSELECT hero_id, round(rate, 9) AS rate FROM rates")
+@query(with_("imbues", "players") + ",\n" + DIRECTION + "\nSELECT hero_id, round(rate, 9) AS rate FROM rates")
 def imbue_rate(spark: SparkSession, folder: str) -> DataFrame:
     return imbues.imbue_rate(*_imbued(spark, folder), SEAT).withColumn("rate", F.round("rate", 9))
 
 
-@query(with_("imbues") + ",\n" + DIRECTION + "\nSELECT DISTINCT d.hero_id FROM direction d JOIN rates r ON d.hero_id = r.hero_id WHERE purchases >= 10 AND buy_rate >= 0.05 AND entropy >= 0.8 AND rate >= 0.3")
+@query(with_("imbues", "players") + ",\n" + DIRECTION + "\nSELECT DISTINCT d.hero_id FROM direction d JOIN rates r ON d.hero_id = r.hero_id WHERE purchases >= 2 AND buy_rate >= 0.02 AND entropy >= 0.8 AND rate >= 0.05")
 def gated_heroes(spark: SparkSession, folder: str) -> DataFrame:
     rows, players = _imbued(spark, folder)
-    return imbues.gated_heroes(imbues.item_direction(rows, players, SEAT), imbues.imbue_rate(rows, players, SEAT), 0.3, min_purchases=10, min_buy_rate=0.05, min_entropy=0.8)
+    return imbues.gated_heroes(imbues.item_direction(rows, players, SEAT), imbues.imbue_rate(rows, players, SEAT), 0.05, min_purchases=2, min_buy_rate=0.02, min_entropy=0.8)
 
 
 IMBUE_FEATURES = "features AS (SELECT s.hero_id, s.match_id, s.player_slot, " + ", ".join(f"coalesce(sum((imbue_group = '{g}' AND signature_slot = {k})::int) / nullif(sum((imbue_group = '{g}')::int), 0), 0) AS {g}_{k}" for g in ("active", "modifier") for k in (1, 2, 3, 4)) + """, least(count(i.item_id) / 4, 1) AS depth, (count(i.item_id) > 0)::int AS has_imbue
-FROM (SELECT DISTINCT hero_id, match_id, player_slot FROM buys) s LEFT JOIN imbues i ON s.match_id = i.match_id AND s.player_slot = i.player_slot GROUP BY s.hero_id, s.match_id, s.player_slot)"""
+FROM players s LEFT JOIN imbues i ON s.match_id = i.match_id AND s.player_slot = i.player_slot GROUP BY s.hero_id, s.match_id, s.player_slot)"""
 SHARES = [f"{g}_{k}" for g in ("active", "modifier") for k in (1, 2, 3, 4)]
 
 
-@query(with_("imbues") + ",\n" + IMBUE_FEATURES + "\nSELECT match_id, player_slot, " + ", ".join(f"round({c}, 9) AS {c}" for c in SHARES) + ", round(depth, 9)::double AS depth, has_imbue FROM features")
+@query(with_("imbues", "players") + ",\n" + IMBUE_FEATURES + "\nSELECT match_id, player_slot, " + ", ".join(f"round({c}, 9) AS {c}" for c in SHARES) + ", round(depth, 9)::double AS depth, has_imbue FROM features")
 def imbue_features(spark: SparkSession, folder: str) -> DataFrame:
     told = imbues.imbue_features(*_imbued(spark, folder), SEAT)
     return told.select(*SEAT, *(F.round(c, 9).alias(c) for c in [*SHARES, "depth"]), "has_imbue")
 
 
-@query(with_("imbues") + ",\n" + IMBUE_FEATURES + "\nSELECT match_id, player_slot, " + ", ".join(f"round(CASE WHEN has_imbue = 1 THEN {c} ELSE coalesce(avg({c}) FILTER (has_imbue = 1) OVER (PARTITION BY hero_id), 0) END, 6) AS {c}" for c in SHARES) + " FROM features")
+@query(with_("imbues", "players") + ",\n" + IMBUE_FEATURES + "\nSELECT match_id, player_slot, " + ", ".join(f"round(CASE WHEN has_imbue = 1 THEN {c} ELSE coalesce(avg({c}) FILTER (has_imbue = 1) OVER (PARTITION BY hero_id), 0) END, 6) AS {c}" for c in SHARES) + " FROM features")
 def conditional_imbues(spark: SparkSession, folder: str) -> DataFrame:
     rows, players = _imbued(spark, folder)
     told = imbues.conditional_features(imbues.imbue_features(rows, players, SEAT), players, SEAT)
     return told.select(*SEAT, *(F.round(c, 6).alias(c) for c in SHARES))
 
 
-@query(with_("imbues") + "\nSELECT item_id, arg_max(imbued_ability_id, (n, -imbued_ability_id)) AS ability_id, max(n) AS n, round(max(n) / sum(n), 9) AS share FROM (SELECT item_id, imbued_ability_id, count(*) AS n FROM imbues GROUP BY ALL) GROUP BY item_id")
+@query(with_("imbues", "players") + "\nSELECT item_id, arg_max(imbued_ability_id, (n, -imbued_ability_id)) AS ability_id, max(n) AS n, round(max(n) / sum(n), 9) AS share FROM (SELECT item_id, imbued_ability_id, count(*) AS n FROM imbues GROUP BY ALL) GROUP BY item_id")
 def usual_targets(spark: SparkSession, folder: str) -> DataFrame:
     return imbues.usual_targets(_imbued(spark, folder)[0]).withColumn("share", F.round("share", 9))
 
