@@ -152,14 +152,78 @@ def bracket_share(players: DataFrame, keys: list[str], floor: int) -> DataFrame:
     return once.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("average_badge") >= floor).cast("double")).alias("share"))
 
 
-def states_after(bought: DataFrame, labels: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """One state per player with at least ``k`` purchases: where the player stood after them."""
+def states_now(bought: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """One state per player: where the player stands after the last purchase."""
     order = Window.partitionBy(*keys).orderBy("step")
-    rows = bought.withColumn("prev_two", F.lag("item_id", 1, NO_ITEM).over(order)).where(F.col("step") == k - 1)
-    rows = rows.select(*keys, F.concat_ws("/", *keys).alias("state_id"), "hero_id", "prev_two", F.col("item_id").alias("prev_one"), F.lit(k).alias("n_owned"), time_bucket(F.col("buy_time_s")).alias("time_bucket"), "buy_time_s")
+    rows = bought.withColumn("prev_two", F.lag("item_id", 1, NO_ITEM).over(order)).withColumn("_after", F.lead("step").over(order)).where(F.col("_after").isNull())
+    rows = rows.select(*keys, F.concat_ws("/", *keys).alias("state_id"), "hero_id", "prev_two", F.col("item_id").alias("prev_one"), (F.col("step") + 1).cast("int").alias("n_owned"), time_bucket(F.col("buy_time_s")).alias("time_bucket"), "buy_time_s", "nw_at_buy")
     return rows.join(labels, keys, "left").fillna(0, ["archetype_id"])
 
 
+def before_each(bought: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Every purchase as a decision: the key columns before it and ``owned``, the distinct items bought before
+    (never more than the shop holds, however long the sequence)."""
+    order = Window.partitionBy(*keys).orderBy("step")
+    return prepared(bought.withColumn("owned", F.collect_set("item_id").over(order.rowsBetween(Window.unboundedPreceding, -1))), labels, keys)
+
+
+#: Places to which parts of chances are rounded before they are ranked, so that sums do not hang on their order.
+PLACES = 12
+
+
+def state_tables(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA) -> DataFrame:
+    """(KEYS, fine, rest, coarse, whole) of every distinct state: what the two fine levels add (item, p), the part
+    they leave to the others, the mixture of those (p below zero for sorting, item), best first, and the sum of all chances.
+
+    The chance of an item is its fine p plus ``rest`` times its coarse p.  Coarse mixtures are made once per distinct
+    coarse context; all arrays are bounded by the shop."""
+    fine, coarse = (0, 1), tuple(range(2, len(LEVELS)))
+    few = ["hero_id", "archetype_id", "n_owned", "time_bucket"]
+    name = lambda keys: F.concat_ws("|", *(F.col(c).cast("string") for c in keys))
+    once = states.select(*KEYS).distinct().withColumn("state_id", name(KEYS))
+    base = contributions(once.select(*few).distinct().withColumn("state_id", name(few)), level_table, kappa, which=coarse)
+    base = base.groupBy("state_id", "item_id").agg(F.round(F.sum("part"), PLACES).alias("p"))
+    base = base.groupBy(F.col("state_id").alias("_few")).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("down"), F.col("item_id")))).alias("coarse"), F.sum("p").alias("_sum"))
+    _, wide = _mixing(once, level_table, kappa, None, False, fine)
+    own = contributions(once, level_table, kappa, which=fine).groupBy("state_id", "item_id").agg(F.round(F.sum("part"), PLACES).alias("p"))
+    own = own.groupBy("state_id").agg(F.collect_list(F.struct("item_id", "p")).alias("fine"), F.sum("p").alias("_own"))
+    rest = (1 - F.coalesce("l0", F.lit(0.0))) * (1 - F.coalesce("l1", F.lit(0.0)))
+    rows = once.join(wide.drop("archetype_id"), "state_id", "left").join(own, "state_id", "left").withColumn("_few", name(few)).join(base, "_few", "left").withColumn("rest", rest)
+    return rows.select(
+        *KEYS, F.coalesce("fine", F.array().cast("array<struct<item_id:bigint,p:double>>")).alias("fine"), "rest", F.coalesce("coarse", F.array().cast("array<struct<down:double,item_id:bigint>>")).alias("coarse"),
+        (F.coalesce("_own", F.lit(0.0)) + F.col("rest") * F.coalesce("_sum", F.lit(0.0))).alias("whole"),
+    )
+
+
+def _chance(item: Column) -> Column:
+    """The chance of an item, of the arrays of ``state_tables``."""
+    fine = F.try_element_at(F.filter("fine", lambda f: f["item_id"] == item), F.lit(1))["p"]
+    coarse = F.try_element_at(F.filter("coarse", lambda c: c["item_id"] == item), F.lit(1))["down"]
+    return F.coalesce(fine, F.lit(0.0)) + F.col("rest") * F.coalesce(-coarse, F.lit(0.0))
+
+
+def ranked(asked: DataFrame, tables: DataFrame, n: int = 3) -> DataFrame:
+    """``asked`` (KEYS, owned) with ``best``: array of (down, item_id), the likeliest items not owned (at least the first
+    ``n``; ties to the smaller id, ``down`` is minus the chance), and ``left``: the sum of the chances of all items not owned.
+
+    Of the coarse mixture the first n + owned + fine items suffice: no other item can come among the first n."""
+    rows = asked.join(tables, list(KEYS), "left")
+    known = F.transform("fine", lambda f: f["item_id"])
+    top = F.slice("coarse", 1, F.lit(n) + F.size("owned") + F.size("fine"))
+    others = F.transform(F.filter(top, lambda c: ~F.array_contains(known, c["item_id"])), lambda c: F.struct((F.col("rest") * c["down"]).alias("down"), c["item_id"].alias("item_id")))
+    own = F.transform(known, lambda i: F.struct((-_chance(i)).alias("down"), i.alias("item_id")))
+    best = F.filter(F.array_sort(F.concat(own, others)), lambda x: ~F.array_contains("owned", x["item_id"]))
+    gone = F.aggregate("owned", F.lit(0.0), lambda s, i: s + _chance(i))
+    return rows.withColumn("best", best).withColumn("left", F.col("whole") - gone).drop("fine", "rest", "coarse", "whole")
+
+
+def hit_place(items: Column, owned: Column, bought: Column) -> Column:
+    """The place of ``bought`` in a ranked array of items once the owned ones are taken out; null if it is owned already or not listed."""
+    at = F.array_position(items, bought).cast("int")
+    above = F.size(F.filter(F.slice(items, 1, F.greatest(at - 1, F.lit(0))), lambda x: F.array_contains(owned, x)))
+    return F.when((at > 0) & ~F.array_contains(owned, bought), at - above)
+
+
 def candidates(states: DataFrame, owned: DataFrame, shop: DataFrame, souls: str | None = None) -> DataFrame:
     """(state_id, item_id, cost): shop items a state may still buy.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewright.operators.backoff import hit_place
+from lanewright.operators.ranking import global_rank
+from lanewright.runtime import stored
+
 SEAT = ["match_id", "player_slot"]
 #: Share from which an item is a staple, and players a cell needs for a verdict.
 STAPLE, CELL = 0.7, 300
@@ -78,24 +82,33 @@ def order_agreement(first: DataFrame, second: DataFrame, group: list[str]) -> Da
     tau = pairs.groupBy(*group).agg((F.sum(F.signum((F.col("_b") - F.col("b")).cast("double"))) / F.count(F.lit(1))).alias("tau"))
     shared = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n_shared"))
 
-    def jaccard(k: int) -> DataFrame:
+    def overlap(k: int) -> DataFrame:
         x = first.where(F.col("place") <= k).select(*group, "item_id").withColumn("_x", F.lit(1))
         y = second.where(F.col("place") <= k).select(*group, "item_id").withColumn("_y", F.lit(1))
         return x.join(y, [*group, "item_id"], "full").groupBy(*group).agg((F.sum(F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), 1).otherwise(0)) / F.count(F.lit(1))).alias(f"jaccard_{k}"))
 
-    return shared.join(tau, group, "left").join(jaccard(6), group, "left").join(jaccard(12), group, "left")
+    return shared.join(tau, group, "left").join(overlap(6), group, "left").join(overlap(12), group, "left")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared items over all items of two arrays; null if both are empty."""
+    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
 def membership(build: DataFrame, bought: DataFrame, group: list[str], k: int = 12) -> DataFrame:
-    """(group, n_players, jaccard): mean overlap of a build's first ``k`` items with those of every
-    player who bought at least ``k``; all players count, none is drawn."""
-    first = bought.where(F.col("step") < k).select(*group, *SEAT, "item_id", "step")
-    whole = first.groupBy(*group, *SEAT).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("item_id").alias("_d")).where(F.col("_n") == k)
-    mark = build.where(F.col("place") <= k).select(*group, "item_id").distinct()
-    sizes = mark.groupBy(*group).agg(F.count(F.lit(1)).alias("_k"))
-    hits = first.select(*group, *SEAT, "item_id").distinct().join(mark, [*group, "item_id"], "left_semi").groupBy(*group, *SEAT).agg(F.count(F.lit(1)).alias("_hit"))
-    rows = whole.join(hits, [*group, *SEAT], "left").join(sizes, group).withColumn("_hit", F.coalesce("_hit", F.lit(0)))
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_players"), F.avg(F.col("_hit") / (F.col("_d") + F.col("_k") - F.col("_hit"))).alias("jaccard"))
+    """(group, n_players, jaccard, ceiling, ratio): mean overlap of a build's first ``k`` items with those of every
+    player who bought at least ``k``, and of players with each other.
+
+    All players count.  For the ceiling each is compared with the next one in a shuffled ring, so its cost
+    grows with the players and not with their pairs; it is null below two players."""
+    first = bought.where(F.col("step") < k).groupBy(*group, *SEAT).agg(F.collect_set("item_id").alias("own"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == k)
+    key = F.md5(F.concat_ws("/", *(F.col(c).cast("string") for c in SEAT)))
+    ring = stored(global_rank(first.drop("_n").withColumn("_key", key), group, ["_key", *SEAT]), "ring")
+    after = ring.select(*group, F.when(F.col("rank") == 1, F.col("rank_n")).otherwise(F.col("rank") - 1).alias("rank"), F.col("own").alias("other"))
+    mark = build.where(F.col("place") <= k).groupBy(*group).agg(F.collect_set("item_id").alias("build"))
+    rows = ring.join(after, [*group, "rank"]).join(mark, group)
+    told = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n_players"), F.avg(jaccard(F.col("build"), F.col("own"))).alias("jaccard"), F.avg(F.when(F.col("rank_n") > 1, jaccard(F.col("own"), F.col("other")))).alias("ceiling"))
+    return told.withColumn("ratio", F.try_divide("jaccard", "ceiling"))
 
 
 def ranked_lists(train: DataFrame, context: list[str]) -> DataFrame:
@@ -109,25 +122,15 @@ def popularity_lists(train: DataFrame) -> DataFrame:
     return ranked_lists(train.select("hero_id", *SEAT, "item_id").distinct(), ["hero_id"])
 
 
-def hit_places(test: DataFrame, lists: DataFrame, context: list[str]) -> DataFrame:
-    """Each purchase of ``test`` with ``hit``: the place of the bought item in its context's list once
-    the items already owned are taken out; null if it is owned already or not listed.
-
-    The list is never built per purchase: its place is the item's place less the number of owned
-    items that the list puts before it.
-    """
-    told = test.join(lists.select(*context, "item_id", "place"), [*context, "item_id"], "left")
-    asked = told.where(F.col("place").isNotNull()).select(*SEAT, *context, "step", "place", F.col("item_id").alias("_bought"))
-    asked = asked.select(*SEAT, "step", "place", "_bought", F.struct(*context).alias("_ctx"))
-    owned = test.groupBy(*SEAT, "item_id").agg(F.min("step").alias("_since"))
-    before = asked.join(owned, SEAT).where(F.col("_since") < F.col("step"))
-    again = before.where(F.col("item_id") == F.col("_bought")).select(*SEAT, "step").withColumn("_again", F.lit(True))
-    listed = lists.select(F.struct(*context).alias("_ctx"), "item_id", F.col("place").alias("_place"))
-    above = before.join(listed, ["_ctx", "item_id"]).where(F.col("_place") < F.col("place")).groupBy(*SEAT, "step").agg(F.count(F.lit(1)).alias("_above"))
-    rows = told.join(again, [*SEAT, "step"], "left").join(above, [*SEAT, "step"], "left")
-    return rows.select(*SEAT, "step", F.when(F.col("_again").isNull(), F.col("place") - F.coalesce("_above", F.lit(0))).alias("hit"))
-
-
-def accuracy(hits: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """(n, top_k...): share of decisions whose item is among the first k; no list is a miss."""
-    return hits.agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.coalesce((F.col("hit") <= k).cast("double"), F.lit(0.0))).alias(f"top_{k}") for k in ks))
+def hit_places(decisions: DataFrame, lists: DataFrame, context: list[str]) -> DataFrame:
+    """``decisions`` (context, item_id, owned) with ``hit``: the place of the bought item in its context's list
+    once the items already owned are taken out; null if it is owned already or not listed.
+
+    A context's list is one array, bounded by the shop; it meets its decisions in one join."""
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("place", "item_id"))), lambda x: x["item_id"])
+    return decisions.join(lists.groupBy(*context).agg(ranked.alias("_list")), context, "left").withColumn("hit", hit_place(F.col("_list"), F.col("owned"), F.col("item_id"))).drop("_list")
+
+
+def accuracy(hits: DataFrame, group: list[str] | None = None, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """(group, n, top_k...): share of decisions whose item is among the first k; no list is a miss."""
+    return hits.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n"), *(F.avg(F.coalesce((F.col("hit") <= k).cast("double"), F.lit(0.0))).alias(f"top_{k}") for k in ks))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.operators import backoff, clusters, counters, evaluation, families, imbues
+from lanewright.operators import backoff, clusters, counters, evaluation, families, imbues, splitting
 from lanewright.plans import adapters
 from lanewright.plans.adapters import SEAT, with_
 from lanewright.runtime import stored
@@ -119,54 +119,18 @@ def order_agreement(spark: SparkSession, folder: str) -> DataFrame:
     + PREVALENCE
     + """,
 build AS (SELECT hero_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY hero_id ORDER BY buyers DESC, item_id) AS place FROM prevalence) WHERE place <= 12),
-k AS (SELECT hero_id, count(*) AS k FROM build GROUP BY hero_id),
-f AS (SELECT hero_id, match_id, player_slot, count(*) AS n, count(DISTINCT item_id) AS d, count(DISTINCT item_id) FILTER ((hero_id, item_id) IN (SELECT (hero_id, item_id) FROM build)) AS hit FROM buys WHERE step < 12 GROUP BY ALL HAVING count(*) = 12)
-SELECT f.hero_id, count(*) AS n_players, round(avg(hit / (d + k - hit)), 6) AS jaccard FROM f JOIN k ON f.hero_id = k.hero_id GROUP BY f.hero_id"""
+b AS (SELECT hero_id, list(item_id) AS build FROM build GROUP BY hero_id),
+f AS (SELECT hero_id, list(DISTINCT item_id) AS own, row_number() OVER (PARTITION BY hero_id ORDER BY md5(concat(match_id, '/', player_slot)), match_id, player_slot) AS r, count(*) OVER (PARTITION BY hero_id) AS n
+  FROM buys WHERE step < 12 GROUP BY hero_id, match_id, player_slot HAVING count(*) = 12),
+j AS (SELECT f.hero_id, f.n, len(list_intersect(build, f.own)) / len(list_distinct(list_concat(build, f.own))) AS a, CASE WHEN f.n > 1 THEN len(list_intersect(f.own, o.own)) / len(list_distinct(list_concat(f.own, o.own))) END AS c
+  FROM f JOIN f o ON f.hero_id = o.hero_id AND o.r = f.r % f.n + 1 JOIN b ON f.hero_id = b.hero_id)
+SELECT hero_id, count(*) AS n_players, round(avg(a), 6) AS jaccard, round(avg(c), 6) AS ceiling, round(avg(a) / avg(c), 6) AS ratio FROM j GROUP BY hero_id"""
 )
 def build_membership(spark: SparkSession, folder: str) -> DataFrame:
-    bought = adapters.buys(spark, folder)
-    return evaluation.membership(evaluation.top_items(bought, ["hero_id"], 12), bought, ["hero_id"]).select("hero_id", "n_players", F.round("jaccard", 6).alias("jaccard"))
-
-
-BASE = {"popularity": ("hero_id",), "positional": ("hero_id", "step"), "bigram": ("hero_id", "prev_one")}
-
-
-def _lists_sql(name: str) -> str:
-    keys = ", ".join(BASE[name])
-    source = "(SELECT DISTINCT hero_id, match_id, player_slot, item_id FROM train)" if name == "popularity" else "(SELECT * FROM train WHERE prev_one <> -1)" if name == "bigram" else "train"
-    return f"by_{name} AS (SELECT {keys}, item_id, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, item_id) AS place FROM {source} GROUP BY {keys}, item_id)"
-
-
-def _accuracy_sql(name: str) -> str:
-    on = " AND ".join(f"d.{c} = l.{c}" for c in BASE[name])
-    above = " AND ".join(f"m.{c} = d.{c}" for c in BASE[name])
-    return f"""SELECT '{name}' AS baseline, count(*) AS n, round(avg((coalesce(hit, 99) <= 1)::int), 9) AS top_1, round(avg((coalesce(hit, 99) <= 3)::int), 9) AS top_3 FROM (
-  SELECT CASE WHEN d.since < d.step THEN NULL ELSE l.place - (SELECT count(*) FROM own o JOIN by_{name} m ON m.item_id = o.item_id AND {above} WHERE o.match_id = d.match_id AND o.player_slot = d.player_slot AND o.since < d.step AND m.place < l.place) END AS hit
-  FROM test d LEFT JOIN by_{name} l ON d.item_id = l.item_id AND {on})"""
-
-
-@query(
-    with_("buys")
-    + """,
-p AS (SELECT *, lag(item_id, 1, -1) OVER w AS prev_one FROM buys WINDOW w AS (PARTITION BY match_id, player_slot ORDER BY step)),
-train AS (SELECT * FROM p WHERE match_id % 4 <> 0),
-own AS (SELECT match_id, player_slot, item_id, min(step) AS since FROM buys GROUP BY ALL),
-test AS (SELECT p.*, since FROM p JOIN own USING (match_id, player_slot, item_id) WHERE match_id % 4 = 0),
-"""
-    + ",\n".join(map(_lists_sql, BASE))
-    + "\n"
-    + "\nUNION ALL ".join(map(_accuracy_sql, BASE))
-)
-def baseline_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """Three baselines on the same decisions: every fourth match is held out."""
-    rows = adapters.buys(spark, folder).withColumn("prev_one", F.lag("item_id", 1, -1).over(Window.partitionBy(*SEAT).orderBy("step")))
-    train, test = rows.where("match_id % 4 <> 0"), rows.where("match_id % 4 = 0")
-    out = None
-    for name, context in BASE.items():
-        lists = evaluation.popularity_lists(train) if name == "popularity" else evaluation.ranked_lists(train.where("prev_one <> -1") if name == "bigram" else train, list(context))
-        told = evaluation.accuracy(evaluation.hit_places(test, lists, list(context))).withColumn("baseline", F.lit(name))
-        out = told if out is None else out.unionByName(told)
-    return out.select("baseline", "n", F.round("top_1", 9).alias("top_1"), F.round("top_3", 9).alias("top_3"))
+    """How much builds of the commonest items overlap with players, and players with each other."""
+    bought = stored(adapters.buys(spark, folder), "buys")
+    told = evaluation.membership(evaluation.top_items(bought, ["hero_id"], 12), bought, ["hero_id"])
+    return told.select("hero_id", "n_players", *(F.round(c, 6).alias(c) for c in ("jaccard", "ceiling", "ratio")))
 
 
 WEIGHTS = "weights AS (SELECT *, raw / avg(raw) OVER () AS weight FROM (SELECT *, coalesce(exp(-power((average_badge - 80.0::double) / 25.0::double, 2)), 1.0::double) AS raw FROM buys))"
@@ -206,9 +170,9 @@ def archetype_shares(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.archetype_shares(bought, adapters.labels(bought), SEAT).withColumn("share", F.round("share", 9))
 
 
-STATES = """states AS (SELECT match_id || '/' || player_slot AS state_id, hero_id, archetype_id, prev_two, prev_one, 3 AS n_owned, time_bucket FROM (
-  SELECT match_id, player_slot, hero_id, archetype_id, item_id AS prev_one, prev_one AS prev_two, time_bucket, step FROM prepared) WHERE step = 2),
-owned AS (SELECT DISTINCT match_id || '/' || player_slot AS state_id, item_id FROM buys WHERE step < 3),
+STATES = """states AS (SELECT match_id || '/' || player_slot AS state_id, hero_id, archetype_id, prev_one AS prev_two, item_id AS prev_one, step::int + 1 AS n_owned, time_bucket FROM prepared
+  QUALIFY step = max(step) OVER (PARTITION BY match_id, player_slot)),
+owned AS (SELECT DISTINCT match_id || '/' || player_slot AS state_id, item_id FROM buys),
 total AS (SELECT level, ctx, sum(w) AS total FROM levels GROUP BY level, ctx),
 asked AS (""" + " UNION ALL ".join(f"SELECT state_id, {k} AS level, concat_ws('|', {', '.join(keys)}) AS ctx FROM states" for k, keys in enumerate(backoff.LEVELS)) + """),
 lam AS (SELECT state_id, """ + ", ".join(f"coalesce(max(CASE WHEN a.level = {k} THEN total / (total + 20) END), 0) AS l{k}" for k in range(6)) + """ FROM asked a JOIN total t ON a.level = t.level AND a.ctx = t.ctx GROUP BY state_id),
@@ -219,23 +183,46 @@ chance AS (SELECT state_id, item_id, p / sum(p) OVER (PARTITION BY state_id) AS
 MODEL = with_("labels") + ",\n" + PREPARED + ",\n" + LEVELS + ",\n" + STATES
 
 
-def _chances(spark: SparkSession, folder: str) -> DataFrame:
-    level_table, bought, labels = _levels(spark, folder)
-    level_table = stored(level_table, "levels")  # several branches read it
-    states = stored(backoff.states_after(bought, labels, SEAT, 3), "states")
-    owned = bought.where("step < 3").select(F.concat_ws("/", *SEAT).alias("state_id"), "item_id").distinct()
-    return backoff.distribution(states, level_table, owned)
+def _seat_id() -> Column:
+    return F.concat_ws("/", *SEAT).alias("state_id")
 
 
 @query(MODEL + "\nSELECT state_id, item_id, round(p, 6) AS p FROM chance")
 def backoff_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    """Chances of every item for every seat after its third purchase."""
-    return _chances(spark, folder).withColumn("p", F.round("p", 6))
+    """Chances of every item that each seat does not own, after its last purchase."""
+    level_table, bought, labels = _levels(spark, folder)
+    states = stored(backoff.states_now(bought, labels, SEAT), "states")
+    return backoff.distribution(states, stored(level_table, "levels"), bought.select(_seat_id(), "item_id").distinct()).withColumn("p", F.round("p", 6))
+
 
+def chances_sql(states: str, levels: str, name: str) -> str:
+    """``name`` (key columns, item_id, p): the chance of every item in every state, its parts rounded as the operator rounds them."""
+    keys = ", ".join(backoff.KEYS)
+    joined = " AND ".join(f"a.{k} = b.{k}" for k in backoff.KEYS)
+    coefficient = lambda lo, hi: "CASE a.level " + " ".join(f"WHEN {k} THEN " + "".join(f"(1 - l{j}) * " for j in range(lo, k)) + f"l{k}" for k in range(lo, hi)) + " END"
+    half = lambda lo, hi: f"SELECT {keys}, item_id, round(sum({coefficient(lo, hi)} / total * w), 12) AS p FROM {name}_seen a WHERE level >= {lo} AND level < {hi} GROUP BY {keys}, item_id"
+    return f"""{name}_total AS (SELECT level, ctx, sum(w) AS total FROM {levels} GROUP BY level, ctx),
+{name}_asked AS ({" UNION ALL ".join(f"SELECT {keys}, {k} AS level, concat_ws('|', {', '.join(own)}) AS ctx FROM {states}" for k, own in enumerate(backoff.LEVELS))}),
+{name}_lam AS (SELECT {keys}, {", ".join(f"coalesce(max(CASE WHEN a.level = {k} THEN total / (total + 20) END), 0) AS l{k}" for k in range(6))} FROM {name}_asked a JOIN {name}_total t ON a.level = t.level AND a.ctx = t.ctx GROUP BY {keys}),
+{name}_seen AS (SELECT a.*, b.* EXCLUDE ({keys}), t.total, v.item_id, v.w FROM {name}_asked a JOIN {name}_lam b ON {joined} JOIN {name}_total t ON a.level = t.level AND a.ctx = t.ctx JOIN {levels} v ON a.level = v.level AND a.ctx = v.ctx),
+{name}_fine AS ({half(0, 2)}), {name}_coarse AS ({half(2, 6)}),
+{name} AS (SELECT {keys}, item_id, coalesce(f.p, 0) + (1 - l0) * (1 - l1) * coalesce(c.p, 0) AS p FROM {name}_fine f FULL JOIN {name}_coarse c USING ({keys}, item_id) JOIN {name}_lam USING ({keys}))"""
 
-@query(MODEL + "\nSELECT state_id, place::int AS place, item_id, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY round(p, 9) DESC, item_id) AS place FROM chance) WHERE place <= 3")
+
+@query(
+    MODEL + ",\n" + chances_sql("(SELECT DISTINCT " + ", ".join(backoff.KEYS) + " FROM states)", "levels", "likely")
+    + ",\nopen_ AS (SELECT s.state_id, l.item_id, l.p FROM states s JOIN likely l ON " + " AND ".join(f"s.{k} = l.{k}" for k in backoff.KEYS)
+    + """ WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.state_id = s.state_id AND o.item_id = l.item_id))
+SELECT state_id, place::int AS place, item_id, round(p / whole, 6) AS p FROM (SELECT *, sum(p) OVER (PARTITION BY state_id) AS whole, row_number() OVER (PARTITION BY state_id ORDER BY p DESC, item_id) AS place FROM open_) WHERE place <= 3"""
+)
 def next_item_top3(spark: SparkSession, folder: str) -> DataFrame:
-    return backoff.best_items(_chances(spark, folder)).select("state_id", "place", "item_id", F.round("p", 6).alias("p"))
+    """The three likeliest next items of every seat, after its last purchase."""
+    level_table, bought, labels = _levels(spark, folder)
+    owned = bought.groupBy(*SEAT).agg(F.collect_set("item_id").alias("owned"))
+    states = stored(backoff.states_now(bought, labels, SEAT).join(owned, SEAT), "states")
+    told = backoff.ranked(states, backoff.state_tables(states, stored(level_table, "levels")))
+    rows = told.select("state_id", "left", F.posexplode(F.slice("best", 1, 3)).alias("at", "b"))
+    return rows.select("state_id", (F.col("at") + 1).alias("place"), F.col("b.item_id").alias("item_id"), F.round(F.try_divide(-F.col("b.down"), F.col("left")), 6).alias("p"))
 
 
 @query(
@@ -244,25 +231,115 @@ def next_item_top3(spark: SparkSession, folder: str) -> DataFrame:
 SELECT state_id, item_id, round(p, 6) AS p, level, n FROM (SELECT state_id, item_id, sum(part) AS p, arg_max(level, (round(part, 9), -level)) AS level, arg_max(n, (round(part, 9), -level)) AS n FROM part GROUP BY state_id, item_id)"""
 )
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The level that says most about each item, for every seat after its last purchase."""
     level_table, bought, labels = _levels(spark, folder)
-    parts = backoff.contributions(backoff.states_after(bought, labels, SEAT, 3), level_table)
+    parts = backoff.contributions(backoff.states_now(bought, labels, SEAT), level_table)
     told = backoff.evidence(parts.withColumn("exact", F.col("part")).withColumn("part", F.round("part", 9)))
     sums = parts.groupBy("state_id", "item_id").agg(F.round(F.sum("part"), 6).alias("p"))
     return told.drop("p", "archetype_id").join(sums, ["state_id", "item_id"]).select("state_id", "item_id", "p", "level", "n")
 
 
+#: How purchases are held out: by match, by account, or the latest matches.  An account that is not known trains.
+SPLITS = {"match": ("match_id", splitting.split_by_key), "account": ("account_id", splitting.split_by_key), "time": ("match_id", splitting.split_by_time)}
+BASE = {"popularity": ("hero_id",), "positional": ("hero_id", "step"), "bigram": ("hero_id", "prev_one")}
+SPLIT_SQL = {
+    "match": ("match_id", "md5('0:' || match_id::varchar), match_id"),
+    "account": ("account_id", "md5('0:' || account_id::varchar), account_id"),
+    "time": ("match_id", "match_id"),
+}
+
+
+def held_out_sql(split: str) -> str:
+    """``train_<split>``, ``test_<split>``: prepared purchases by the side of their key."""
+    key, order = SPLIT_SQL[split]
+    return f"""side_{split} AS (SELECT {key}, rn <= floor(n * 0.75) AS is_train FROM (SELECT {key}, row_number() OVER (ORDER BY {order}) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT {key} FROM buys WHERE {key} IS NOT NULL))),
+sided_{split} AS (SELECT p.*, coalesce(is_train, true) AS is_train FROM prepared p LEFT JOIN side_{split} s ON p.{key} = s.{key}),
+train_{split} AS (SELECT * FROM sided_{split} WHERE is_train),
+test_{split} AS (SELECT t.*, o.since FROM sided_{split} t JOIN own o ON t.match_id = o.match_id AND t.player_slot = o.player_slot AND t.item_id = o.item_id WHERE NOT is_train)"""
+
+
+OWN = "own AS (SELECT match_id, player_slot, item_id, min(step) AS since FROM buys GROUP BY ALL)"
+
+
+def _decisions(spark: SparkSession, folder: str) -> DataFrame:
+    bought = stored(adapters.buys(spark, folder), "buys")
+    return stored(backoff.before_each(bought, adapters.labels(bought), SEAT), "decisions")
+
+
+def _sided(rows: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows of a split."""
+    key, cut = SPLITS[split]
+    sided = rows.join(cut(rows, key), key, "left").withColumn("is_train", F.coalesce("is_train", F.lit(True)))
+    return sided.where("is_train"), sided.where("not is_train")
+
+
+def _scored(hits: DataFrame, split: str, model: str) -> DataFrame:
+    return evaluation.accuracy(hits).select(F.lit(split).alias("split"), F.lit(model).alias("model"), "n", F.round("top_1", 9).alias("top_1"), F.round("top_3", 9).alias("top_3"))
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _lists_sql(split: str, name: str) -> str:
+    keys, train = ", ".join(BASE[name]), f"train_{split}"
+    source = f"(SELECT DISTINCT hero_id, match_id, player_slot, item_id FROM {train})" if name == "popularity" else f"(SELECT * FROM {train} WHERE prev_one <> -1)" if name == "bigram" else train
+    return f"{name}_{split} AS (SELECT {keys}, item_id, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, item_id) AS place FROM {source} GROUP BY {keys}, item_id)"
+
+
+def _accuracy_sql(split: str, name: str) -> str:
+    on = " AND ".join(f"d.{c} = l.{c}" for c in BASE[name])
+    above = " AND ".join(f"m.{c} = d.{c}" for c in BASE[name])
+    return f"""SELECT '{split}' AS split, '{name}' AS model, count(*) AS n, round(avg((coalesce(hit, 99) <= 1)::int), 9) AS top_1, round(avg((coalesce(hit, 99) <= 3)::int), 9) AS top_3 FROM (
+  SELECT CASE WHEN d.since < d.step THEN NULL ELSE l.place - (SELECT count(*) FROM own o JOIN {name}_{split} m ON m.item_id = o.item_id AND {above} WHERE o.match_id = d.match_id AND o.player_slot = d.player_slot AND o.since < d.step AND m.place < l.place) END AS hit
+  FROM test_{split} d LEFT JOIN {name}_{split} l ON d.item_id = l.item_id AND {on})"""
+
+
 @query(
-    MODEL
-    + """,
-placed AS (SELECT state_id, item_id, row_number() OVER (PARTITION BY state_id ORDER BY round(p, 9) DESC, item_id) AS place FROM chance),
-actual AS (SELECT match_id || '/' || player_slot AS state_id, item_id FROM buys WHERE step = 3)
-SELECT count(*) AS n, round(avg((coalesce(place, 999) <= 1)::int), 9) AS top_1, round(avg((coalesce(place, 999) <= 3)::int), 9) AS top_3 FROM actual a LEFT JOIN placed p ON a.state_id = p.state_id AND a.item_id = p.item_id"""
-)
+    with_("labels") + ",\n" + PREPARED + ",\n" + OWN + ",\n"
+    + ",\n".join(held_out_sql(split) + ",\n" + ",\n".join(_lists_sql(split, name) for name in BASE) for split in SPLITS)
+    + "\n" + "\nUNION ALL ".join(_accuracy_sql(split, name) for split in SPLITS for name in BASE)
+)
+def baseline_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Three baselines on every held-out decision, by three splits."""
+    rows = _decisions(spark, folder)
+    out = []
+    for split in SPLITS:
+        train, test = _sided(rows, split)
+        for name, context in BASE.items():
+            lists = evaluation.popularity_lists(train) if name == "popularity" else evaluation.ranked_lists(train.where("prev_one <> -1") if name == "bigram" else train, list(context))
+            out.append(_scored(evaluation.hit_places(test, lists, list(context)), split, name))
+    return _together(out)
+
+
+def _model_sql(split: str) -> str:
+    keys = ", ".join(backoff.KEYS)
+    return f"""{held_out_sql(split)},
+{LEVELS.replace("levels AS (", f"levels_{split} AS (", 1).replace("FROM prepared", f"FROM train_{split}")},
+{chances_sql(f"(SELECT DISTINCT {keys} FROM test_{split})", f"levels_{split}", f"likely_{split}")},
+hit_{split} AS (SELECT d.match_id, d.player_slot, d.step, CASE WHEN any_value(d.since) < d.step THEN NULL WHEN max(a.p) IS NOT NULL THEN 1 + count(l.item_id) FILTER (l.p > a.p OR (l.p = a.p AND l.item_id < d.item_id)) END AS hit
+  FROM test_{split} d LEFT JOIN likely_{split} a ON {" AND ".join(f"d.{k} = a.{k}" for k in backoff.KEYS)} AND d.item_id = a.item_id LEFT JOIN likely_{split} l ON {" AND ".join(f"d.{k} = l.{k}" for k in backoff.KEYS)}
+    AND NOT EXISTS (SELECT 1 FROM own o WHERE o.match_id = d.match_id AND o.player_slot = d.player_slot AND o.item_id = l.item_id AND o.since < d.step) GROUP BY d.match_id, d.player_slot, d.step)"""
+
+
+@query(
+    with_("labels") + ",\n" + PREPARED + ",\n" + OWN + ",\n" + ",\n".join(map(_model_sql, SPLITS)) + "\n"
+    + "\nUNION ALL ".join(f"SELECT '{split}' AS split, 'backoff' AS model, count(*) AS n, round(avg((coalesce(hit, 999) <= 1)::int), 9) AS top_1, round(avg((coalesce(hit, 999) <= 3)::int), 9) AS top_3 FROM hit_{split}" for split in SPLITS)
+)
 def next_item_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    """How often the fourth purchase is among the model's first guesses."""
-    placed = backoff.best_items(_chances(spark, folder), 10_000).select("state_id", "item_id", F.col("place").alias("hit"))
-    actual = adapters.buys(spark, folder).where("step = 3").select(F.concat_ws("/", *SEAT).alias("state_id"), "item_id")
-    return evaluation.accuracy(actual.join(placed, ["state_id", "item_id"], "left")).select("n", F.round("top_1", 9).alias("top_1"), F.round("top_3", 9).alias("top_3"))
+    """How often the next item is among the model's first guesses, over every held-out decision, by three splits."""
+    rows = _decisions(spark, folder)
+    out = []
+    for split in SPLITS:
+        train, test = _sided(rows, split)
+        level_table = stored(backoff.levels(train), "levels")
+        told = backoff.ranked(test.select(*backoff.KEYS, "owned", "item_id"), backoff.state_tables(test, level_table))
+        place = F.array_position(F.transform("best", lambda b: b["item_id"]), F.col("item_id")).cast("int")
+        out.append(_scored(told.select(F.nullif(place, F.lit(0)).alias("hit")), split, "backoff"))
+    return _together(out)
 
 
 @query("SELECT count(*) AS n, round(avg((average_badge >= 80)::int), 9) AS share FROM (SELECT DISTINCT match_id, player_slot, average_badge FROM (" + adapters.CTES["buys"][1] + ") WHERE average_badge IS NOT NULL)")
@@ -273,14 +350,14 @@ def bracket_share(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     with_("buys")
     + """,
-s AS (SELECT match_id || '/' || player_slot AS state_id, match_id, player_slot, nw_at_buy AS souls FROM buys WHERE step = 2)
-SELECT state_id, count(*) AS n, sum(coalesce(cost, 0))::bigint AS cost FROM s, items i WHERE coalesce(cost, 0) <= souls AND NOT EXISTS (SELECT 1 FROM buys b WHERE b.match_id = s.match_id AND b.player_slot = s.player_slot AND b.step < 3 AND b.item_id = i.id) GROUP BY state_id"""
+s AS (SELECT match_id || '/' || player_slot AS state_id, match_id, player_slot, nw_at_buy AS souls FROM buys QUALIFY step = max(step) OVER (PARTITION BY match_id, player_slot))
+SELECT state_id, count(*) AS n, sum(coalesce(cost, 0))::bigint AS cost FROM s, items i WHERE coalesce(cost, 0) <= souls AND NOT EXISTS (SELECT 1 FROM buys b WHERE b.match_id = s.match_id AND b.player_slot = s.player_slot AND b.item_id = i.id) GROUP BY state_id"""
 )
 def candidate_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items that each seat could still buy after its third purchase, counted."""
+    """Items that each seat could still buy after its last purchase, counted."""
     bought = adapters.buys(spark, folder)
-    seat = F.concat_ws("/", *SEAT).alias("state_id")
-    states, owned = bought.where("step = 2").select(seat, F.col("nw_at_buy").alias("souls")), bought.where("step < 3").select(seat, "item_id").distinct()
+    states = backoff.states_now(bought, adapters.labels(bought), SEAT).select("state_id", F.col("nw_at_buy").alias("souls"))
+    owned = bought.select(_seat_id(), "item_id").distinct()
     return backoff.candidates(states, owned, adapters.items(spark, folder), "souls").groupBy("state_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").cast("long").alias("cost"))
 
 

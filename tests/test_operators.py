@@ -160,7 +160,10 @@ def test_gate_and_membership(spark):
     assert rows(evaluation.gate(build, staple, ["hero_id"])) == [(7, 3, 1, False)]
     assert evaluation.staples(buys(spark, 10), ["hero_id"]).where("conclusive").count() == 0
     placed = spark.createDataFrame([(7, 1, 1), (7, 9, 2)], "hero_id int, item_id long, place int")
-    assert rows(evaluation.membership(placed, df, ["hero_id"], 2)) == [(7, 400, pytest.approx(1 / 3))]
+    told = evaluation.membership(placed, df, ["hero_id"], 2).first()
+    assert tuple(told)[:3] == (7, 400, pytest.approx(1 / 3)) and 0.9 < told["ceiling"] <= 1 and told["ratio"] == pytest.approx(told["jaccard"] / told["ceiling"])
+    alone = evaluation.membership(placed, buys(spark, 1), ["hero_id"], 2).first()
+    assert alone["n_players"] == 1 and alone["ceiling"] is None and alone["ratio"] is None
 
 
 def test_order_agreement(spark):
@@ -172,10 +175,32 @@ def test_order_agreement(spark):
 
 def test_hit_places_take_owned_items_out(spark):
     lists = spark.createDataFrame([(7, x, p) for p, x in enumerate((1, 2, 3), 1)], "hero_id int, item_id long, place int")
-    test = spark.createDataFrame([(1, 1, 7, x, i) for i, x in enumerate((1, 3, 1, 8))], "match_id long, player_slot int, hero_id int, item_id long, step int")
+    test = spark.createDataFrame([(1, 1, 7, x, i, own) for i, (x, own) in enumerate([(1, []), (3, [1]), (1, [1, 3]), (8, [1, 3])])], "match_id long, player_slot int, hero_id int, item_id long, step int, owned array<long>")
     assert [r["hit"] for r in evaluation.hit_places(test, lists, ["hero_id"]).orderBy("step").collect()] == [1, 2, None, None]
 
 
+def test_ranked_states_match_the_whole_distribution(spark):
+    import random
+
+    rng = random.Random(7)
+    data = [(m, 1, 7 + m % 2, x, i, 100.0 * i, True, 60, m, "Team0") for m in range(60) for i, x in enumerate(rng.sample(range(1, 15), 8))]
+    df = spark.createDataFrame(data, BUYS)
+    labels = df.select(*SEAT).distinct().withColumn("archetype_id", F.lit(0))
+    table = backoff.levels(backoff.prepared(df, labels, SEAT))
+    each = backoff.before_each(df, labels, SEAT).withColumn("state_id", F.concat_ws("/", *SEAT, "step"))
+    told = backoff.ranked(each, backoff.state_tables(each, table)).collect()
+    owned = each.select("state_id", F.explode("owned").alias("item_id"))
+    whole = {}
+    for r in backoff.distribution(each, table, owned).collect():
+        whole.setdefault(r["state_id"], []).append((-r["p"], r["item_id"]))
+    assert len(told) == 480
+    for r in told:
+        want = sorted((round(d, 9), i) for d, i in whole[r["state_id"]])
+        got = [(b["down"] / r["left"], b["item_id"]) for b in r["best"]]
+        assert [d for d, _ in got[:3]] == pytest.approx([d for d, _ in want[:3]], abs=1e-8) and len(got) >= min(3, len(want))
+        assert sorted(r["owned"]) == sorted({x for m, _, _, x, i, *_ in data if (m, 1) == (r["match_id"], r["player_slot"]) and i < r["step"]})
+
+
 def test_counters_find_the_planted_item(spark):
     data = []
     for m in range(400):
