@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -63,7 +63,7 @@ IMAGE = re.compile(r"!\[([^\]\[]*)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 LINK = re.compile(r"(?<!!)\[([^\]\[]+)\]\([^()\s]*(?:\s+\"[^\"]*\")?\)")
 OUTLINK = re.compile(r"\[https?://\S+\s+([^\]]+)\]")
 SPAN = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-STRONG = re.compile(r"(?<![\w*])(\*{1,3})(?=[^\s*])((?:[^*\n]|\n(?!\s*\n))+?)(?<=[^\s*])\1(?![\w*])")
+STRONG = re.compile(r"(?<![^\W_])(?<!\*)(\*{1,3})(?=[^\s*])((?:[^*\n]|\n(?!\s*\n))+?)(?<=[^\s*])\1(?![^\W_]|\*)")
 UNDER = re.compile(r"(?<![\w_])(_{1,3})(?=[^\s_])((?:[^_\n]|(?<=\w)_(?=\w)|\n(?!\s*\n))+?)(?<=[^\s_])\1(?![\w_])")
 STRIKE = re.compile(r"(?<![\w~])~~(?=[^\s~])([^~]+?)(?<=[^\s~])~~(?![\w~])")
 ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
@@ -77,6 +77,8 @@ BULLET = re.compile(r"^[ \t]*[+-][ \t]+(.*)$")
 NUMBER = re.compile(r"^[ \t]*\d{1,3}[.)][ \t]+(.*)$")
 QUOTE = re.compile(r"^ {0,3}>[ \t]?(.*)$")
 HOLD = re.compile("\x02(\\d+)\x03")
+#: What any mark of any language has; a prose without it is running text.
+MARKED = re.compile(r"[<&#=*_\\$`\[\]{}~>|]|''|^[ \t]*(?:[-+]|\d{1,3}[.)])", re.M)
 
 
 def squeezed(text: str) -> str:
@@ -84,7 +86,16 @@ def squeezed(text: str) -> str:
 
 
 def _unescape(text: str) -> str:
-    return ENTITY.sub(lambda m: html.unescape(m.group()), text)
+    return ENTITY.sub(lambda m: html.unescape(m.group()), text) if "&" in text else text
+
+
+def _until_same(pattern: re.Pattern, to, text: str) -> str:
+    """Substitutes until nothing changes, however deep marks lie in each other (each step makes the text shorter)."""
+    while True:
+        inner = pattern.sub(to, text)
+        if inner == text:
+            return text
+        text = inner
 
 
 class Page:
@@ -302,30 +313,21 @@ class Page:
         text = HOLD.sub(lambda m: kept(self.held[int(m[1])][1]), text)
         if self.tex:
             text = HREF.sub(linked, DROPPED.sub("", text))
-            for _ in range(4):
-                inner = WRAP.sub(r"\1", text)
-                if inner == text:
-                    break
-                text = inner
+            text = _until_same(WRAP, r"\1", text)
             text = re.sub(SWITCH.pattern + r"([^{}]*)\}", r"\1", text)
             text = re.sub(r"\\([%&_#${}])", r"\1", text).replace("``", "\u201c").replace("\\\\", " ")
         else:
             text = SPAN.sub(span, text)
         if self.wiki:
             text = WIKILINK.sub(linked, TEMPLATE.sub(" ", text))
-            for _ in range(3):
-                text = QUOTES.sub(r"\2", text)
+            text = _until_same(QUOTES, r"\2", text)
             text = OUTLINK.sub(linked, text)
         if not self.tex:
             text, n = IMAGE.subn(r"\1", text)
             text, k = LINK.subn(linked, text)
             self.signs["markdown"] += n + k
-            for pattern in (STRONG, UNDER):
-                for _ in range(3):
-                    inner = pattern.sub(md, text)
-                    if inner == text:
-                        break
-                    text = inner
+            while (inner := UNDER.sub(md, STRONG.sub(md, text))) != text:  # the innermost marks of both kinds first
+                text = inner
             text, n = STRIKE.subn(r"\1", text)
             self.signs["markdown"] += n
             if self.signs["markdown"]:
@@ -423,20 +425,30 @@ def block_tree() -> DecisionTree:
     return DecisionTree().fit(*labelled_rows())
 
 
-def elements(prose: str | None) -> list[tuple[str, str]]:
-    """(element, content) of a prose: its languages, and its headings, items, code blocks and formulas."""
-    if prose is None or not prose.strip():
+def _pages(proses: Iterable[str | None]) -> list[tuple[Page | None, list[int]]]:
+    """Each prose's page and the kinds of its blocks, all classified at once; no page where there is no markup at all."""
+    pages = [Page(p) if p is not None and MARKED.search(p) else None for p in proses]
+    rows = [page.features() for page in pages if page and page.blocks]
+    kinds = iter(block_tree().predict(np.vstack(rows)).tolist() if rows else [])
+    return [(page, [next(kinds) for _ in page.blocks] if page else []) for page in pages]
+
+
+def _found(page: Page | None, kinds: list[int]) -> list[tuple[str, str]]:
+    if page is None:
         return []
-    page = Page(prose)
     found = {("markup", s): None for s in LANGUAGES if page.signs[s]}
-    if page.blocks:
-        for (_, text, _), kind in zip(page.blocks, block_tree().predict(page.features())):
-            name = KINDS[kind]
-            if name not in ("text", "hidden") and text:
-                found[name, text] = None
+    for (_, text, _), kind in zip(page.blocks, kinds):
+        name = KINDS[kind]
+        if name not in ("text", "hidden") and text:
+            found[name, text] = None
     return list(found)
 
 
+def elements(prose: str | None) -> list[tuple[str, str]]:
+    """(element, content) of a prose: its languages, and its headings, items, code blocks and formulas."""
+    return _found(*_pages([prose])[0])
+
+
 def clean(prose: str | None) -> str | None:
     """The text with its structure: ``#`` before headings, ``-`` before items, fences
     around code, ``$`` around formulas that stand alone; null stays null."""
@@ -454,9 +466,10 @@ def clean(prose: str | None) -> str | None:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = lru_cache(4096)(elements)
     for batch in batches:
-        rows = [(i, *e) for i, prose in zip(batch.column(0).to_pylist(), batch.column(1)) for e in known(prose.as_py())]
+        once = dict.fromkeys(batch.column(1).to_pylist())  # proses repeat
+        told = {prose: _found(*page) for prose, page in zip(once, _pages(once))}
+        rows = [(i, *e) for i, prose in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for e in told[prose]]
         ids, kinds, texts = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["section_id", "element", "content"])
 

@@ -39,3 +39,30 @@ def test_sections(spark):
     assert rows(markup.section_elements(df)) == [(1, "heading", "a"), (1, "markup", "markdown")]
     assert markup.section_elements(df.limit(0)).count() == 0
     assert {r["section_id"]: r["clean"] for r in markup.clean_sections(df).collect()}[1] == "# a\n# a"
+
+
+@pytest.mark.parametrize(
+    "open_,close,sign",
+    [("\\emph{", "}", "\\section{T}\n"), ("\\textbf{", "}", "\\section{T}\n"), ("<b>", "</b>", "<p>x</p>")],
+)
+def test_marks_of_any_depth_go(open_, close, sign):
+    for depth in (1, 5, 40):
+        item = "\\begin{itemize}\n\\item %s\n\\end{itemize}" if "section" in sign else "<ul><li>%s</li></ul>"
+        got = markup.elements(sign + item % (open_ * depth + "word" + close * depth))
+        assert ("list_item", "word") in got
+
+
+def test_alternating_emphasis_of_any_depth_goes():
+    marks = ["*", "_", "**", "__"] * 3
+    text = "word"
+    for m in marks:
+        text = f"{m}{text} w{m}"
+    got = [c for e, c in markup.elements("# " + text) if e == "heading"]
+    assert got and not set(got[0]) & set("*_")
+
+
+def test_prose_without_marks_needs_no_page():
+    for prose in ("Plain words, no marks. (See below) 50 percent!", "two\nlines - of text", "it's"):
+        assert not markup.MARKED.search(prose) and markup.elements(prose) == []
+        page = markup.Page(prose)
+        assert not any(page.signs.values()) and [b[0] for b in page.blocks] == ["none"] * len(page.blocks)
