@@ -10,7 +10,8 @@ Evidence, gathered over the whole corpus and over distinct texts:
   its last value) is looked up in a second pass over all texts.
 * ending: how often the text's last words occur elsewhere at an end and in the
   middle of a sentence, by contexts of one to four words, and whether the last
-  word is only the beginning of a word that follows there elsewhere.
+  word is only the beginning of a word that follows there elsewhere.  Contexts
+  are 64-bit hashes, counted a batch at a time in arrays.
 * limit: the length (in characters or bytes) at which texts of a source that
   stop in mid-sentence pile up.
 * report: the feed announced more characters than the text has bytes, or the
@@ -30,10 +31,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,108 +53,174 @@ DEPTH, SUPPORT, NATURAL = 4, 5, 0.3
 SLACK = 14
 #: Cut texts of a source that must lie at a limit.
 PILE = 5
-#: Shortest text whose copies are looked for.
-SHORTEST = 16
+#: Characters below which a longer copy counts only if the text's ending is not one that ends texts elsewhere.
+SHORT = 16
 #: Characters of open cores that are looked up in one pass.
 BLOCK = 20_000_000
-#: Salts over which a frequent context is spread.
-SALTS = 8
-
-
-def normal(text: str) -> tuple[list[str], list[str | None]]:
-    """Tokens in normal form (breaks, stops, ``#`` for numbers, ``N`` for names) and the words as such."""
-    out: list[str] = []
-    raw: list[str | None] = []
-    begins = True
-    for w in TOKEN.findall(text):
-        first = w[0]
-        if first in "\r\n" or (first == "<" and len(w) > 2):
-            out.append("\n")
-            raw.append(None)
-            begins = True
-        elif w in STOPS:
-            out.append(w)
-            raw.append(None)
-            begins = True
-        else:
-            number = any(map(str.isdigit, w))
-            out.append("#" if number else "N" if first.isupper() and not begins else w.lower())
-            raw.append(None if number else w.lower())
-            begins = False
-    return out, raw
-
-
-def contexts(out: list[str], i: int) -> list[str]:
-    """The last one to ``DEPTH`` tokens up to ``i`` of its sentence or line; names in a row count as one."""
-    last: list[str] = []
-    grams: list[str] = []
-    while len(grams) < DEPTH:
-        t = out[i] if i >= 0 else "\n"
-        if t == "\n" or t in STOPS:
-            grams.append("^ " + " ".join(reversed(last)))
-            break
-        if not (t == "N" and last and last[-1] == "N"):
-            last.append(t)
-            grams.append(" ".join(reversed(last)))
-        i -= 1
-    return grams
-
-
-def _lead(out: list[str], i: int) -> tuple[str, str]:
-    """The token before ``i`` and the one before that, ``^`` at a sentence's start."""
-    p = out[i - 1] if i and out[i - 1] not in STOPS else "^"
-    q = "" if p == "^" else out[i - 2] if i > 1 and out[i - 2] not in STOPS else "^"
-    return p, q
+#: Tokens a worker remembers, and counts it holds before it adds equal ones up; neither changes a result.
+REMEMBERED, HELD = 400_000, 3_000_000
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+#: Hashes of a number, a name, the start of a sentence, and the key under which all tokens are counted.
+NUMBER, NAME, START, POSITIONS = (np.uint64(_hash(x)) for x in ("#", "N", "^", "positions"))
+#: Kinds of tokens: words and marks, full stops, breaks (line ends and tags), and the end of a text.
+WORD, STOP, BREAK, END = range(4)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray | np.uint64 | int) -> np.ndarray:
+    """A hash of two hashes, element by element."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (np.asarray(b, np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Lexicon(dict):
+    """Numbers of tokens; what is known of each is in arrays by that number.  Token 0 ends a text."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.kind, self.form, self.low, self.named, self.words = [END], [0], [0], [False], [""]
+
+    def __missing__(self, token: str) -> int:
+        first, low = token[0], token.lower()
+        number = any(map(str.isdigit, token))
+        kind = BREAK if first in "\r\n" or (first == "<" and len(token) > 2) else STOP if token in STOPS else WORD
+        self.kind.append(kind)
+        self.form.append(_hash("\n" if kind == BREAK else token if kind == STOP else "#" if number else low))
+        self.low.append(_hash(low) if kind == WORD and not number else 0)
+        self.named.append(kind == WORD and not number and first.isupper())
+        self.words.append(low if kind == WORD and not number else "")
+        self[token] = len(self.kind) - 1
+        return len(self.kind) - 1
+
+
+class Tokens:
+    """Many texts as arrays, one place per token and one more (``END``) after each text."""
+
+    def __init__(self, texts: list[str], lexicon: Lexicon) -> None:
+        look = lexicon.__getitem__
+        codes: list[int] = [0]
+        for text in texts:
+            codes.extend(map(look, TOKEN.findall(text)))
+            codes.append(0)
+        self.code = np.array(codes, np.int64)
+        self.kind = np.array(lexicon.kind, np.int8)[self.code]
+        self.low = np.array(lexicon.low, np.uint64)[self.code]
+        bound = self.kind > WORD
+        name = np.array(lexicon.named)[self.code]
+        name[1:] &= ~bound[:-1]  # a capital at a start is no name
+        self.form = np.where(name, NAME, np.array(lexicon.form, np.uint64)[self.code])
+        self.bound = bound
+        # names in a row count as one, the last
+        kept = np.ones(len(codes), bool)
+        kept[:-1] = ~(name[:-1] & name[1:])
+        self.kept = np.flatnonzero(kept)
+
+    def contexts(self, wanted: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the ``wanted`` places (in ``kept``): for each number of tokens, which have such a context
+        in their sentence or line, and its key; a sentence shorter than ``DEPTH`` has one more key for its start."""
+        form, bound = self.form[self.kept], self.bound[self.kept]
+        out = [(wanted, _mixed(form[wanted], 1))]
+        at, key = wanted, form[wanted]
+        for k in range(1, DEPTH):
+            before = at - k
+            start = bound[before]
+            key = np.where(start, _mixed(key, START), _mixed(key, form[before]))
+            out.append((at, _mixed(key, 1)))
+            at, key = at[~start], key[~start]
+        return out
+
+    def leads(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the one and the two tokens before each place; a sentence starts with ``START``."""
+        first = (self.kind[at - 1] == STOP) | (self.kind[at - 1] == END)
+        p = np.where(first, START, self.form[at - 1])
+        two = np.maximum(at - 2, 0)
+        q = np.where(first, np.uint64(0), np.where((self.kind[two] == STOP) | (self.kind[two] == END), START, self.form[two]))
+        return _mixed(p, 2), _mixed(_mixed(p, q), 3)
+
+
+class Counts:
+    """Sums of (final, ended, mid) by key."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, column: int, n: np.ndarray | None = None) -> None:
+        keys, place = np.unique(keys, return_inverse=True)
+        rows = np.zeros((len(keys), 3), np.int64)
+        rows[:, column] = np.bincount(place, weights=n, minlength=len(keys)).astype(np.int64)
+        self.held.append((keys, rows))
+        self.size += len(keys)
+
+    def summed(self) -> pa.RecordBatch:
+        keys, place = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+        rows = np.concatenate([r for _, r in self.held])
+        sums = [np.bincount(place, weights=rows[:, c], minlength=len(keys)).astype(np.int64) for c in range(3)]
+        self.held, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["key", "final", "ended", "mid"])
+
+
+FINAL, ENDED, MID = range(3)
+
+
+def _counted(tokens: Tokens, lexicon: Lexicon, counts: Counts) -> None:
+    """Adds one batch: contexts by what follows them, words in context and their beginnings."""
+    n = len(tokens.code)
+    counts.add(np.array([POSITIONS]), MID, np.array([(tokens.kind != END).sum()]))
+    at = np.flatnonzero(tokens.kind[tokens.kept] == WORD)
+    follows = tokens.kind[np.minimum(tokens.kept + 1, n - 1)]
+    column = np.where(follows == END, FINAL, np.where(follows == WORD, MID, ENDED))
+    for own, key in tokens.contexts(at):
+        for c in (FINAL, ENDED, MID):
+            if len(some := key[column[own] == c]):
+                counts.add(some, c)
+    # words that are not the text's last, by the one and the two tokens before them
+    words = np.flatnonzero((tokens.low != 0) & (np.append(tokens.kind[1:], END) != END))
+    if not len(words):
+        return
+    one, two = tokens.leads(words)
+    counts.add(two, MID)
+    for lead in (one, two):
+        order = np.lexsort((tokens.code[words], lead))
+        lead, code = lead[order], tokens.code[words][order]
+        new = np.ones(len(order), bool)
+        new[1:] = (lead[1:] != lead[:-1]) | (code[1:] != code[:-1])
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(order)))
+        lead, code = lead[first], code[first]
+        counts.add(_mixed(lead, tokens.low[words][order][first]), ENDED, times)
+        own, place = np.unique(code, return_inverse=True)
+        beginnings = [[_hash(w[:j]) for j in range(1, len(w))] for w in map(lexicon.words.__getitem__, own.tolist())]
+        sizes = np.array([len(b) for b in beginnings])
+        flat = np.array([h for b in beginnings for h in b], np.uint64)
+        if len(flat):
+            m = sizes[place]
+            base = np.repeat((np.cumsum(sizes) - sizes)[place], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            counts.add(_mixed(np.repeat(lead, m), flat[base]), MID, np.repeat(times, m))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, final, ended, mid): occurrences of contexts, words in context and word beginnings."""
-    final: Counter = Counter()
-    ended: Counter = Counter()
-    mid: Counter = Counter()
-    words: Counter = Counter()
-
-    def full() -> pa.RecordBatch:
-        for (p, q, w), n in words.items():
-            mid["p\t" + q + "\t" + p] += n
-            for lead in ("1\t" + p, "2\t" + q + "\t" + p):
-                ended[lead + "\t" + w] += n
-                for j in range(1, len(w)):
-                    mid[lead + "\t" + w[:j]] += n
-        keys = list(final.keys() | ended.keys() | mid.keys())
-        columns = [pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (final, ended, mid))]
-        for c in (final, ended, mid, words):
-            c.clear()
-        return pa.RecordBatch.from_arrays(columns, ["key", "final", "ended", "mid"])
-
+    lexicon, counts = Lexicon(), Counts()
     for batch in batches:
-        for text in batch.column(0):
-            out, raw = normal(text.as_py())
-            stop = len(out) - 1
-            mid["positions"] += len(out)
-            for i, t in enumerate(out):
-                if t == "\n" or t in STOPS:
-                    continue
-                if i < stop:
-                    after = out[i + 1]
-                    if raw[i]:
-                        words[(*_lead(out, i), raw[i])] += 1
-                    if t == "N" and after == "N":
-                        continue
-                    kind = ended if after == "\n" or after in STOPS else mid
-                else:
-                    kind = final
-                for g in contexts(out, i):
-                    kind["g\t" + g] += 1
-        if len(ended) + len(mid) + len(words) > 400_000:
-            yield full()
-    yield full()
-
-
-def ending(text: str) -> tuple[str, str | None, list[str], list[str]] | None:
-    """Of a text that ends without a full stop: the text without its mark, the mark,
-    the keys of its last contexts (longest first) and the keys about its last word.
-    None if it ends with a full stop or is blank."""
+        for lo in range(0, batch.num_rows, 2000):
+            texts = batch.column(0).slice(lo, 2000).to_pylist()
+            _counted(Tokens(texts, lexicon), lexicon, counts)
+            if len(lexicon) > REMEMBERED:
+                lexicon = Lexicon()
+            if counts.size > HELD:
+                yield counts.summed()
+    if counts.held:
+        yield counts.summed()
+
+
+def core_of(text: str) -> tuple[str, str | None]:
+    """The text without white space and mark of omission at its end, and the mark."""
     core = text.rstrip()
     found = MARK.search(core)
     mark = found.group().strip() if found else None
@@ -160,28 +228,44 @@ def ending(text: str) -> tuple[str, str | None, list[str], list[str]] | None:
         core = core[: found.start()].rstrip()
         while core.endswith("�"):
             core = core[:-1].rstrip()
-    if not core:
-        return None
-    out, raw = normal(core)
-    if not out or (not mark and (out[-1] in STOPS or out[-1] == "\n" or CLOSED.search(core))):
-        return None
-    if out[-1] in STOPS or out[-1] == "\n":
-        return core, mark, [], []
-    keys = ["g\t" + g for g in reversed(contexts(out, len(out) - 1))]
-    word = raw[-1]
-    about: list[str] = []
-    if word and (mark is None or mark == "�"):
-        p, q = _lead(out, len(out) - 1)
-        about = [f"1\t{p}\t{word}", f"2\t{q}\t{p}\t{word}", f"p\t{q}\t{p}"]
-    return core, mark, keys, about
+    return core, mark
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts that end without a full stop: the text without its mark, the mark, the keys of
+    its last contexts (longest first) and the keys about its last word."""
+    lexicon = Lexicon()
     for batch in batches:
-        rows = [(i, *e) for i, text in zip(batch.column(0).to_pylist(), batch.column(1)) if (e := ending(text.as_py()))]
-        if rows:
-            ids, cores, marks, keys, about = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(cores, pa.string()), pa.array(marks, pa.string()), pa.array(keys, pa.list_(pa.string())), pa.array(about, pa.list_(pa.string()))], ["text_id", "core", "mark", "keys", "about"])
+        rows = [(i, *core_of(text)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        rows = [r for r in rows if r[1]]
+        if not rows:
+            continue
+        tokens = Tokens([core for _, core, _ in rows], lexicon)
+        end = np.flatnonzero(tokens.code == 0)[1:]
+        last = end - 1
+        empty = tokens.kind[last] == END
+        stopped = (tokens.kind[last] == STOP) | (tokens.kind[last] == BREAK)
+        keys: list[list[int]] = [[] for _ in rows]
+        own = np.flatnonzero(~empty & ~stopped)
+        place = np.searchsorted(tokens.kept, last[own])
+        back = dict(zip(place.tolist(), own.tolist()))
+        for at, key in tokens.contexts(place):
+            for j, x in zip(at.tolist(), key.view(np.int64).tolist()):
+                keys[back[j]].insert(0, x)
+        one, two = tokens.leads(np.maximum(last, 1))
+        word = tokens.low[last]
+        about = [x.view(np.int64).tolist() for x in (_mixed(one, word), _mixed(two, word), two)]
+        out = []
+        for j, (i, core, mark) in enumerate(rows):
+            if empty[j] or (not mark and (stopped[j] or CLOSED.search(core))):
+                continue
+            asks = bool(word[j]) and not stopped[j] and (mark is None or mark == "�")
+            out.append((i, core, mark, keys[j], [a[j] for a in about] if asks else []))
+        if out:
+            ids, cores, marks, ks, ab = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(cores, pa.string()), pa.array(marks, pa.string()), pa.array(ks, pa.list_(pa.int64())), pa.array(ab, pa.list_(pa.int64()))], ["text_id", "core", "mark", "keys", "about"])
+        if len(lexicon) > REMEMBERED:
+            lexicon = Lexicon()
 
 
 def _goes_on(core: str, text: str) -> bool:
@@ -272,17 +356,17 @@ def continued(texts: DataFrame, cores: DataFrame, block_chars: int = BLOCK) -> D
 def judged_endings(texts: DataFrame) -> DataFrame:
     """(text_id, mark, state, n_final, natural, continued) of distinct texts (text_id,
     text) that end without a full stop; state is mid, partial, end or unknown."""
-    counts = texts.select("text").mapInArrow(_count, "key string, final long, ended long, mid long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("final", "ended", "mid")))
+    counts = texts.select("text").mapInArrow(_count, "key long, final long, ended long, mid long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("final", "ended", "mid")))
     counts = stored(counts, "contexts")
-    ends = stored(texts.select("text_id", "text").mapInArrow(_endings, "text_id string, core string, mark string, keys array<string>, about array<string>"), "endings")
-    positions = (counts.where(F.col("key") == "positions").agg(F.sum("mid")).first()[0] or 0) + 1
+    ends = stored(texts.select("text_id", "text").mapInArrow(_endings, "text_id string, core string, mark string, keys array<long>, about array<long>"), "endings")
+    positions = (counts.where(F.col("key") == int(POSITIONS.view(np.int64))).agg(F.sum("mid")).first()[0] or 0) + 1
     rate = ends.count() / positions
 
     roles = F.flatten(F.array(F.transform("keys", lambda k, i: F.struct(F.concat(F.lit("g"), i.cast("string")).alias("role"), k.alias("key"))), F.transform("about", lambda k, i: F.struct(F.concat(F.lit("a"), i.cast("string")).alias("role"), k.alias("key")))))
-    asked = ends.select("text_id", F.col("mark").isNull().alias("bare"), F.explode(roles).alias("r")).select("text_id", "bare", "r.role", "r.key").withColumn("salt", F.pmod(F.xxhash64("text_id"), F.lit(SALTS)).cast("int"))
-    useful = counts.join(asked.select("key").distinct(), "key", "left_semi").withColumn("salt", F.explode(F.array(*(F.lit(s) for s in range(SALTS)))))
+    asked = ends.select("text_id", F.col("mark").isNull().alias("bare"), F.explode(roles).alias("r")).select("text_id", "bare", "r.role", "r.key")
+    # a key has one row of counts, so a frequent key is split by the skew join where it must be, and not before
     own = F.when(F.col("bare") & F.col("role").startswith("g"), 1).otherwise(0)
-    got = asked.join(useful, ["key", "salt"], "left").select("text_id", "role", (F.coalesce("final", F.lit(0)) - own).alias("final"), F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("mid", F.lit(0)).alias("mid"))
+    got = asked.join(counts, "key", "left").select("text_id", "role", (F.coalesce("final", F.lit(0)) - own).alias("final"), F.coalesce("ended", F.lit(0)).alias("ended"), F.coalesce("mid", F.lit(0)).alias("mid"))
     picked = [F.max(F.when(F.col("role") == f"{kind}{i}", F.struct("final", "ended", "mid"))).alias(f"{kind}{i}") for kind, n in (("g", DEPTH), ("a", 3)) for i in range(n)]
     wide = got.groupBy("text_id").agg(*picked)
     # the longest context that is frequent enough
@@ -295,11 +379,12 @@ def judged_endings(texts: DataFrame) -> DataFrame:
     state = F.when(F.col("partial"), "partial").when(F.col("b").isNull(), "unknown").when(natural, "end").otherwise("mid")
     told = told.select("text_id", state.alias("state"), F.coalesce("b.final", F.lit(0)).alias("n_final"), F.coalesce(share, F.lit(0.0)).alias("natural"))
     open_mid = F.col("core").rlike("[,;:(–]$")
-    prefixes = continued(texts, ends.where(F.length("core") >= SHORTEST).select("text_id", "core")).withColumn("continued", F.lit(True))
-    return (
-        ends.select("text_id", "mark", open_mid.alias("open_mid")).join(told, "text_id", "left").join(prefixes, "text_id", "left")
-        .select("text_id", "mark", F.when(F.col("open_mid"), "mid").otherwise(F.coalesce("state", F.lit("unknown"))).alias("state"), F.coalesce("n_final", F.lit(0)).alias("n_final"), F.coalesce("natural", F.lit(0.0)).alias("natural"), F.coalesce("continued", F.lit(False)).alias("continued"))
+    prefixes = continued(texts, ends.select("text_id", "core")).withColumn("continued", F.lit(True))
+    rows = (
+        ends.select("text_id", "mark", open_mid.alias("open_mid"), (F.length("core") < SHORT).alias("short")).join(told, "text_id", "left").join(prefixes, "text_id", "left")
+        .select("text_id", "mark", F.when(F.col("open_mid"), "mid").otherwise(F.coalesce("state", F.lit("unknown"))).alias("state"), F.coalesce("n_final", F.lit(0)).alias("n_final"), F.coalesce("natural", F.lit(0.0)).alias("natural"), F.coalesce("continued", F.lit(False)).alias("continued"), "short")
     )
+    return rows.withColumn("continued", F.col("continued") & (~F.col("short") | (F.col("state") != "end"))).drop("short")
 
 
 def source_limits(evidence: DataFrame) -> DataFrame:
@@ -318,8 +403,7 @@ def judged_documents(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "source", "n_chars", "text").where(F.col("text").rlike(r"\S"))
     keyed = docs.select("doc_id", "source", "n_chars", F.md5("text").alias("text_id"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.col("text").rlike("�\\s*$").alias("broken"))
     texts = stored(docs.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).select(F.md5("text").alias("text_id"), "text"), "texts")
-    told = judged_endings(texts).withColumn("salt", F.explode(F.array(*(F.lit(s) for s in range(SALTS)))))
-    seen = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(told, ["text_id", "salt"], "left").drop("salt", "text_id")
+    seen = keyed.join(judged_endings(texts), "text_id", "left").drop("text_id")
     short = F.coalesce(F.col("n_chars") > F.col("bytes"), F.lit(False))
     goes_on = F.coalesce(F.col("state").isin("mid", "partial"), F.lit(False))
     seen = stored(seen.select("doc_id", "source", "chars", "bytes", "mark", "state", "n_final", "natural", (F.col("broken") | short).alias("reported"), F.coalesce("continued", F.lit(False)).alias("continued"), goes_on.alias("goes_on")), "seen")

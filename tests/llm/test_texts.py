@@ -148,3 +148,61 @@ def test_prefixes_are_found_across_partitions(spark, block_chars):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == want
+
+
+def brute_counts(texts):
+    """(final, ended, mid) of every context and every word or beginning of a word in context, by plain strings."""
+    counts = {}
+
+    def add(key, column):
+        counts.setdefault(key, [0, 0, 0])[column] += 1
+
+    for text in texts:
+        out, raw, begins = [], [], True
+        for w in truncation.TOKEN.findall(text):
+            add("positions", 2)
+            if w[0] in "\r\n" or (w[0] == "<" and len(w) > 2):
+                out, raw, begins = [*out, "\n"], [*raw, None], True
+            elif w in truncation.STOPS:
+                out, raw, begins = [*out, w], [*raw, None], True
+            else:
+                number = any(map(str.isdigit, w))
+                out, raw, begins = [*out, "#" if number else "N" if w[0].isupper() and not begins else w.lower()], [*raw, None if number else w.lower()], False
+        for i, t in enumerate(out):
+            bound = lambda k: k < 0 or out[k] == "\n" or out[k] in truncation.STOPS
+            if bound(i):
+                continue
+            if i < len(out) - 1:
+                p = out[i - 1] if i and out[i - 1] not in truncation.STOPS else "^"
+                q = "" if p == "^" else out[i - 2] if i > 1 and out[i - 2] not in truncation.STOPS else "^"
+                if raw[i]:
+                    add(("p", q, p), 2)
+                    for lead in (("1", p), ("2", q, p)):
+                        add((*lead, raw[i]), 1)
+                        for j in range(1, len(raw[i])):
+                            add((*lead, raw[i][:j]), 2)
+                if t == "N" and out[i + 1] == "N":
+                    continue
+            last, k, grams = [], i, 0
+            while grams < truncation.DEPTH:
+                if bound(k):
+                    add(("g", "^", *last), 0 if i == len(out) - 1 else 1 if bound(i + 1) else 2)
+                    break
+                if not (out[k] == "N" and last and last[-1] == "N"):
+                    last.append(out[k])
+                    add(("g", *last), 0 if i == len(out) - 1 else 1 if bound(i + 1) else 2)
+                    grams += 1
+                k -= 1
+    return counts
+
+
+def test_context_counts_match_brute_force():
+    rng = random.Random(6)
+    words = ["the", "Lane", "Guard", "a", "ab", "abc", "7", "x2", ".", "!", "\n", "<b>", ",", "_", "…", "it's"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 25))) for _ in range(300)]
+    lexicon, counts = truncation.Lexicon(), truncation.Counts()
+    for lo in range(0, 300, 70):
+        truncation._counted(truncation.Tokens(texts[lo : lo + 70], lexicon), lexicon, counts)
+    got = counts.summed()
+    want = brute_counts(texts)
+    assert sorted(zip(*(got.column(c).to_pylist() for c in ("final", "ended", "mid")))) == sorted(map(tuple, want.values()))
