@@ -552,5 +552,5 @@ def archetype_posterior(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def archetype_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts of the fits with three and two groups of each hero."""
-    _, verdicts = clusters.fit_heroes(_family_shares(spark, folder), adapters.buys(spark, folder), list(FAMILIES))
+    _, verdicts = clusters.fit_heroes(stored(_family_shares(spark, folder), "shares"), adapters.buys(spark, folder), list(FAMILIES))
     return verdicts

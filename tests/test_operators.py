@@ -246,9 +246,42 @@ def test_clusters(spark):
     gaps = clusters.pair_gaps(clusters.cluster_prevalence(df, labels))
     assert clusters.separation(gaps).first()["separation"] == 1.0
     assert clusters.silhouette(labelled, ["a", "b"]).first()["silhouette"] > 0.9
-    same = spark.createDataFrame([(7, 0, 1, 0.1, 5), (7, 0, 2, 0.9, 5), (7, 1, 2, 0.9, 5)], "hero_id int, a int, b int, gap double, item_id long")
-    sizes = spark.createDataFrame([(7, i) for i in range(3)] + [(8, 0)], "hero_id int, archetype_id int")
-    assert rows(clusters.merges(same, sizes)) == [(7, 0, 0), (7, 1, 0), (7, 2, 1), (8, 0, 0)]
+
+
+def players_of(groups):
+    """(hero_id, match_id, player_slot, item_id) rows and (hero_id, seat, spirit, gun) of planted groups: hero -> [(players, items, spirit)]."""
+    bought, players, m = [], [], 0
+    for hero, own in groups.items():
+        for n, items, spirit in own:
+            for i in range(n):
+                m += 1
+                extra = [items[-1] + 100] if i % 10 == 0 else []
+                bought += [(hero, m, 1, x) for x in [*items, *extra]]
+                at = spirit + (i % 5) / 100
+                players.append((hero, m, 1, at, 1 - at))
+    return bought, players
+
+
+def test_heroes_keep_planted_groups_and_merge_near_ones(spark):
+    bought, players = players_of({
+        1: [(400, [11, 12, 13, 14], 0.8), (400, [21, 22, 23, 24], 0.2)],  # two real groups
+        2: [(800, [11, 12, 13], 0.5)],  # one
+        3: [(50, [11, 12], 0.8), (50, [21, 22], 0.2)],  # too few players
+        4: [(400, [11, 12, 13, 14], 0.8), (200, [31, 32, 33, 34], 0.2), (200, [31, 32, 33, 34], 0.5)],  # two of three buy alike
+    })
+    b = spark.createDataFrame(bought, "hero_id int, match_id long, player_slot int, item_id long")
+    p = spark.createDataFrame(players, "hero_id int, match_id long, player_slot int, spirit double, gun double")
+    labels, verdicts = clusters.fit_heroes(p, b, ["spirit", "gun"], starts=4)
+    told = {(r["hero_id"], r["tried"]): r for r in verdicts.collect()}
+    assert told[1, 2]["passed"] and told[4, 3]["passed"] and told[4, 3]["k"] == 2 and not told[2, 2]["passed"] and "players" in told[3, 2]["reason"]
+    sides = {}
+    for r in labels.join(p, ["hero_id", "match_id", "player_slot"]).collect():
+        sides.setdefault(r["hero_id"], set()).add((r["spirit"] > 0.6, r["archetype_id"]))
+    assert sides[1] == {(True, 0), (False, 1)} and sides[4] == {(True, 0), (False, 1)}
+    assert {a for _, a in sides[2]} == {0} and {a for _, a in sides[3]} == {0}
+    assert labels.count() == len(players)
+    none, nothing = clusters.fit_heroes(p.limit(0), b.limit(0), ["spirit", "gun"], starts=2)
+    assert none.count() == 0 and nothing.count() == 0
 
 
 def test_builds_keep_to_the_order_and_absorb(spark):
