@@ -97,3 +97,29 @@ def test_every_sql_has_its_query():
 def test_prevalence_without_group(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 1, 5), (2, 1, 6)], "match_id long, player_slot int, item_id long")
     assert rows(evaluation.prevalence(df), "item_id", "share") == [(5, 0.5), (6, 0.5)]
+
+
+def test_stored_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from lanewright import runtime
+
+    runtime.forget(spark)
+    df = runtime.stored(spark.range(5), "gone")
+    path = Path(df.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert df.count() == 5 and path.exists()
+    assert runtime.forget(spark) == 1 and not path.exists() and runtime.forget(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lanewright import runtime
+
+    none = SimpleNamespace(get=lambda *_: None)
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(getConf=lambda: none, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        runtime.shared_folder(SimpleNamespace(sparkContext=context, conf=none))
