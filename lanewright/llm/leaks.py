@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Runs of letters and digits: word characters without the underscore.
 WORD = re.compile(r"[^\W_]+")
-#: Words of one shard.
-SHARD = 1_500_000
+#: Words of one shard, and matches of a shard that are extended at a time.
+SHARD, HITS = 1_500_000, 2_000_000
 
 
 def words(text: str) -> list[str]:
@@ -85,6 +85,34 @@ def _bound(text: np.ndarray, order: np.ndarray, wanted: np.ndarray, after: bool)
         hi[live[~below]] = mid[~below]
 
 
+def _extended(tests: TestSet, text: np.ndarray, back: np.ndarray, some: np.ndarray, low: np.ndarray, hits: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(test suffix, place, length in words) of all matches of the suffixes ``some`` that begin where no longer match does."""
+    test = np.repeat(some, hits)
+    place = order[np.repeat(low, hits) + np.arange(len(test)) - np.repeat(np.cumsum(hits) - hits, hits)]
+    before = np.where(place > 0, text[place - 1], 0)
+    before = np.where((place > 0) & (back[place] - back[np.maximum(place - 1, 0)] == 1), before, 0)
+    first = (before == 0) | (before != tests.flat[tests.starts[test] - 1])  # others start inside a longer match
+    test, place = test[first], place[first]
+    length = np.full(len(test), tests.shared)
+    live = np.arange(len(test))
+    while len(live):
+        at, of = place[live] + length[live], tests.starts[test[live]] + length[live]
+        ok = (of < tests.stops[test[live]]) & (at < len(text))
+        live, at, of = live[ok], at[ok], of[ok]
+        live = live[(text[at] == tests.flat[of]) & (text[at] > 0)]
+        length[live] += 1
+    return test, place, length
+
+
+def _longest(doc: np.ndarray, item: np.ndarray, length: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each document and item the longest match, the first of equal ones."""
+    best = np.lexsort((whole, -length, item, doc))
+    new = np.ones(len(best), bool)
+    new[1:] = (doc[best][1:] != doc[best][:-1]) | (item[best][1:] != item[best][:-1])
+    best = best[new]
+    return doc[best], item[best], length[best], whole[best]
+
+
 def _matches(tests: TestSet, docs: list[int], numbers: list[list[int]]) -> pa.RecordBatch | None:
     """One row per document of the shard and item whose texts share enough words."""
     n = tests.shared
@@ -109,32 +137,21 @@ def _matches(tests: TestSet, docs: list[int], numbers: list[list[int]]) -> pa.Re
     wanted = tests.flat[tests.starts[:, None] + np.arange(n)]
     low, high = _bound(short, order, wanted, False), _bound(short, order, wanted, True)
     hits = high - low
-    test = np.repeat(np.arange(len(hits)), hits)
-    place = order[np.repeat(low, hits) + np.arange(len(test)) - np.repeat(np.cumsum(hits) - hits, hits)]
-    before = np.where(place > 0, short[place - 1], 0)
-    before = np.where((place > 0) & (back[place] - back[np.maximum(place - 1, 0)] == 1), before, 0)
-    longest = (before == 0) | (before != tests.flat[tests.starts[test] - 1])  # others start inside a longer match
-    test, place = test[longest], place[longest]
-    if not len(test):
+    blocks = np.cumsum(hits) // HITS  # passages that many items and documents share are taken a part at a time
+    parts = []
+    for block in np.unique(blocks[hits > 0]):
+        some = np.flatnonzero((blocks == block) & (hits > 0))
+        test, place, length = _extended(tests, short, back, some, low[some], hits[some], order)
+        whole = back[place]
+        doc = np.searchsorted(begin, whole, side="right") - 1
+        parts.append(_longest(doc, tests.owner[test], length, whole))
+    if not parts:
+        return None
+    doc, item, length, whole = _longest(*(np.concatenate(c) for c in zip(*parts)))
+    if not len(doc):
         return None
-    length = np.full(len(test), n)
-    live = np.arange(len(test))
-    while len(live):
-        at, of = place[live] + length[live], tests.starts[test[live]] + length[live]
-        ok = (of < tests.stops[test[live]]) & (at < len(short))
-        live, at, of = live[ok], at[ok], of[ok]
-        same = (short[at] == tests.flat[of]) & (short[at] > 0)
-        live = live[same]
-        length[live] += 1
-    whole = back[place]
-    doc = np.searchsorted(begin, whole, side="right") - 1
-    item = tests.owner[test]
-    best = np.lexsort((whole, -length, item, doc))
-    new = np.ones(len(best), bool)
-    new[1:] = (doc[best][1:] != doc[best][:-1]) | (item[best][1:] != item[best][:-1])
-    best = best[new]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(docs, np.int64)[doc[best]]), pa.array(item[best]), pa.array(length[best].astype(np.int32)), pa.array((whole - begin[doc])[best].astype(np.int64))],
+        [pa.array(np.array(docs, np.int64)[doc]), pa.array(item), pa.array(length.astype(np.int32)), pa.array((whole - begin[doc]).astype(np.int64))],
         ["doc_id", "bench_id", "n_words", "doc_word"],
     )
 

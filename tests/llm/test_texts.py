@@ -87,6 +87,11 @@ def test_leaks_match_brute_force(spark, monkeypatch):
         grams = lambda x, k: {tuple(x[a : a + k]) for a in range(len(x) - k + 1)}
         assert grams(w, n) & grams(v, n) and not grams(w, n + 1) & grams(v, n + 1)
     assert set(rows(leaks.leaks(d, b, block_chars=300), "doc_id", "bench_id")) == want
+    own = leaks.TestSet([(i, t) for i, t in items], 12)
+    texts = [(i, [own.ids.get(w, 0) for w in leaks.words(t)]) for i, t in docs if t]
+    whole = leaks._matches(own, *map(list, zip(*texts))).to_pylist()
+    monkeypatch.setattr(leaks, "HITS", 3)
+    assert leaks._matches(own, *map(list, zip(*texts))).to_pylist() == whole
     assert leaks.without_leaks(d, found).count() == len(docs) - len({i for i, _ in want})
     assert leaks.leaks(d.limit(0), b).count() == 0 and leaks.leaks(d, b.limit(0)).count() == 0
 
