@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = (1, 2, 3, 4)
+#: Share from which a target has a majority, imbues below which it is thin.
+MAJORITY, THIN = 0.5, 30
 
 
 def imbue_entries(entries: DataFrame, shop: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,7 +70,8 @@ def usual_targets(rows: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 
 def targets_of_build(build: DataFrame, targets: DataFrame, shop: DataFrame) -> DataFrame:
-    """(pos, item_id, ability_id, n, share) of a build's imbueable items, each at its first place; null where nobody imbued it."""
+    """(pos, item_id, ability_id, n, share, split, thin) of a build's imbueable items, each at its first place; null where
+    nobody imbued it.  ``split``: the commonest target has no majority; ``thin``: few imbues back it."""
     first = build.groupBy("item_id").agg(F.min("pos").alias("pos"))
     able = first.join(F.broadcast(shop.where("imbue is not null").select(F.col("id").alias("item_id"))), "item_id", "left_semi")
-    return able.join(targets, "item_id", "left").select("pos", "item_id", "ability_id", F.coalesce("n", F.lit(0)).alias("n"), "share")
+    return able.join(targets, "item_id", "left").select("pos", "item_id", "ability_id", F.coalesce("n", F.lit(0)).alias("n"), "share", (F.col("ability_id").isNotNull() & (F.col("share") < MAJORITY)).alias("split"), (F.col("ability_id").isNotNull() & (F.col("n") < THIN)).alias("thin"))
