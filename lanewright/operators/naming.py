@@ -20,12 +20,13 @@ def dominant_slot(rows: DataFrame, cell: list[str], within: list[str], slot: str
     return told.where((F.col("_p") == 1) & (F.col("_own") >= least) & (F.col("_share") >= share) & (F.col("lift") >= lift)).select(*cell, F.col(slot).alias("slot"), "lift")
 
 
-def ability_focus(imbues: DataFrame, maxed: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """(hero_id, archetype_id, slot, lift): the slot a group centres on, by what it imbues, else by what it maxes first."""
+def ability_focus(imbues: DataFrame, maxed: DataFrame, labels: DataFrame, keys: list[str], **limits) -> DataFrame:
+    """(hero_id, archetype_id, slot, lift): the slot a group centres on, by what it imbues, else by what it maxes first.
+    ``limits``: those of ``dominant_slot``."""
     cell = ["hero_id", "archetype_id"]
     own = lambda rows, slot: rows.join(labels.select(*keys, "archetype_id"), keys).select(*cell, F.col(slot).alias("signature_slot"))
-    first = dominant_slot(own(imbues, "signature_slot"), cell, ["hero_id"])
-    second = dominant_slot(own(maxed.where("first_maxed > 0"), "first_maxed"), cell, ["hero_id"])
+    first = dominant_slot(own(imbues, "signature_slot"), cell, ["hero_id"], **limits)
+    second = dominant_slot(own(maxed.where("first_maxed > 0"), "first_maxed"), cell, ["hero_id"], **limits)
     return first.unionByName(second.join(first.select(*cell), cell, "left_anti"))
 
 

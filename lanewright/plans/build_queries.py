@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions import text
-from lanewright.operators import backoff, builds, evaluation, experiments, families, points, tooltips
+from lanewright.operators import advice, backoff, builds, clusters, evaluation, experiments, families, naming, points, tooltips
 from lanewright.plans import adapters, model_queries
 from lanewright.plans.adapters import SEAT, with_
 from lanewright.plans.cleaning_queries import POINT_ORDER
@@ -98,12 +98,110 @@ def adjusted_rand(spark: SparkSession, folder: str) -> DataFrame:
 sep AS (SELECT hero_id, arg_min(item_id, (gap, a, b)) AS item_id FROM gaps GROUP BY hero_id), k AS (SELECT item_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, item_id) AS p FROM sep GROUP BY item_id)
 SELECT sum(n)::bigint AS n, round(max(n) / sum(n), 9) AS top_share, round(sum(CASE WHEN p <= 3 THEN n ELSE 0 END) / sum(n), 9) AS top_3_share FROM k""")
 def separating_items(spark: SparkSession, folder: str) -> DataFrame:
-    from lanewright.operators import clusters
-
     rows = clusters.separation(clusters.pair_gaps(model_queries._prevalences(spark, folder)))
     return experiments.concentration(rows).select("n", F.round("top_share", 9).alias("top_share"), F.round("top_3_share", 9).alias("top_3_share"))
 
 
+#: Fixed values of the example, lower than the operator's as the pulls hold few imbues.
+FOCUS = {"least": 3, "share": 0.3, "lift": 0.05}
+
+
+def _focus_sql(source: str) -> str:
+    return f"""{source}_t AS (SELECT *, n / own AS share, round(n / own - coalesce((every - n) / nullif(hero - own, 0), 0), 9) AS lift FROM (
+  SELECT *, sum(n) OVER (PARTITION BY hero_id, archetype_id) AS own, sum(n) OVER (PARTITION BY hero_id) AS hero, sum(n) OVER (PARTITION BY hero_id, slot) AS every,
+    row_number() OVER (PARTITION BY hero_id, archetype_id ORDER BY n DESC, slot) AS p FROM (SELECT hero_id, archetype_id, slot, count(*) AS n FROM {source} GROUP BY ALL))),
+{source}_focus AS (SELECT hero_id, archetype_id, slot, lift FROM {source}_t WHERE p = 1 AND own >= {FOCUS["least"]} AND share >= {FOCUS["share"]} AND lift >= {FOCUS["lift"]})"""
+
+
+@query(
+    with_("imbues", "points")
+    + """,
+aimed AS (SELECT hero_id, ((match_id + player_slot) % 3)::int AS archetype_id, signature_slot AS slot FROM imbues),
+maxed AS (SELECT hero_id, ((match_id + player_slot) % 3)::int AS archetype_id, slot FROM (
+  SELECT hero_id, match_id, player_slot, arg_min(signature_slot, (game_time_s, step)) FILTER (level >= 4 AND signature_slot > 0) AS slot FROM points GROUP BY hero_id, match_id, player_slot) WHERE slot IS NOT NULL),
+"""
+    + _focus_sql("aimed") + ",\n" + _focus_sql("maxed")
+    + "\nSELECT * FROM aimed_focus UNION ALL SELECT * FROM maxed_focus m WHERE NOT EXISTS (SELECT 1 FROM aimed_focus a WHERE a.hero_id = m.hero_id AND a.archetype_id = m.archetype_id)"
+)
+def archetype_focus(spark: SparkSession, folder: str) -> DataFrame:
+    """The ability each group of players centres on, by its imbues, else by what it maxes first."""
+    aimed, spent = adapters.imbues(spark, folder)[0], adapters.points(spark, folder)
+    maxed = points.first_maxed(spent, ["hero_id", *SEAT])
+    labels = adapters.labels(aimed.select(*SEAT).unionByName(maxed.select(*SEAT)))
+    return naming.ability_focus(aimed, maxed, labels, SEAT, **FOCUS)
+
+
+@query(
+    with_("labels") + ",\n" + model_queries.CLUSTERS + ",\n" + model_queries.SCORES
+    + """,
+idf AS (SELECT family, ln((SELECT count(*) FROM items) / count(DISTINCT item_id)) AS idf FROM scores GROUP BY family),
+lifts AS (SELECT hero_id, archetype_id, item_id, round(p - coalesce((sum(p) OVER w - p) / nullif(count(p) OVER w - 1, 0), 0), 9) AS lift FROM prev WINDOW w AS (PARTITION BY hero_id, item_id)),
+led AS (SELECT *, row_number() OVER (PARTITION BY hero_id, archetype_id ORDER BY round(s, 9) DESC, family DESC) AS p FROM (
+  SELECT hero_id, archetype_id, family, sum(greatest(lift, 0) * score * idf) AS s FROM lifts JOIN scores USING (item_id) JOIN idf USING (family) GROUP BY ALL)),
+two AS (SELECT hero_id, archetype_id, max(family) FILTER (p = 1) AS f1, max(s) FILTER (p = 1) AS s1, max(family) FILTER (p = 2) AS f2, max(s) FILTER (p = 2) AS s2 FROM led GROUP BY ALL),
+named AS (SELECT hero_id, archetype_id, round(m, 6) AS margin, CASE WHEN s1 <= 0 OR m < 1.3 THEN hero_id::varchar ELSE concat(f1, CASE WHEN m < 1.7 THEN concat('-', f2) ELSE '' END, ' ', hero_id) END AS name FROM (
+  SELECT *, CASE WHEN coalesce(s2, 0) > 0 THEN s1 / s2 ELSE 'inf'::double END AS m FROM two)),
+best AS (SELECT hero_id, archetype_id, string_split_regex(trim(name), '\\s+')[-1] AS item FROM (SELECT *, row_number() OVER (PARTITION BY hero_id, archetype_id ORDER BY lift DESC, item_id) AS p FROM lifts) JOIN items ON item_id = id WHERE p = 1),
+told AS (SELECT n.*, item, count(*) OVER w AS n, count(DISTINCT item) OVER w AS d, row_number() OVER (PARTITION BY hero_id, name ORDER BY archetype_id) AS r FROM named n LEFT JOIN best USING (hero_id, archetype_id) WINDOW w AS (PARTITION BY hero_id, name)),
+once AS (SELECT *, CASE WHEN n < 2 THEN name WHEN d = n THEN concat(item, ' ', name) ELSE concat(name, ' ', r) END AS label FROM told)
+SELECT hero_id, archetype_id, name, margin, CASE WHEN row_number() OVER v > 1 THEN concat(label, ' ', row_number() OVER v) ELSE label END AS "unique" FROM once WINDOW v AS (PARTITION BY hero_id, label ORDER BY archetype_id)"""
+)
+def archetype_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the groups by the families of what sets them apart, told apart by their most distinctive item."""
+    shop, cell = adapters.items(spark, folder), ["hero_id", "archetype_id"]
+    scores = stored(model_queries._scores(spark, folder), "scores")
+    lifts = stored(clusters.discriminative(model_queries._prevalences(spark, folder), 1 << 30), "lifts")
+    scored = families.scored_families(lifts.select(*cell, "item_id", "lift"), scores, families.rarity(scores, shop.count()), cell)
+    named = families.names(scored, cell, "hero_id").join(naming.item_label(lifts, shop), cell, "left")
+    told = naming.unique_names(named.withColumn("focus", F.lit(None).cast("string")).withColumn("fixed", F.lit(None).cast("string")))
+    return told.select(*cell, "name", F.round("margin", 6).alias("margin"), "unique")
+
+
+POINT_BASE = {"overall": ["hero_id"], "positional": ["hero_id", "archetype_id", "step"], "bigram": ["hero_id", "archetype_id", "prev_one"]}
+
+
+def _point_accuracy_sql() -> str:
+    lists = ",\n".join(f"by_{name} AS (SELECT {', '.join(keys)}, item_id, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY count(*) DESC, item_id) AS place FROM train GROUP BY {', '.join(keys)}, item_id)" for name, keys in POINT_BASE.items())
+    model = "(SELECT *, row_number() OVER (PARTITION BY " + ", ".join(backoff.KEYS) + " ORDER BY p DESC, item_id) AS place FROM likely)"
+    tables = {name: (f"by_{name}", keys) for name, keys in POINT_BASE.items()} | {"backoff": (model, list(backoff.KEYS))}
+    score = lambda name, source, keys: f"""SELECT '{name}' AS model, count(*) AS n, round(avg((coalesce(first_, -1) = item_id)::int), 9) AS top_1 FROM (SELECT t.match_id, t.player_slot, t.step, t.item_id, arg_min(l.item_id, l.place) AS first_
+  FROM test t LEFT JOIN {source} l ON {" AND ".join(f"t.{k} = l.{k}" for k in keys)} AND NOT list_contains(t.full_, l.item_id) GROUP BY ALL)"""
+    return (
+        with_("points")
+        + """,
+spent AS (SELECT match_id, player_slot, hero_id, signature_slot::bigint AS item_id, game_time_s AS buy_time_s, ((match_id + player_slot) % 3)::int AS archetype_id, row_number() OVER w - 1 AS step FROM points WHERE signature_slot > 0 WINDOW w AS (PARTITION BY match_id, player_slot ORDER BY game_time_s, step)),
+prepared AS (SELECT *, lag(item_id, 1, -1) OVER w AS prev_one, lag(item_id, 2, -1) OVER w AS prev_two, step::int AS n_owned,
+  (buy_time_s >= 300)::int + (buy_time_s >= 600)::int + (buy_time_s >= 900)::int + (buy_time_s >= 1200)::int + (buy_time_s >= 1800)::int AS time_bucket,
+  list_filter([1, 2, 3, 4], lambda s: len(list_filter(coalesce(list(item_id) OVER (PARTITION BY match_id, player_slot ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), lambda x: x = s)) >= 4) AS full_ FROM spent WINDOW w AS (PARTITION BY match_id, player_slot ORDER BY step)),
+side AS (SELECT match_id, rn <= floor(n * 0.75) AS is_train FROM (SELECT match_id, row_number() OVER (ORDER BY md5('0:' || match_id::varchar), match_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT match_id FROM spent))),
+train AS (SELECT p.* FROM prepared p JOIN side USING (match_id) WHERE is_train), test AS (SELECT p.* FROM prepared p JOIN side USING (match_id) WHERE NOT is_train AND len(full_) < 3),
+"""
+        + model_queries.LEVELS.replace("FROM prepared", "FROM train") + ",\n" + model_queries.chances_sql("(SELECT DISTINCT " + ", ".join(backoff.KEYS) + " FROM test)", "levels", "likely") + ",\n" + lists + "\n"
+        + "\nUNION ALL ".join(score(name, *told) for name, told in tables.items())
+        + "\nUNION ALL SELECT 'chance', count(*), round(avg(1 / (4 - len(full_))), 9) FROM test"
+    )
+
+
+@query(_point_accuracy_sql())
+def point_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the next ability point is the first guess among the slots that can still take one, by model and baselines,
+    over every held-out point with a choice."""
+    spent = points.as_sequence(adapters.points(spark, folder), SEAT)
+    labels = adapters.labels(spent)
+    order = Window.partitionBy(*SEAT).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.array_compact(F.array(*(F.when(F.sum((F.col("item_id") == s).cast("int")).over(order) >= advice.TOP, F.lit(s).cast("long")) for s in points.SLOTS)))
+    rows = stored(backoff.prepared(spent.withColumn("owned", full), labels, SEAT), "points")
+    train, test = model_queries._sided(rows, "match")
+    test = stored(test.where(F.size("owned") < 3), "test")
+    told = backoff.ranked(test.select(*backoff.KEYS, "owned", "item_id"), backoff.state_tables(test, stored(backoff.levels(train), "levels")))
+    hits = {"backoff": told.select(F.when(F.try_element_at("best", F.lit(1))["item_id"] == F.col("item_id"), 1).alias("hit"))}
+    for name, context in POINT_BASE.items():
+        hits[name] = evaluation.hit_places(test, evaluation.ranked_lists(train, context), context)
+    out = [evaluation.accuracy(df).select(F.lit(name).alias("model"), "n", F.round("top_1", 9).alias("top_1")) for name, df in hits.items()]
+    out.append(test.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(1 / (4 - F.size("owned"))), 9).alias("top_1")).select(F.lit("chance").alias("model"), "n", "top_1"))
+    return model_queries._together(out)
+
+
 @query(
     with_("buys") + ",\n" + model_queries.SCORES + ",\n" + model_queries.FAMILY_SHARES
     + ",\ntabs AS (SELECT match_id, player_slot, "
