@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.operators.backoff import KAPPA, LEVELS, NO_ITEM
+from lanewright.operators.backoff import KAPPA, LEVELS, NO_ITEM, PLACES
 from lanewright.operators.cleaning import TIME_BOUNDS
 from lanewright.operators.ranking import global_rank
 
@@ -83,22 +83,28 @@ class Cell:
         return self.items[lo:hi].tolist(), self.weights[lo:hi]
 
     def chances(self, bought: list[int], clock: float) -> dict[int, float]:
-        """Each item's chance after ``bought``, at ``clock``."""
+        """Each item's chance after ``bought``, at ``clock``: the two fine levels, and what they leave times the others' mixture."""
         state = {
             "hero_id": self.hero, "archetype_id": self.archetype, "n_owned": len(bought), "time_bucket": bisect_right(TIME_BOUNDS, clock),
             "prev_one": bought[-1] if bought else NO_ITEM, "prev_two": bought[-2] if len(bought) > 1 else NO_ITEM,
         }
-        out: dict[int, float] = {}
-        left = 1.0
-        for level, keys in enumerate(LEVELS):
-            items, weights = self.at(level, "|".join(str(state[k]) for k in keys))
-            total = float(weights.sum())
-            if total > 0:
-                part = left * total / (total + self.kappa)
-                for x, p in zip(items, (weights * (part / total)).tolist()):
-                    out[x] = out.get(x, 0.0) + p
-                left *= self.kappa / (total + self.kappa)
-        return out
+
+        def mixture(levels: range) -> tuple[dict[int, float], float]:
+            out: dict[int, float] = {}
+            left = 1.0
+            for level in levels:
+                items, weights = self.at(level, "|".join(str(state[k]) for k in LEVELS[level]))
+                total = float(weights.sum())
+                if total > 0:
+                    own = total / (total + self.kappa)
+                    for x, w in zip(items, weights.tolist()):
+                        out[x] = out.get(x, 0.0) + left * own / total * w
+                    left *= 1 - own
+            return {x: round(p, PLACES) for x, p in out.items()}, left
+
+        fine, rest = mixture(range(2))
+        coarse, _ = mixture(range(2, len(LEVELS)))
+        return {x: fine.get(x, 0.0) + rest * coarse.get(x, 0.0) for x in fine.keys() | coarse.keys()}
 
 
 def _grown(tables: DataFrame, grow: Callable[[Cell], Iterator[tuple]], kappa: float, schema: str) -> DataFrame:

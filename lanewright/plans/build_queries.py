@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions import text
-from lanewright.operators import advice, backoff, builds, clusters, evaluation, experiments, families, naming, points, tooltips
+from lanewright.operators import advice, backoff, builds, cleaning, clusters, evaluation, experiments, families, naming, points, tooltips
 from lanewright.plans import adapters, model_queries
 from lanewright.plans.adapters import SEAT, with_
 from lanewright.plans.cleaning_queries import POINT_ORDER
@@ -46,7 +46,59 @@ def _builds(spark: SparkSession, folder: str, **options) -> DataFrame:
     return builds.generate(level_table, cells, shop, builds.usual_times(bought), _components(shop), staple, **options)
 
 
-@query()
+def _last(k: int, n: int, of: str = "bought") -> str:
+    return f"coalesce({of}[-{n}], -1)"
+
+
+def _state_sql(k: int, source: str, clock: str) -> str:
+    """``now_<k>``: the key columns of the cells' states before step k."""
+    bucket = " + ".join(f"(clock >= {b})::int" for b in cleaning.TIME_BOUNDS)
+    return f"now_{k} AS (SELECT *, {_last(k, 1)} AS prev_one, {_last(k, 2)} AS prev_two, {k} AS n_owned, {bucket} AS time_bucket FROM (SELECT s.*, {clock} AS clock FROM {source}))"
+
+
+def _build_step(k: int, steps: int = builds.STEPS) -> str:
+    """Step k of the builds: options of every cell, scored, and the best of them."""
+    keys = " AND ".join(f"s.{c} = l.{c}" for c in backoff.KEYS)
+    return f"""{_state_sql(k, f"state_{k} s", f"(SELECT t FROM clock_{k})")},
+{model_queries.chances_sql(f"(SELECT DISTINCT {', '.join(backoff.KEYS)} FROM now_{k})", "levels", f"likely_{k}")},
+due_{k} AS (SELECT s.hero_id, s.archetype_id, item_id, share FROM now_{k} s JOIN staple t USING (hero_id, archetype_id) WHERE NOT list_contains(bought, item_id)),
+some_{k} AS (SELECT hero_id, archetype_id, item_id, max(p) AS p, max(share) AS share FROM (SELECT s.hero_id, s.archetype_id, l.item_id, l.p, NULL AS share FROM now_{k} s JOIN likely_{k} l ON {keys} WHERE NOT list_contains(bought, l.item_id)
+    UNION ALL SELECT hero_id, archetype_id, item_id, NULL, share FROM due_{k}) GROUP BY ALL),
+scaled_{k} AS (SELECT hero_id, archetype_id, item_id, share, coalesce(p / nullif(sum(p) OVER w, 0), 0) AS p, count(share) OVER w AS n_due, list(item_id) FILTER (share IS NOT NULL) OVER w AS due FROM some_{k} WINDOW w AS (PARTITION BY hero_id, archetype_id)),
+option_{k} AS (SELECT o.*, parts, held, bought, clock, list_filter(parts, lambda c: NOT list_contains(held, c)) AS missing FROM scaled_{k} o JOIN stock USING (item_id) JOIN now_{k} USING (hero_id, archetype_id)),
+score_{k} AS (SELECT *, CASE WHEN share IS NOT NULL AND ({steps - k} <= n_due + 2 OR 12 - len(held) <= n_due) THEN greatest(plain, share * CASE WHEN len(list_filter(missing, lambda c: coalesce(list_contains(due, c), false))) > 0 THEN 0.25::double ELSE 1 END) ELSE plain END AS score
+  FROM (SELECT *, p * CASE WHEN len(missing) > 0 THEN 0.25::double ELSE 1 END AS plain FROM option_{k}) WHERE len(held) - (len(parts) - len(missing)) + 1 <= 12),
+pick_{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hero_id, archetype_id ORDER BY round(score, 12) DESC, item_id) AS nth FROM score_{k} WHERE score > 0) WHERE nth = 1 AND (p >= 0.02 OR share IS NOT NULL)),
+state_{k + 1} AS (SELECT hero_id, archetype_id, list_append(list_filter(held, lambda c: NOT list_contains(parts, c)), item_id) AS held, list_append(bought, item_id) AS bought FROM pick_{k}),
+took_{k} AS (SELECT hero_id, archetype_id, {k} AS position, item_id, p, clock AS buy_time_s, list_filter(held, lambda c: list_contains(parts, c)) AS absorbed FROM pick_{k})"""
+
+
+WEIGHTED = model_queries.LEVELS.replace("count(*)::double AS w", "sum(weight) AS w")
+BUILD_SQL = (
+    with_("labels") + ",\n" + model_queries.WEIGHTS + ",\n" + model_queries.PREPARED.replace("FROM buys b", "FROM weights b") + ",\n" + WEIGHTED
+    + """,
+cell AS (SELECT DISTINCT hero_id, archetype_id FROM prepared),
+seen AS (SELECT hero_id, archetype_id, item_id, count(*) AS b FROM (SELECT DISTINCT hero_id, archetype_id, match_id, player_slot, item_id FROM prepared) GROUP BY ALL),
+many AS (SELECT hero_id, archetype_id, count(*) AS n FROM (SELECT DISTINCT hero_id, archetype_id, match_id, player_slot FROM prepared) GROUP BY ALL),
+staple AS (SELECT hero_id, archetype_id, item_id, b / n AS share FROM seen JOIN many USING (hero_id, archetype_id) WHERE b / n >= 0.45),
+part AS (SELECT u.id AS item_id, max(l.id) AS part FROM items u JOIN items l ON u.slot_type = l.slot_type AND l.tier + 1 = u.tier AND l.id < u.id WHERE u.tier >= 2 GROUP BY u.id),
+stock AS (SELECT id AS item_id, CASE WHEN part IS NULL THEN [] ELSE [part] END AS parts FROM items LEFT JOIN part ON id = item_id),
+middle AS (SELECT step, median(buy_time_s) AS t FROM buys GROUP BY step),
+clock_0 AS (SELECT greatest(coalesce((SELECT t FROM middle WHERE step = 0), 110), 0) AS t),
+"""
+    + ",\n".join(f"clock_{k} AS (SELECT greatest(coalesce((SELECT t FROM middle WHERE step = {k}), t + 110), t) AS t FROM clock_{k - 1})" for k in range(1, builds.STEPS))
+    + ",\nstate_0 AS (SELECT hero_id, archetype_id, []::bigint[] AS held, []::bigint[] AS bought FROM cell),\n"
+    + ",\n".join(map(_build_step, range(builds.STEPS)))
+    + ",\nbuild AS (" + "\nUNION ALL ".join(f"SELECT * FROM took_{k}" for k in range(builds.STEPS)) + ")"
+)
+
+
+@query(
+    BUILD_SQL
+    + """,
+eaten AS (SELECT hero_id, archetype_id, unnest(absorbed) AS item_id, buy_time_s AS sell_time_s FROM build)
+SELECT hero_id, archetype_id, position, item_id, round(p, 6) AS p, buy_time_s, sell_time_s FROM build LEFT JOIN eaten USING (hero_id, archetype_id, item_id)"""
+)
 def generated_builds(spark: SparkSession, folder: str) -> DataFrame:
     """The build of every hero and archetype, with what each purchase absorbed."""
     return builds.sell_times(_builds(spark, folder), ["hero_id", "archetype_id", "sample"]).select("hero_id", "archetype_id", "position", "item_id", F.round("p", 6).alias("p"), "buy_time_s", "sell_time_s")
@@ -67,7 +119,31 @@ def sampled_staples(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.join(staple, ["hero_id", "archetype_id", "item_id"], "left_semi").groupBy("hero_id", "archetype_id", "item_id").agg((F.count(F.lit(1)) / 5).alias("share"))
 
 
-@query()
+def _order_step(k: int) -> str:
+    """Step k of the ability orders: the likeliest slot that can still take a point."""
+    keys = " AND ".join(f"s.{c} = l.{c}" for c in backoff.KEYS)
+    source = f"state_{k} s LEFT JOIN middle t ON t.hero_id = s.hero_id AND t.step = {k}"
+    return f"""{_state_sql(k, source, "greatest(s.since, coalesce(t.median, s.since))")},
+{model_queries.chances_sql(f"(SELECT DISTINCT {', '.join(backoff.KEYS)} FROM now_{k})", "levels", f"likely_{k}")},
+pick_{k} AS (SELECT * FROM (SELECT s.*, l.item_id, l.p, len(list_filter(bought, lambda x: x = l.item_id)) AS had, row_number() OVER (PARTITION BY s.hero_id, s.archetype_id ORDER BY round(l.p, 12) DESC, l.item_id) AS nth
+  FROM now_{k} s JOIN likely_{k} l ON {keys} WHERE len(list_filter(bought, lambda x: x = l.item_id)) < 4) WHERE nth = 1),
+state_{k + 1} AS (SELECT hero_id, archetype_id, list_append(bought, item_id) AS bought, clock AS since FROM pick_{k})"""
+
+
+ORDER_SQL = (
+    with_("points")
+    + """,
+spent AS (SELECT match_id, player_slot, hero_id, signature_slot::bigint AS item_id, game_time_s AS buy_time_s, ((match_id + player_slot) % 3)::int AS archetype_id, row_number() OVER w - 1 AS step FROM points WHERE signature_slot > 0 WINDOW w AS (PARTITION BY match_id, player_slot ORDER BY game_time_s, step)),
+prepared AS (SELECT *, lag(item_id, 1, -1) OVER w AS prev_one, lag(item_id, 2, -1) OVER w AS prev_two, step::int AS n_owned,
+  (buy_time_s >= 300)::int + (buy_time_s >= 600)::int + (buy_time_s >= 900)::int + (buy_time_s >= 1200)::int + (buy_time_s >= 1800)::int AS time_bucket FROM spent WINDOW w AS (PARTITION BY match_id, player_slot ORDER BY step)),
+middle AS (SELECT hero_id, step, min(v) AS median FROM (SELECT *, sum(w) OVER (PARTITION BY hero_id, step ORDER BY v) AS upto, sum(w) OVER (PARTITION BY hero_id, step) AS total FROM (SELECT hero_id, step, buy_time_s AS v, count(*) AS w FROM spent GROUP BY ALL)) WHERE upto >= total / 2 GROUP BY hero_id, step),
+"""
+    + model_queries.LEVELS + ",\nstate_0 AS (SELECT DISTINCT hero_id, archetype_id, []::bigint[] AS bought, 0.0::double AS since FROM spent),\n" + ",\n".join(map(_order_step, range(16))) + "\n"
+    + "\nUNION ALL ".join(f"SELECT hero_id::int AS hero_id, archetype_id, {k} AS position, item_id AS slot, had::int + 1 AS level, round(p, 6) AS p, clock AS game_time_s FROM pick_{k}" for k in range(16))
+)
+
+
+@query(ORDER_SQL)
 def ability_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The greedy order of ability points of every hero and archetype."""
     spent = stored(points.as_sequence(adapters.points(spark, folder), SEAT), "spent")
@@ -75,7 +151,7 @@ def ability_orders(spark: SparkSession, folder: str) -> DataFrame:
     level_table = backoff.levels(backoff.prepared(spent, labels, SEAT))
     times = points.weighted_median(spent.withColumn("w", F.lit(1)), ["hero_id", "step"], "buy_time_s", "w")
     cells = spent.select("hero_id", *SEAT).distinct().join(labels, SEAT).select("hero_id", "archetype_id").distinct()
-    return builds.point_orders(level_table, cells, stored(times, "times"))
+    return builds.point_orders(level_table, cells, stored(times, "times")).withColumn("p", F.round("p", 6))
 
 
 @query(
