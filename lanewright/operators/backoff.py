@@ -9,10 +9,13 @@ times what the levels above left over.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.operators.cleaning import time_bucket
+from lanewright.runtime import stored
 
 #: Smoothing, target rank and half width, sentinel for "no item".
 KAPPA, TARGET, HALF_WIDTH, NO_ITEM = 20.0, 80.0, 25.0, -1
@@ -171,50 +174,61 @@ def before_each(bought: DataFrame, labels: DataFrame, keys: list[str]) -> DataFr
 PLACES = 12
 
 
-def state_tables(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA) -> DataFrame:
-    """(KEYS, fine, rest, coarse, whole) of every distinct state: what the two fine levels add (item, p), the part
-    they leave to the others, the mixture of those (p below zero for sorting, item), best first, and the sum of all chances.
+#: The key columns that the four coarse levels look at.
+COARSE_KEYS = ("hero_id", "archetype_id", "n_owned", "time_bucket")
+
+
+class StateTables(NamedTuple):
+    """``fine``: of every distinct state (KEYS) what the two fine levels add (``fine``: item -> p), the part they
+    leave (``rest``) and their sum (``own``).  ``coarse``: of every distinct coarse context (COARSE_KEYS) the mixture of the
+    other levels (``coarse``: array of minus p, item, best first; ``by_item``: item -> p) and its sum (``others``).
+
+    The chance of an item is its fine p plus ``rest`` times its coarse p.  Arrays and maps are bounded by the shop."""
+
+    fine: DataFrame
+    coarse: DataFrame
+
 
-    The chance of an item is its fine p plus ``rest`` times its coarse p.  Coarse mixtures are made once per distinct
-    coarse context; all arrays are bounded by the shop."""
+def state_tables(states: DataFrame, level_table: DataFrame, kappa: float = KAPPA) -> StateTables:
+    """The tables from which the chances of ``states`` (KEYS) are read; coarse mixtures are made once per coarse context."""
     fine, coarse = (0, 1), tuple(range(2, len(LEVELS)))
-    few = ["hero_id", "archetype_id", "n_owned", "time_bucket"]
     name = lambda keys: F.concat_ws("|", *(F.col(c).cast("string") for c in keys))
+    totals = stored(context_totals(level_table), "totals")
+    few = states.select(*COARSE_KEYS).distinct().withColumn("state_id", name(COARSE_KEYS))
+    base = contributions(few, level_table, kappa, totals, which=coarse).groupBy("state_id", "item_id").agg(F.round(F.sum("part"), PLACES).alias("p"))
+    base = base.groupBy("state_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("down"), F.col("item_id")))).alias("coarse"), F.map_from_entries(F.collect_list(F.struct("item_id", "p"))).alias("by_item"), F.sum("p").alias("others"))
     once = states.select(*KEYS).distinct().withColumn("state_id", name(KEYS))
-    base = contributions(once.select(*few).distinct().withColumn("state_id", name(few)), level_table, kappa, which=coarse)
-    base = base.groupBy("state_id", "item_id").agg(F.round(F.sum("part"), PLACES).alias("p"))
-    base = base.groupBy(F.col("state_id").alias("_few")).agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("down"), F.col("item_id")))).alias("coarse"), F.sum("p").alias("_sum"))
-    _, wide = _mixing(once, level_table, kappa, None, False, fine)
-    own = contributions(once, level_table, kappa, which=fine).groupBy("state_id", "item_id").agg(F.round(F.sum("part"), PLACES).alias("p"))
-    own = own.groupBy("state_id").agg(F.collect_list(F.struct("item_id", "p")).alias("fine"), F.sum("p").alias("_own"))
+    _, wide = _mixing(once, level_table, kappa, totals, False, fine)
+    own = contributions(once, level_table, kappa, totals, which=fine).groupBy("state_id", "item_id").agg(F.round(F.sum("part"), PLACES).alias("p"))
+    own = own.groupBy("state_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "p"))).alias("fine"), F.sum("p").alias("own"))
     rest = (1 - F.coalesce("l0", F.lit(0.0))) * (1 - F.coalesce("l1", F.lit(0.0)))
-    rows = once.join(wide.drop("archetype_id"), "state_id", "left").join(own, "state_id", "left").withColumn("_few", name(few)).join(base, "_few", "left").withColumn("rest", rest)
-    return rows.select(
-        *KEYS, F.coalesce("fine", F.array().cast("array<struct<item_id:bigint,p:double>>")).alias("fine"), "rest", F.coalesce("coarse", F.array().cast("array<struct<down:double,item_id:bigint>>")).alias("coarse"),
-        (F.coalesce("_own", F.lit(0.0)) + F.col("rest") * F.coalesce("_sum", F.lit(0.0))).alias("whole"),
-    )
+    rows = once.join(wide.drop("archetype_id"), "state_id", "left").join(own, "state_id", "left")
+    return StateTables(rows.select(*KEYS, "fine", rest.alias("rest"), "own"), few.join(base, "state_id").drop("state_id"))
 
 
 def _chance(item: Column) -> Column:
     """The chance of an item, of the arrays of ``state_tables``."""
-    fine = F.try_element_at(F.filter("fine", lambda f: f["item_id"] == item), F.lit(1))["p"]
-    coarse = F.try_element_at(F.filter("coarse", lambda c: c["item_id"] == item), F.lit(1))["down"]
-    return F.coalesce(fine, F.lit(0.0)) + F.col("rest") * F.coalesce(-coarse, F.lit(0.0))
+    return F.coalesce(F.try_element_at("fine", item), F.lit(0.0)) + F.col("rest") * F.coalesce(F.try_element_at("by_item", item), F.lit(0.0))
 
 
-def ranked(asked: DataFrame, tables: DataFrame, n: int = 3) -> DataFrame:
+def ranked(asked: DataFrame, tables: StateTables, n: int = 3) -> DataFrame:
     """``asked`` (KEYS, owned) with ``best``: array of (down, item_id), the likeliest items not owned (at least the first
     ``n``; ties to the smaller id, ``down`` is minus the chance), and ``left``: the sum of the chances of all items not owned.
 
     Of the coarse mixture the first n + owned + fine items suffice: no other item can come among the first n."""
-    rows = asked.join(tables, list(KEYS), "left")
-    known = F.transform("fine", lambda f: f["item_id"])
+    # the long arrays of the coarse contexts come last, so that they are never shuffled with the rows
+    rows = asked.join(tables.fine, list(KEYS), "left").join(tables.coarse, list(COARSE_KEYS), "left")
+    rows = rows.withColumns({
+        "fine": F.coalesce("fine", F.create_map().cast("map<bigint,double>")), "rest": F.coalesce("rest", F.lit(1.0)),
+        "coarse": F.coalesce("coarse", F.array().cast("array<struct<down:double,item_id:bigint>>")), "whole": F.coalesce("own", F.lit(0.0)) + F.coalesce("rest", F.lit(1.0)) * F.coalesce("others", F.lit(0.0)),
+    })
+    known = F.map_keys("fine")
     top = F.slice("coarse", 1, F.lit(n) + F.size("owned") + F.size("fine"))
     others = F.transform(F.filter(top, lambda c: ~F.array_contains(known, c["item_id"])), lambda c: F.struct((F.col("rest") * c["down"]).alias("down"), c["item_id"].alias("item_id")))
     own = F.transform(known, lambda i: F.struct((-_chance(i)).alias("down"), i.alias("item_id")))
     best = F.filter(F.array_sort(F.concat(own, others)), lambda x: ~F.array_contains("owned", x["item_id"]))
     gone = F.aggregate("owned", F.lit(0.0), lambda s, i: s + _chance(i))
-    return rows.withColumn("best", best).withColumn("left", F.col("whole") - gone).drop("fine", "rest", "coarse", "whole")
+    return rows.withColumn("best", best).withColumn("left", F.col("whole") - gone).drop("fine", "rest", "coarse", "by_item", "whole", "own", "others")
 
 
 def hit_place(items: Column, owned: Column, bought: Column) -> Column:
