@@ -237,7 +237,8 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lexicon = Lexicon()
     for batch in batches:
         rows = [(i, *core_of(text)) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        rows = [r for r in rows if r[1]]
+        # most texts end with a full stop and without a mark: they need no tokens
+        rows = [r for r in rows if r[1] and (r[2] or not (r[1][-1] in STOPS or CLOSED.search(r[1])))]
         if not rows:
             continue
         tokens = Tokens([core for _, core, _ in rows], lexicon)
