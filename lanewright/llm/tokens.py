@@ -19,9 +19,11 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,13 +83,13 @@ def merge_symbols(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary file, given as a path or as its bytes."""
 
-    def __init__(self, path: str, pattern: str = SPLIT) -> None:
+    def __init__(self, vocabulary: str | bytes, pattern: str = SPLIT) -> None:
         import regex
 
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        lines = (vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()).splitlines()
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.split = regex.compile(pattern).finditer
         self.known: dict[str, list[int]] = {}
 
@@ -116,23 +118,29 @@ class ByteBpe:
         return b"".join(self.strings[i] for i in ids).decode("utf-8", "replace")
 
 
-_LOADED: dict[tuple[str, str], ByteBpe] = {}
+_LOADED: dict[tuple[int, str], ByteBpe] = {}
 
 
-def _coder(path: str, pattern: str) -> ByteBpe:
+def _coder(vocabulary: Broadcast, pattern: str) -> ByteBpe:
     """One coder per worker process and vocabulary."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBpe(path, pattern)
-    return _LOADED[path, pattern]
+    key = (hash(vocabulary.value), pattern)
+    if key not in _LOADED:
+        _LOADED[key] = ByteBpe(vocabulary.value, pattern)
+    return _LOADED[key]
+
+
+def _shared(path: str | None) -> Broadcast:
+    """The vocabulary file, read on the driver and sent to the workers; it is a fixed file of a megabyte or so."""
+    return SparkSession.active().sparkContext.broadcast(Path(path or default_vocabulary()).read_bytes())
 
 
 def encode_column(text: str | Column, path: str | None = None, pattern: str = SPLIT) -> Column:
-    """Column of ids of ``text``; ``path`` must be readable on every executor."""
-    place = path or default_vocabulary()
+    """Column of ids of ``text``; only the driver need be able to read ``path``."""
+    vocabulary = _shared(path)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(place, pattern)
+        coder = _coder(vocabulary, pattern)
         for batch in batches:
             yield batch.map(coder.encode)
 
@@ -141,11 +149,11 @@ def encode_column(text: str | Column, path: str | None = None, pattern: str = SP
 
 def decode_column(ids: str | Column, path: str | None = None, pattern: str = SPLIT) -> Column:
     """Column of the texts that ``ids`` stand for; null ids give null."""
-    place = path or default_vocabulary()
+    vocabulary = _shared(path)
 
     @F.pandas_udf(T.StringType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(place, pattern)
+        coder = _coder(vocabulary, pattern)
         for batch in batches:
             yield batch.map(coder.decode)
 
