@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewright.operators.splitting import replication
+
 #: Least players facing the enemy, least lift.
 MIN_FACING, MIN_LIFT = 500, 0.03
 
@@ -50,3 +52,16 @@ def annotated(recommended: DataFrame, lifts: DataFrame, enemies: list[int]) -> D
     """Recommendations with their best counter, order and number unchanged."""
     best = counters_for(lifts, enemies).select("item_id", "enemy_hero_id", "lift")
     return recommended.join(best, "item_id", "left")
+
+
+def replicates(first: DataFrame, second: DataFrame, min_facing: int = MIN_FACING) -> DataFrame:
+    """(n, r): correlation of the lifts of two disjoint sets of purchases, over what both measure; null below three."""
+    a, b = (counter_lifts(half, min_facing, -1.0) for half in (first, second))
+    return replication(a, b, ["item_id", "enemy_hero_id"], "lift")
+
+
+def described(counters: DataFrame, heroes: DataFrame) -> DataFrame:
+    """``counters`` with ``text``: by how many points an item is bought more often against a hero (hero_id, name)."""
+    names = heroes.select(F.col("hero_id").alias("enemy_hero_id"), F.col("name").alias("_enemy"))
+    line = F.format_string("%+.1f points against %s (n=%d)", F.col("lift") * 100, F.coalesce("_enemy", F.col("enemy_hero_id").cast("string")), "n_facing")
+    return counters.join(F.broadcast(names), "enemy_hero_id", "left").withColumn("text", line).drop("_enemy")

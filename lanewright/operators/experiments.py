@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions.stats import correlation
+from lanewright.operators import backoff, evaluation
+from lanewright.runtime import stored
 
 
 def adjusted_rand(labels: DataFrame, first: str, second: str, group: list[str] | None = None) -> DataFrame:
@@ -91,3 +93,26 @@ def aim_and_purchase(labels: DataFrame, rows: DataFrame, bought: DataFrame, keys
     share = grid.select("hero_id", "item_id", "signature_slot", (F.coalesce("n", F.lit(0)) / F.col("_t")).alias("s"))
     aim = share.groupBy("hero_id", "item_id", "signature_slot").agg((F.max("s") - F.min("s")).alias("g")).groupBy("hero_id", "item_id").agg(F.max("g").alias("aim_gap"))
     return aim.join(rate, ["hero_id", "item_id"])
+
+
+def feature_matrix(shares: DataFrame, block: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The players' family shares beside another block of features; a player whom the block lacks has zeros there."""
+    if block is None:
+        return shares
+    extra = [c for c in block.columns if c not in keys]
+    return shares.join(block.select(*keys, *extra), keys, "left").fillna(0.0, extra)
+
+
+def scored_fits(bought: DataFrame, labels: dict[str, DataFrame], train: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(fit, n, top_1, top_3): how well the next-item model does with each labelling of the players, on the same held-out
+    decisions; ``train``: (key, is_train), keys that it lacks train."""
+    out = None
+    for name, own in labels.items():
+        rows = stored(backoff.before_each(bought, own, keys).join(train, key, "left").withColumn("is_train", F.coalesce("is_train", F.lit(True))), "decisions")
+        test = rows.where("not is_train")
+        levels = stored(backoff.levels(rows.where("is_train")), "levels")
+        told = backoff.ranked(test.select(*backoff.KEYS, "owned", "item_id"), backoff.state_tables(test, levels))
+        place = F.array_position(F.transform("best", lambda b: b["item_id"]), F.col("item_id")).cast("int")
+        score = evaluation.accuracy(told.select(F.nullif(place, F.lit(0)).alias("hit"))).select(F.lit(name).alias("fit"), "n", "top_1", "top_3")
+        out = score if out is None else out.unionByName(score)
+    return out

@@ -15,6 +15,16 @@ def text_evidence(texts: DataFrame, key: str, text: str, patterns: dict[str, tup
     return texts.select(key, F.explode(hits).alias("h")).select(key, "h.family", "h.score")
 
 
+def raw_stats(items: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(item_id, stat, value) of raw items (id, properties map<string,struct<value>>, upgrades array<struct<property_upgrades:
+    array<struct<name,bonus>>>>): every property and every bonus of an upgrade, but for the ``ignored`` names."""
+    of = F.transform(F.map_entries("properties"), lambda e: F.struct(e["key"].alias("stat"), e["value"]["value"].alias("value")))
+    more = F.flatten(F.transform("upgrades", lambda u: F.transform(u["property_upgrades"], lambda b: F.struct(b["name"].alias("stat"), b["bonus"].alias("value")))))
+    none = F.array().cast("array<struct<stat:string,value:string>>")
+    rows = items.select(F.col("id").alias("item_id"), F.explode(F.concat(F.coalesce(of, none), F.coalesce(more, none))).alias("s")).select("item_id", "s.*")
+    return rows.where(F.col("stat").isNotNull() & (~F.col("stat").isin(*ignored) if ignored else F.lit(True)))
+
+
 def stat_evidence(stats: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, family, score) from non-zero stats (key, stat, value) and a small table (stat, family, score)."""
     number = F.expr("try_cast(value as double)")

@@ -361,12 +361,20 @@ def candidate_items(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.candidates(states, owned, adapters.items(spark, folder), "souls").groupBy("state_id").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").cast("long").alias("cost"))
 
 
-ROSTERS = """roster AS (SELECT DISTINCT match_id, player_slot, team, hero_id FROM buys WHERE team IS NOT NULL),
-facing AS (SELECT DISTINCT a.match_id, a.player_slot, b.hero_id AS enemy_hero_id FROM roster a JOIN roster b ON a.match_id = b.match_id AND a.team <> b.team)"""
-LIFTS = ROSTERS + """,
-have AS (SELECT DISTINCT match_id, player_slot, item_id FROM buys), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT match_id, player_slot FROM buys)),
-base AS (SELECT item_id, count(*) / max(n.n) AS baseline_rate FROM have, n GROUP BY item_id), nf AS (SELECT enemy_hero_id, count(*) AS n_facing FROM facing GROUP BY enemy_hero_id HAVING count(*) >= 100),
-lifts AS (SELECT f.item_id, f.enemy_hero_id, c / n_facing AS facing_rate, baseline_rate, c / n_facing - baseline_rate AS lift, n_facing FROM (SELECT item_id, enemy_hero_id, count(*) AS c FROM facing JOIN have USING (match_id, player_slot) GROUP BY ALL) f JOIN nf ON f.enemy_hero_id = nf.enemy_hero_id JOIN base ON base.item_id = f.item_id WHERE c / n_facing - baseline_rate >= -1)"""
+def rosters_sql(source: str = "buys", tag: str = "") -> str:
+    return f"""roster{tag} AS (SELECT DISTINCT match_id, player_slot, team, hero_id FROM {source} WHERE team IS NOT NULL),
+facing{tag} AS (SELECT DISTINCT a.match_id, a.player_slot, b.hero_id AS enemy_hero_id FROM roster{tag} a JOIN roster{tag} b ON a.match_id = b.match_id AND a.team <> b.team)"""
+
+
+def lifts_sql(source: str = "buys", tag: str = "", least: int = 100) -> str:
+    return f"""{rosters_sql(source, tag)},
+have{tag} AS (SELECT DISTINCT match_id, player_slot, item_id FROM {source}), n{tag} AS (SELECT count(*) AS n FROM (SELECT DISTINCT match_id, player_slot FROM {source})),
+base{tag} AS (SELECT item_id, count(*) / max(n.n) AS baseline_rate FROM have{tag}, n{tag} n GROUP BY item_id), nf{tag} AS (SELECT enemy_hero_id, count(*) AS n_facing FROM facing{tag} GROUP BY enemy_hero_id HAVING count(*) >= {least}),
+lifts{tag} AS (SELECT f.item_id, f.enemy_hero_id, c / n_facing AS facing_rate, baseline_rate, c / n_facing - baseline_rate AS lift, n_facing FROM (SELECT item_id, enemy_hero_id, count(*) AS c FROM facing{tag} JOIN have{tag} USING (match_id, player_slot) GROUP BY ALL) f
+  JOIN nf{tag} nf ON f.enemy_hero_id = nf.enemy_hero_id JOIN base{tag} b ON b.item_id = f.item_id WHERE c / n_facing - baseline_rate >= -1)"""
+
+
+ROSTERS, LIFTS = rosters_sql(), lifts_sql()
 
 
 @query(with_("buys") + ",\n" + ROSTERS + "\nSELECT * FROM facing")
@@ -385,6 +393,17 @@ def best_counters(spark: SparkSession, folder: str) -> DataFrame:
     return counters.best_counters(counters.counter_lifts(adapters.buys(spark, folder), 100, -1)).select("item_id", "enemy_hero_id", F.round("lift", 9).alias("lift"))
 
 
+def _half_lifts(half: int) -> str:
+    return f"half_{half} AS (SELECT * FROM buys WHERE match_id % 2 = {half}),\n" + lifts_sql(f"half_{half}", f"_{half}", 30)
+
+
+@query(with_("buys") + ",\n" + _half_lifts(0) + ",\n" + _half_lifts(1) + "\nSELECT count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(a.lift, b.lift) END, 6) AS r FROM lifts_0 a JOIN lifts_1 b ON a.item_id = b.item_id AND a.enemy_hero_id = b.enemy_hero_id")
+def counter_replication(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether counter lifts of even matches say the same as those of odd ones."""
+    bought = stored(adapters.buys(spark, folder), "buys")
+    return counters.replicates(bought.where("match_id % 2 = 0"), bought.where("match_id % 2 = 1"), 30).withColumn("r", F.round("r", 6))
+
+
 DIRECTION = """aims AS (SELECT hero_id, item_id, signature_slot, count(*) AS n FROM imbues GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY hero_id, item_id) AS p FROM aims),
 who AS (SELECT hero_id, item_id, count(*) AS buyers FROM (SELECT DISTINCT hero_id, item_id, match_id, player_slot FROM imbues) GROUP BY ALL), np AS (SELECT hero_id, count(*) AS np FROM players GROUP BY hero_id),
 direction AS (SELECT p.hero_id, p.item_id, sum(n)::bigint AS purchases, max(buyers) AS buyers, max(buyers) / max(np) AS buy_rate, arg_max(signature_slot, (n, -signature_slot)) AS top_slot, max(p) AS top_share, -sum(p * log2(p)) AS entropy

@@ -61,6 +61,13 @@ def cut(df: DataFrame) -> DataFrame:
 _kept: dict[str, list[str]] = {}
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which ``forget`` deletes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again.
 
@@ -69,9 +76,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     The caller of a query deletes what it stored with ``forget`` once its result is read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = kept_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,9 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from lanewright.runtime import kept_path
 
-def read_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, files: int = 1) -> DataFrame:
     """New Parquet files of a folder, ``files`` at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
@@ -52,3 +55,22 @@ def contexts(stream: DataFrame, at: str = "pulled_at", late: str = "1 hour", kee
 
     known = stream.withWatermark(at, late).where("match_id is not null and player_slot is not null and item_id is not null").select("match_id", "player_slot", "item_id", "buy_time_s", "buy_index", at)
     return known.groupBy("match_id", "player_slot").applyInPandasWithState(follow, "match_id long, player_slot int, item_id long, prev_one long, prev_two long", "prev_one long, prev_two long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream gives once all that is there now has been read: the last state (``complete``) or all rows (``append``).
+
+    Every batch is written to the shared folder together with the stream's checkpoint, so a lost driver or executor
+    costs a batch done again."""
+    spark = stream.sparkSession
+    path = kept_path(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch done again replaces its own folder
+        batch.write.mode("overwrite").parquet(f"{path}/rows/" + ("last" if mode == "complete" else f"n={number}"))
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/last" if mode == "complete" else f"{path}/rows/*")

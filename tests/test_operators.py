@@ -212,6 +212,39 @@ def test_counters_find_the_planted_item(spark):
     assert [r["item_id"] for r in counters.counters_for(lifts, [99]).collect()] == [1]
 
 
+def test_counter_lifts_replicate(spark):
+    import random
+
+    rng = random.Random(3)
+    data = []
+    for m in range(800):
+        enemy = 96 + m % 4
+        for slot in range(3):
+            data.append((m, slot, 7, 1 + (rng.random() < 0.2 * (enemy - 95)), 0, 1.0, True, 1, 1, "Team0"))
+        data.append((m, 9, enemy, 3, 0, 1.0, False, 1, 1, "Team1"))
+    df = spark.createDataFrame(data, BUYS)
+    told = counters.replicates(df.where("match_id % 8 < 4"), df.where("match_id % 8 >= 4"), 50).first()
+    assert told["n"] >= 8 and told["r"] > 0.9
+    none = counters.replicates(df.limit(0), df, 50).first()
+    assert none["n"] == 0 and none["r"] is None
+    row = spark.createDataFrame([(5, 99, 0.123, 40)], "item_id long, enemy_hero_id int, lift double, n_facing long")
+    assert counters.described(row, spark.createDataFrame([(99, "Ash")], "hero_id int, name string")).first()["text"] == "+12.3 points against Ash (n=40)"
+
+
+def test_raw_stats_and_names(spark, tmp_path):
+    from lanewright.sources import assets
+
+    schema = "id long, properties map<string,struct<value:string>>, upgrades array<struct<property_upgrades:array<struct<name:string,bonus:string>>>>"
+    raw = spark.createDataFrame([(1, {"Power": ("0",), "Heal": ("5",), "Range": ("9",)}, [([("Power", "2"), ("Speed", "0")],)]), (2, None, None)], schema)
+    stats = families.raw_stats(raw, ("Range",))
+    assert rows(stats) == [(1, "Heal", "5"), (1, "Power", "0"), (1, "Power", "2"), (1, "Speed", "0")]
+    weights = spark.createDataFrame([("Power", "gun", 2), ("Heal", "tank", 1), ("Speed", "run", 1)], "stat string, family string, score int")
+    assert rows(families.stat_evidence(stats, weights, "item_id")) == [(1, "gun", 2), (1, "tank", 1)]
+    path = tmp_path / "names.json"
+    path.write_text('{"_note": "x", "7:0": "Mine",\n "7:1": null}')
+    assert rows(assets.read_names(spark, str(path))) == [(7, 0, "Mine")]
+
+
 def test_imbues(spark):
     data = [(m, 1, 7, 900, 100 + s, s, "active", 1.0) for m, s in enumerate((1, 1, 2, 2))]
     df = spark.createDataFrame(data, "match_id long, player_slot int, hero_id int, item_id long, imbued_ability_id long, signature_slot int, imbue_group string, game_time_s double")
@@ -328,6 +361,20 @@ def test_experiments(spark):
     assert tuple(experiments.concentration(spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "item_id long")).first()) == (5, 0.4, 0.8)
 
 
+def test_fits_are_scored_on_the_same_decisions(spark):
+    # what comes second depends on the group alone
+    data = [(m, 1, 7, x, i, 60.0 * i, True, 60, m, "Team0") for m in range(200) for i, x in enumerate((1, 2 + m % 2))]
+    df = spark.createDataFrame(data, BUYS)
+    seats = df.select(*SEAT).distinct()
+    labels = {"one": seats.withColumn("archetype_id", F.lit(0)), "two": seats.withColumn("archetype_id", (F.col("match_id") % 2).cast("int"))}
+    train = spark.createDataFrame([(m, m < 150) for m in range(200)], "match_id long, is_train boolean")
+    got = {r["fit"]: (r["n"], r["top_1"], r["top_3"]) for r in experiments.scored_fits(df, labels, train, "match_id", SEAT).collect()}
+    assert got == {"one": (100, 0.75, 1.0), "two": (100, 1.0, 1.0)}
+    shares = spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.4)], "match_id long, player_slot int, gun double")
+    block = spark.createDataFrame([(1, 1, 0.9)], "match_id long, player_slot int, extra double")
+    assert rows(experiments.feature_matrix(shares, block, SEAT)) == [(1, 1, 0.5, 0.9), (2, 1, 0.4, 0.0)] and experiments.feature_matrix(shares, None, SEAT) is shares
+
+
 def test_texts(spark):
     assert text.sanitised('<b onclick="x">a</b><script>bad()</script><i>c &amp; d</i><x>e</x>') == "<b>a</b><i>c &amp; d</i>e"
     assert text.sanitised(None) is None and text.clock("8:30") == 510 and text.clock("510") == 510
