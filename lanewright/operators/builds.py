@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright.operators.backoff import KAPPA, LEVELS, NO_ITEM, PLACES
@@ -219,3 +219,40 @@ def build_json(build: DataFrame, shop: DataFrame, keys: list[str]) -> DataFrame:
     tier = kept.groupBy(*keys, "cost").agg(F.array_sort(F.collect_list(F.struct("position", "item_id", "name", F.round("p", 6).alias("p"), "buy_time_s"))).alias("mods"))
     whole = tier.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cost", "mods"))).alias("categories"), F.sum(F.col("cost") * F.size("mods")).alias("total_cost"))
     return whole.select(*keys, F.to_json(F.struct(*keys, "total_cost", "categories")).alias("json"))
+
+
+#: Kind of currency and amount that a point of each level takes, and the size of a section.
+POINT_COST = ((2, 1), (1, 1), (1, 2), (1, 5))
+WIDTH, HEIGHT = 1030.0, 0.0
+
+
+def _about(verb: str, seconds: Column, p: Column) -> Column:
+    return F.format_string(verb + "~%dmin (p=%.2f)", F.floor(seconds / 60), p)
+
+
+def point_changes(orders: DataFrame, slots: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ability_order): each cell's points in order, as changes of currency of the ability in the slot
+    (hero_id, signature_slot, ability_id)."""
+    known = orders.join(F.broadcast(slots.select("hero_id", F.col("signature_slot").cast("long").alias("slot"), "ability_id")), ["hero_id", "slot"])
+    kind, amount = (F.element_at(F.array(*(F.lit(c[i]) for c in POINT_COST)), F.col("level")) for i in (0, 1))
+    change = F.struct("position", F.struct("ability_id", kind.alias("currency_type"), amount.alias("delta"), _about("", F.col("game_time_s"), F.col("p")).alias("annotation")).alias("c"))
+    return known.groupBy(*keys).agg(F.struct(F.transform(F.array_sort(F.collect_list(change)), lambda x: x["c"]).alias("currency_changes")).alias("ability_order"))
+
+
+def import_json(build: DataFrame, shop: DataFrame, keys: list[str], targets: DataFrame | None = None, orders: DataFrame | None = None, title: str = "build") -> DataFrame:
+    """(keys, json): each build as the document that the game's build browser reads: kept items in sections by cost,
+    with the ability each is imbued on (keys, item_id, ability_id) and the ability order (keys, ability_order) where given."""
+    kept = sell_times(build, keys).where("sell_time_s is null").join(F.broadcast(shop.select(F.col("id").alias("item_id"), F.coalesce("cost", F.lit(0)).alias("cost"))), "item_id")
+    kept = kept.join(targets.select(*keys, "item_id", F.col("ability_id").alias("_target")), [*keys, "item_id"], "left") if targets is not None else kept.withColumn("_target", F.lit(None).cast("long"))
+    null = lambda kind: F.lit(None).cast(kind)
+    mod = F.struct(
+        F.col("item_id").alias("ability_id"), _about("buy ", F.col("buy_time_s"), F.col("p")).alias("annotation"), null("int").alias("required_flex_slots"),
+        null("int").alias("sell_priority"), F.col("_target").alias("imbue_target_ability_id"),
+    )
+    tier = kept.groupBy(*keys, "cost").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", mod.alias("m")))), lambda x: x["m"]).alias("mods"))
+    section = F.struct("cost", F.struct(F.concat(F.col("cost").cast("string"), F.lit(" souls")).alias("name"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), null("string").alias("description"), "mods", null("boolean").alias("optional")).alias("s"))
+    rows = tier.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(section)), lambda x: x["s"]).alias("mod_categories"))
+    rows = rows.join(orders, keys, "left") if orders is not None else rows
+    details = F.struct("mod_categories", *(["ability_order"] if orders is not None else []))
+    whole = F.struct(F.col("hero_id"), F.concat_ws(" ", F.lit(title), *(F.col(k).cast("string") for k in keys)).alias("name"), F.lit("").alias("description"), F.lit(0).alias("language"), F.lit(1).alias("version"), F.array().cast("array<string>").alias("tags"), details.alias("details"))
+    return rows.select(*keys, F.to_json(F.struct(whole.alias("hero_build")), {"ignoreNullFields": "false"}).alias("json"))

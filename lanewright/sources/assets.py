@@ -55,6 +55,6 @@ def ranks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(hero_id, archetype_id, fixed): accepted names of a JSON file of ``"hero:archetype": name``; keys that begin with ``_`` are notes."""
-    told = spark.read.schema("value string").option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "fixed"))
+    told = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "fixed"))
     part = F.split("key", ":")
     return told.where(~F.col("key").startswith("_") & F.col("fixed").isNotNull()).select(part[0].cast("int").alias("hero_id"), part[1].cast("int").alias("archetype_id"), "fixed")

@@ -331,6 +331,23 @@ def test_builds_keep_to_the_order_and_absorb(spark):
     assert '"total_cost":1600' in builds.build_json(got, shop, ["hero_id", "archetype_id", "sample"]).first()["json"]
 
 
+def test_import_documents(spark):
+    import json
+
+    keys = ["hero_id", "archetype_id"]
+    build = spark.createDataFrame([(7, 0, 0, 101, 0.5, 70.0, []), (7, 0, 1, 102, 0.25, 180.0, []), (7, 0, 2, 103, 0.125, 290.0, [101])], "hero_id int, archetype_id int, position int, item_id long, p double, buy_time_s double, absorbed array<bigint>")
+    shop = spark.createDataFrame([(101, 800), (102, 800), (103, 1600)], "id long, cost int")
+    targets = spark.createDataFrame([(7, 0, 103, 9)], "hero_id int, archetype_id int, item_id long, ability_id long")
+    orders = spark.createDataFrame([(7, 0, i, 1, i + 1, 0.5, 60.0 * i) for i in range(4)], "hero_id int, archetype_id int, position int, slot long, level int, p double, game_time_s double")
+    changes = builds.point_changes(orders, spark.createDataFrame([(7, 1, 9)], "hero_id int, signature_slot int, ability_id long"), keys)
+    told = json.loads(builds.import_json(build, shop, keys, targets, changes).first()["json"])["hero_build"]
+    assert [(c["name"], [m["ability_id"] for m in c["mods"]]) for c in told["details"]["mod_categories"]] == [("800 souls", [102]), ("1600 souls", [103])]
+    assert told["details"]["mod_categories"][1]["mods"][0] == {"ability_id": 103, "annotation": "buy ~4min (p=0.13)", "required_flex_slots": None, "sell_priority": None, "imbue_target_ability_id": 9}
+    assert [(c["currency_type"], c["delta"]) for c in told["details"]["ability_order"]["currency_changes"]] == [(2, 1), (1, 1), (1, 2), (1, 5)]
+    assert (told["hero_id"], told["version"], told["tags"]) == (7, 1, [])
+    assert "ability_order" not in json.loads(builds.import_json(build, shop, keys).first()["json"])["hero_build"]["details"]
+
+
 def test_staples_are_forced_in(spark):
     df = buys(spark, 50, (101, 102))
     labels = df.select(*SEAT).distinct().withColumn("archetype_id", F.lit(0))
