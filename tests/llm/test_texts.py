@@ -125,6 +125,24 @@ def test_truncation(spark):
     assert truncation.cut_documents(df.limit(0)).count() == 0
 
 
+def test_truncation_where_many_texts_stop_at_one_place(spark):
+    # in a large corpus several texts stop within the same word, with a mark and without, or between the same words
+    whole = corpus()
+    docs = [(i, text, f"feed{i % 5}") for i, text in enumerate(whole)]
+    docs += [(1000 + i, whole[i] + "\n\n— the desk", "signed") for i in range(200)]
+    begun = [(2000 + i, whole[i] + " The carry leans on the sou", f"feed{i % 5}") for i in range(30)]
+    begun += [(3000 + i, whole[40 + i] + " The carry leans on the sou" + mark, f"feed{i % 5}") for i, mark in enumerate(("…", "...", " (more)", " [...]") * 3)]
+    begun += [(3100 + i, whole[60 + i] + "</p", f"feed{i % 5}") for i in range(10)]
+    limited = []
+    for i in range(24):
+        end = " Our front line drops every flex slot late in the game" if i % 3 == 0 else " The losing side tests a movement pur"
+        limited.append((4000 + i, whole[100 + i].ljust(300, "x")[: 300 - len(end) - 1] + "." + end, "short"))
+    docs += begun + limited
+    df = spark.createDataFrame([(i, text, source, None) for i, text, source in docs], "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"] for r in truncation.cut_documents(df).collect()}
+    assert got == {i for i, *_ in begun + limited}
+
+
 def test_prefix_sweep_matches_brute_force(spark):
     rng = random.Random(5)
     texts = sorted({"".join(rng.choice("ab c") for _ in range(rng.randrange(1, 9))) for _ in range(300)})
