@@ -333,18 +333,25 @@ def item_entries(pulls: DataFrame) -> DataFrame:
 
 def flat_tables(pulls: DataFrame, *names: str) -> dict[str, DataFrame]:
     """The node tables of the latest valid pulls by name (all, or those named with the types above them);
-    each row carries match_id and, below players, player_pre."""
+    each row carries match_id and, below players, player_pre, player_slot and the player's hero (``player_hero``).
+
+    One sweep ties all types at once and its rows are stored, so that a plan that reads many of the tables many
+    times holds scans only.  Matches that a later pull replaces are left out before the sweep; what they hold then lies in none."""
     wanted = {t.name for t in EVERY} if not names else {"match", *names} | ({"player"} if {"item", "stat"} & set(names) else set())
     types = [t for t in EVERY if t.name in wanted]
     nodes = stored(node_table(pulls, "raw_id", "payload", types), "nodes")
-    chosen = latest_matches(nodes, pulls).select("doc", F.col("pre").alias("match_pre"))
-    out = {"match": nodes.where(F.col("type") == "match").withColumnRenamed("pre", "match_pre").join(chosen, ["doc", "match_pre"], "left_semi").select("doc", "match_pre", *MATCH.fields)}
+    kind = F.col("type")
+    latest = nodes.where(kind == "match").join(latest_matches(nodes, pulls).select("doc", "pre"), ["doc", "pre"], "left_semi")
+    sweep = Window.partitionBy("doc").orderBy("pre").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = {"match": {"match_pre": "pre", "up_match": "match_id"}} | ({"player": {"player_pre": "pre", "up_slot": slot_of(), "player_hero": "hero_id"}} if "player" in wanted else {})
+    rows, ties = latest.unionByName(nodes.where(kind != "match")), []
+    for p, values in above.items():
+        rows = rows.withColumn(f"_{p}", F.last(F.when(kind == p, F.struct("post", *(F.expr(v).alias(c) for c, v in values.items()))), ignorenulls=True).over(sweep))
+        ties += [F.when(F.col(f"_{p}.post") >= F.col("post"), F.col(f"_{p}.{c}")).alias(c) for c in values]
+    flat = stored(rows.select(*nodes.columns, *ties).where("match_pre is not null"), "flat")
+    out = {"match": flat.where(kind == "match").select("doc", "match_pre", *MATCH.fields)}
     for t in types[1:]:
-        ups = {"match": "match_id"} | ({"player": slot_of()} if t.parent == "player" else {})
-        links = linked(nodes, t.name, ups, F.lit(None).cast("long")).join(chosen, ["doc", "match_pre"], "left_semi")
-        extra = [F.col("player_pre"), F.col("player_value").cast("int").alias("player_slot")] if "player" in ups else []
-        own = nodes.where(F.col("type") == t.name).select("doc", "pre", "key", *t.fields)
-        if t.name == "player":
-            own = own.withColumn("player_slot", F.expr(slot_of()).cast("int"))
-        out[t.name] = links.select("doc", "pre", "pos", F.col("match_value").alias("match_id"), *extra).join(own, ["doc", "pre"])
+        extra = ["player_pre", F.col("up_slot").cast("int").alias("player_slot"), "player_hero"] if t.parent == "player" else []
+        own = [F.expr(slot_of()).cast("int").alias(c) if c == "player_slot" else F.col(c) for c in t.fields]
+        out[t.name] = flat.where(kind == t.name).select("doc", "pre", "pos", F.col("up_match").alias("match_id"), *extra, "key", *own)
     return out
