@@ -9,6 +9,7 @@ from lanewright.operators import cleaning, economy, facts, points, ranking, spli
 from lanewright.operators.evaluation import prevalence
 from lanewright.plans import adapters
 from lanewright.plans.adapters import SEAT, with_
+from lanewright.runtime import stored
 from lanewright.sources.tables import table
 from lanewright.streaming import purchases as streams
 
@@ -282,8 +283,9 @@ SELECT i.signature_slot, i.imbue_group, level_then, count(*) AS n FROM (
   GROUP BY ALL) i GROUP BY 1, 2, 3"""
 )
 def level_at_imbue(spark: SparkSession, folder: str) -> DataFrame:
-    rows = adapters.imbues(spark, folder)[0].distinct()
-    return points.level_at(rows, adapters.points(spark, folder), SEAT).groupBy("signature_slot", "imbue_group", "level_then").agg(F.count(F.lit(1)).alias("n"))
+    flat = adapters.pulls(spark, folder, "item")
+    rows = stored(adapters.imbues(spark, folder, flat)[0].distinct(), "imbues")
+    return points.level_at(rows, adapters.points(spark, folder, flat), SEAT).groupBy("signature_slot", "imbue_group", "level_then").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -27,6 +27,7 @@ CASES = {
     # player 1 aims at slot 1 (ability 7) in one match and at slot 2 in the other; player 2 gets the hero's mean
     "conditional_imbues": (8, {(1, 1, 1.0, *[0.0] * 7), (2, 1, 0.0, 1.0, *[0.0] * 6), (1, 2, 0.5, 0.5, *[0.0] * 6), (2, 2, 0.5, 0.5, *[0.0] * 6)}),
     "imbue_features": (5, {(1, 1, 1.0, *[0.0] * 7, 0.25, 1), (2, 1, 0.0, 1.0, *[0.0] * 6, 0.25, 1), (1, 2, *[0.0] * 9, 0), (2, 2, *[0.0] * 9, 0)}),
+    "level_at_imbue": (10, {(1, "active", 1, 1), (2, "active", 1, 1)}),
 }
 
 
