@@ -27,10 +27,11 @@ def levels_at(points: DataFrame, keys: list[str], until: float) -> DataFrame:
 
 def slot_order(points: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, order_1..order_4): in which order the slots got their first point; 0 for none."""
-    got = points.where((F.col("level") >= 1) & F.col("signature_slot").isin(*SLOTS)).groupBy(*keys, "signature_slot").agg(F.min(F.struct("game_time_s", "step")).alias("at"))
-    ranked = got.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("at", "signature_slot")))
-    wide = ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("signature_slot") == s, F.col("nth"))).alias(f"order_{s}") for s in SLOTS))
-    return points.select(*keys).distinct().join(wide, keys, "left").fillna(0, [f"order_{s}" for s in SLOTS])
+    first = {s: F.min(F.when((F.col("level") >= 1) & (F.col("signature_slot") == s), F.struct("game_time_s", "step"))).alias(f"_{s}") for s in SLOTS}
+    # a null is before nothing
+    before = lambda a, b: F.coalesce((F.col(f"_{a}") <= F.col(f"_{b}") if a < b else F.col(f"_{a}") < F.col(f"_{b}")).cast("int"), F.lit(0))
+    nth = lambda s: sum((before(other, s) for other in SLOTS if other != s), F.lit(1))
+    return points.groupBy(*keys).agg(*first.values()).select(*keys, *(F.when(F.col(f"_{s}").isNull(), 0).otherwise(nth(s)).alias(f"order_{s}") for s in SLOTS))
 
 
 def point_order(points: DataFrame, keys: list[str], levels: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
