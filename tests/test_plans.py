@@ -29,6 +29,7 @@ CASES = {
     "imbue_features": (5, {(1, 1, 1.0, *[0.0] * 7, 0.25, 1), (2, 1, 0.0, 1.0, *[0.0] * 6, 0.25, 1), (1, 2, *[0.0] * 9, 0), (2, 2, *[0.0] * 9, 0)}),
     "level_at_imbue": (10, {(1, "active", 1, 1), (2, "active", 1, 1)}),
     "slot_order": (8, {(1, 1, 1, 2, 0, 0), (2, 1, 1, 2, 0, 0), (1, 2, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0)}),
+    "gated_heroes": (14, {(5,)}),
 }
 
 
