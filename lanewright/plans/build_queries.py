@@ -201,8 +201,9 @@ maxed AS (SELECT hero_id, ((match_id + player_slot) % 3)::int AS archetype_id, s
 )
 def archetype_focus(spark: SparkSession, folder: str) -> DataFrame:
     """The ability each group of players centres on, by its imbues, else by what it maxes first."""
-    aimed, spent = adapters.imbues(spark, folder)[0], adapters.points(spark, folder)
-    maxed = points.first_maxed(spent, ["hero_id", *SEAT])
+    flat = adapters.pulls(spark, folder, "item")
+    aimed = stored(adapters.imbues(spark, folder, flat)[0], "imbues")
+    maxed = stored(points.first_maxed(adapters.points(spark, folder, flat), ["hero_id", *SEAT]), "maxed")
     labels = adapters.labels(aimed.select(*SEAT).unionByName(maxed.select(*SEAT)))
     return naming.ability_focus(aimed, maxed, labels, SEAT, **FOCUS)
 

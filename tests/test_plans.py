@@ -31,6 +31,7 @@ CASES = {
     "slot_order": (8, {(1, 1, 1, 2, 0, 0), (2, 1, 1, 2, 0, 0), (1, 2, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0)}),
     "gated_heroes": (14, {(5,)}),
     "imbue_rate": (6, {(5, 0.5)}),
+    "archetype_focus": (15, set()),
 }
 
 
