@@ -32,6 +32,7 @@ CASES = {
     "gated_heroes": (14, {(5,)}),
     "imbue_rate": (6, {(5, 0.5)}),
     "archetype_focus": (15, set()),
+    "entry_reconciliation": (3, {(4, 6, 10, True)}),
 }
 
 
