@@ -33,6 +33,7 @@ CASES = {
     "imbue_rate": (6, {(5, 0.5)}),
     "archetype_focus": (15, set()),
     "entry_reconciliation": (3, {(4, 6, 10, True)}),
+    "item_direction": (9, {(5, 100, 2, 2, 0.5, 1, 0.5, 1.0)}),
 }
 
 
