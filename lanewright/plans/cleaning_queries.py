@@ -334,11 +334,15 @@ def shop_visits(spark: SparkSession, folder: str) -> DataFrame:
     return economy.visits(adapters.buys(spark, folder), SEAT)
 
 
+#: Bytes of the files that a batch of the drained stream reads.
+BATCH = 1 << 30
+
+
 @query("SELECT epoch(date_trunc('hour', pulled_at))::bigint AS since, hero_id, count(*) AS n FROM purchases WHERE pulled_at IS NOT NULL GROUP BY ALL")
 def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
     """Purchases by hero and hour of their pull, counted as a stream that reads all there is."""
     path = f"{folder}/purchases.parquet"
     # as a pattern, the path may be a file or a folder of files
-    rows = streams.read_stream(spark, f"{folder}/purchases.parque[t]", spark.read.parquet(path).schema)
+    rows = streams.read_stream(spark, f"{folder}/purchases.parque[t]", spark.read.parquet(path).schema, size=BATCH)
     told = streams.counts(rows.withColumn("pulled_at", F.col("pulled_at").cast("timestamp")), "pulled_at", ["hero_id"])
     return streams.drained(told).select(F.unix_timestamp("since").alias("since"), "hero_id", "n")

@@ -13,9 +13,11 @@ from pyspark.sql.types import StructType
 from lanewright.runtime import kept_path
 
 
-def read_stream(spark: SparkSession, path: str, schema: str | StructType, files: int = 1) -> DataFrame:
-    """New Parquet files of a folder, ``files`` at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: str | StructType, files: int = 1, size: int | None = None) -> DataFrame:
+    """New Parquet files of a folder, ``files`` at a time, or, with ``size``, as many as hold about so many bytes
+    (at least one): a batch costs seconds however small it is, and a folder may hold thousands of small files."""
+    limit = ("maxFilesPerTrigger", files) if size is None else ("maxBytesPerTrigger", size)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)
 
 
 def distinct_purchases(stream: DataFrame, at: str = "pulled_at", late: str = "1 day") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -44,3 +45,15 @@ def test_plans_of_pulls_are_small(spark, tmp_path, name):
     df = registry.queries()[name](spark, str(tmp_path))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= most
     assert {tuple(r) for r in df.collect()} == want
+
+
+def test_a_stream_of_small_files_takes_few_batches(spark, tmp_path):
+    from lanewright import runtime
+
+    bought = [(i, datetime(2026, 1, 1, i % 3)) for i in range(6)]
+    spark.createDataFrame(bought, "hero_id int, pulled_at timestamp_ntz").repartition(6, "hero_id").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "purchases.parquet"))
+    assert len(list((tmp_path / "purchases.parquet").glob("*.parquet"))) == 6
+    told = registry.queries()["stream_hourly"](spark, str(tmp_path))
+    assert {tuple(r)[1:] for r in told.collect()} == {(i, 1) for i in range(6)}
+    offsets = f"{runtime._kept[spark.sparkContext.applicationId][-1]}/state/offsets".removeprefix("file://")
+    assert len([p for p in Path(offsets).iterdir() if p.name.isdigit()]) == 1
