@@ -57,3 +57,13 @@ def test_a_stream_of_small_files_takes_few_batches(spark, tmp_path):
     assert {tuple(r)[1:] for r in told.collect()} == {(i, 1) for i in range(6)}
     offsets = f"{runtime._kept[spark.sparkContext.applicationId][-1]}/state/offsets".removeprefix("file://")
     assert len([p for p in Path(offsets).iterdir() if p.name.isdigit()]) == 1
+
+
+def test_evidence_adds_up_its_parts_once(spark, tmp_path):
+    bought = [(m, 1, m, 5, "Team0", True, 80, 7, 10.0, 0, 100.0) for m in (1, 2)]
+    schema = "match_id long, player_slot int, account_id long, hero_id int, team string, won boolean, average_badge int, item_id long, buy_time_s double, buy_index int, nw_at_buy double"
+    spark.createDataFrame(bought, schema).write.parquet(str(tmp_path / "purchases.parquet"))
+    df = registry.queries()["evidence"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 12
+    # after one purchase only the hero's own context was seen: 2 purchases, share 2 / (2 + 20)
+    assert {tuple(r) for r in df.collect()} == {(f"{m}/1", 7, 0.090909, 5, 2) for m in (1, 2)}
